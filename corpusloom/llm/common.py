@@ -83,3 +83,8 @@ def held_out(doc_id: int | None) -> bool:
 
 def held_out_column(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python workers in batches of this many rows, so that long ones fit in memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -5,15 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import licenses, mixing, oracle, quality_rules, url_filter
+from corpusloom.llm import ann, jaccard_join, licenses, mixing, oracle, quality_rules, sentencepiece_fst, token_output, url_filter
 from corpusloom.llm.common import table
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.round_trip(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -22,12 +37,21 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.classes(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op4_quality_rules, op5_license_scan, op10_url_filter)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_token_output, op4_quality_rules, op5_license_scan, op6_jaccard_join, op9_ann, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
