@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import stored
+from corpusloom.llm.common import ready_workers, stored
 
 #: Vectors that centroids are fitted on, at most; lists, at most.
 SAMPLE, MAX_LISTS = 20_000, 4096
@@ -123,6 +123,7 @@ def scan(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndar
 def search(vectors: DataFrame, is_query: Column, k: int = 20, probe_share: float = PROBE_SHARE) -> DataFrame:
     """vectors: vec_id, embedding. The k nearest found of each row with is_query: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
+    ready_workers(spark, 10_000)
     result = "query_id long, rank int, vec_id long, score double"
     rows = vectors.where(valid() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("asks"))
     lengths = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()

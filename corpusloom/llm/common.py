@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 import zlib
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +41,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str, compression: str = "lz4_raw") -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as a table in the shared folder and read it back: a cut of the lineage
     that outlives lost executors."""
     spark = df.sparkSession
@@ -85,6 +87,19 @@ def held_out_column(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python workers in batches of this many rows, so that long ones fit in memory."""
+_shipped: set[str] = set()
+
+
+def ready_workers(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers get this package, wherever they run, and whole texts in batches of so many rows
+    that long ones fit in memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent.parent
+        path = f"{tempfile.mkdtemp(prefix='corpusloom-')}/{package.name}.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        spark.sparkContext.addPyFile(path)
+        _shipped.add(app)

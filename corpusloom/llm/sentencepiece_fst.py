@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import small_batches
+from corpusloom.llm.common import ready_workers
 
 MARK = "▁"
 KEPT_PARTS = 500_000
@@ -214,7 +214,7 @@ def machine(path: str) -> Transducer:
 
 def encode(docs: DataFrame, model: str, text: str = "text", to: str = "piece_ids") -> DataFrame:
     """docs with one more column, the ids of each text (array of int)."""
-    small_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
 
     @F.pandas_udf("array<int>")
     def ids(texts):
@@ -226,7 +226,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", to: str = "piece_ids
 
 def decode(rows: DataFrame, model: str, ids: str = "piece_ids", to: str = "text") -> DataFrame:
     """rows with one more column, the text of each array of ids."""
-    small_batches(rows.sparkSession)
+    ready_workers(rows.sparkSession)
 
     @F.pandas_udf("string")
     def texts(arrays):
@@ -242,7 +242,7 @@ _SCHEMA = "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, decod
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """Encode every whole text and decode it again: doc_id, n_pieces, n_byte_pieces, crc32 of the ids (as
     little-endian unsigned 32-bit integers) and of the decoded text's UTF-8, and whether that equals the text."""
-    small_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(model)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import scratch_path, small_batches
+from corpusloom.llm.common import scratch_path, ready_workers
 from corpusloom.llm.simple8b import BLOCK, pack, unpack
 
 END_ID = 0
@@ -149,7 +149,7 @@ _PAGES = pa.schema([("shard", pa.int32()), ("page", pa.int32()), ("before", pa.i
 
 def encode_pages(docs: DataFrame, tokenizer: str, end_id: int = END_ID, page_ids: int = PAGE_IDS) -> DataFrame:
     """Pages of all documents in ascending order of doc_id."""
-    small_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +190,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("place", pa.in
 def read_files(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document in the files."""
     pages = spark.read.schema(PAGES).parquet(path)
-    small_batches(spark)
+    ready_workers(spark)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
