@@ -7,7 +7,7 @@ stands alone on a line. The catalogue is a constant of this module (a few dozen
 is broadcast; the documents are read once and never shuffled before the matches are counted.
 
 Defined results: a null text is an empty one, an empty canonical form matches nothing, rows with
-the same id and text are returned once, an empty table gives an empty result, further columns
+the same id and canonical form are returned once, an empty table gives an empty result, further columns
 are ignored.
 """
 
@@ -58,36 +58,53 @@ Permission is granted to anyone to use this software for any purpose, including
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
 )
 
+COPYRIGHT = r"(copyright|\(c\)|©)"
 COPYRIGHT_LINE = r"(^|\n)[^\na-z0-9]*(copyright|\(c\)|©)[^\n]*"
+VARIANTS = r"(^|[ \n])(" + "|".join(SPELLINGS) + r")([ \n]|$)"
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, letters and digits only, one spelling of each word."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, r"$1")
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, "[^a-z0-9]+", " ")), F.lit(" "))
-    # one pass finds whether any spelling occurs; most texts hold none
-    some = out.rlike(" (" + "|".join(SPELLINGS) + ") ")
-    same = out
+def canonical_lines(docs: DataFrame, text: Column, to: str) -> DataFrame:
+    """docs with an array of the canonical lines of a text that are not empty: lower case, no copyright
+    lines, letters and digits only, one spelling of each word."""
+    low, plain = F.col("_low"), F.col("_plain")
+    spelled = F.concat(F.lit("\n"), F.regexp_replace(plain, " ?\n ?", " \n "), F.lit("\n"))
     for variant, spelling in SPELLINGS.items():
-        same = F.replace(same, F.lit(f" {variant} "), F.lit(f" {spelling} "))
-    return F.trim(F.when(some, same).otherwise(out))
+        spelled = F.regexp_replace(spelled, f"(?<=[ \n]){variant}(?=[ \n])", spelling)
+    return (
+        docs.withColumn("_low", F.lower(text))
+        # both repairs are rare, so that most texts pass each pattern once
+        .withColumn("_low", F.when(low.rlike(COPYRIGHT), F.regexp_replace(low, COPYRIGHT_LINE, "$1")).otherwise(low))
+        .withColumn("_plain", F.regexp_replace(low, "[^a-z0-9\n]+", " "))
+        .withColumn("_plain", F.when(plain.rlike(VARIANTS), spelled).otherwise(plain))
+        .withColumn(to, F.array_remove(F.transform(F.split(plain, "\n", -1), lambda x: F.trim(x)), ""))
+        .drop("_low", "_plain")
+    )
+
+
+def whole(lines: Column) -> Column:
+    """The canonical form of a whole text."""
+    return F.array_join(lines, " ")
 
 
 def catalogue(spark) -> DataFrame:
-    """Known digests; of equal ones the first name counts."""
+    """digest, license and length of known canonical forms; of equal ones the first name counts."""
     rows = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(KNOWN)], "place int, license string, text string")
-    return rows.groupBy(F.md5(canonical(F.col("text")).cast("binary")).alias("digest")).agg(F.min_by("license", "place").alias("license"))
+    form = whole(F.col("_lines"))
+    rows = canonical_lines(rows, F.col("text"), "_lines")
+    return rows.groupBy(F.md5(form.cast("binary")).alias("digest")).agg(F.min_by("license", "place").alias("license"), F.max(F.length(form)).alias("length"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, digest of the whole text, text_license (of the whole text, or null), notice_lines (lines
     that are a known licence or notice) and licenses (all found, sorted, joined by commas)."""
-    spark = docs.sparkSession
-    known = F.broadcast(catalogue(spark).withColumnRenamed("digest", "_known"))
-    digest = lambda c: F.md5(canonical(c).cast("binary"))
-    lines = F.split(text_of(), "\n", -1)
-    rows = docs.select("doc_id", digest(text_of()).alias("digest"), F.posexplode(F.concat(F.array(text_of()), lines)).alias("_place", "_unit"))
-    units = rows.select("doc_id", "digest", "_place", F.when(F.col("_place") == 0, F.col("digest")).otherwise(digest(F.col("_unit"))).alias("_digest"))
+    known = catalogue(docs.sparkSession)
+    lengths = sorted({r["length"] for r in known.select("length").collect()})  # of a constant table
+    known = F.broadcast(known.select(F.col("digest").alias("_known"), "license"))
+    digest = lambda c: F.md5(c.cast("binary"))
+    rows = canonical_lines(docs.select("doc_id", text_of().alias("_text")), F.col("_text"), "_lines")
+    units = F.filter("_lines", lambda x: F.length(x).isin(lengths))
+    rows = rows.select("doc_id", digest(whole(F.col("_lines"))).alias("digest"), F.transform(units, digest).alias("_units"))
+    units = rows.select("doc_id", "digest", F.posexplode(F.concat(F.array("digest"), "_units")).alias("_place", "_digest"))
     found = units.join(known, units["_digest"] == known["_known"], "left")
     return (
         found.groupBy("doc_id", "digest")

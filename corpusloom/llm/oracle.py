@@ -71,22 +71,23 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, word
 from judged"""
 
 
-def _canonical(x: str) -> str:
+def _canonical_lines(x: str) -> str:
     out = f"regexp_replace(lower({x}), '{licenses.COPYRIGHT_LINE}', '\\1', 'g')"
-    out = f"' ' || trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g')) || ' '"
+    out = f"regexp_replace({out}, '[^a-z0-9\n]+', ' ', 'g')"
+    out = f"' ' || replace(replace({out}, ' ', '  '), chr(10), ' ' || chr(10) || ' ') || ' '"  # each word between spaces of its own
     for variant, spelling in licenses.SPELLINGS.items():
-        out = f"replace({out}, ' {variant} ', ' {spelling} ')"
-    return f"trim({out})"
+        out = f"replace({out}, ' {variant.replace(' ', '  ')} ', ' {spelling} ')"
+    return f"list_filter(list_transform(string_split({out}, chr(10)), lambda l: trim(regexp_replace(l, ' +', ' ', 'g'))), lambda l: l <> '')"
 
 
 def license_scan() -> str:
     known = ", ".join(f"({i}, '{n}', '{t.replace(chr(39), chr(39) * 2)}')" for i, (n, t) in enumerate(licenses.KNOWN))
     return rf"""
-with known as (select md5({_canonical('t')}) as d, arg_min(n, i) as license from (values {known}) v(i, n, t) group by 1),
-docs as (select distinct doc_id, md5({_canonical("coalesce(text, '')")}) as digest, coalesce(text, '') as t from documents),
+with known as (select md5(array_to_string({_canonical_lines('t')}, ' ')) as d, arg_min(n, i) as license from (values {known}) v(i, n, t) group by 1),
+canon as (select doc_id, {_canonical_lines("coalesce(text, '')")} as ls from documents),
+docs as (select doc_id, digest, any_value(ls) as ls from (select doc_id, md5(array_to_string(ls, ' ')) as digest, ls from canon) group by doc_id, digest),
 lines as (
-  select doc_id, digest, license from (select doc_id, digest, md5({_canonical('l')}) as d from docs, lateral (select unnest(string_split(t, chr(10))) as l)) u
-  join known using (d))
+  select doc_id, digest, license from (select doc_id, digest, md5(l) as d from docs, lateral (select unnest(ls) as l)) u join known using (d))
 select docs.doc_id, docs.digest, any_value(known.license) as text_license, count(lines.license)::bigint as notice_lines,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(list(lines.license) filter (lines.license is not null), list(known.license) filter (known.license is not null)))), ','), '') as licenses
 from docs left join known on docs.digest = known.d left join lines on docs.doc_id = lines.doc_id and docs.digest = lines.digest group by docs.doc_id, docs.digest"""
