@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann, jaccard_join, licenses, mixing, oracle, quality_rules, sentencepiece_fst, token_output, url_filter
+from corpusloom.llm import ann, jaccard_join, licenses, mixing, oracle, quality_cnn, quality_rules, sentencepiece_fst, token_output, toxicity_crf, url_filter
 from corpusloom.llm.common import table
 
 
@@ -42,6 +42,15 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -51,7 +60,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_token_output, op4_quality_rules, op5_license_scan, op6_jaccard_join, op9_ann, op10_url_filter)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_token_output, op4_quality_rules, op5_license_scan, op6_jaccard_join, op7_quality_cnn, op8_toxicity_crf, op9_ann, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

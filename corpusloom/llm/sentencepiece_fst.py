@@ -236,6 +236,28 @@ def decode(rows: DataFrame, model: str, ids: str = "piece_ids", to: str = "text"
     return rows.withColumn(to, texts(F.col(ids)))
 
 
+def encoded(docs: DataFrame, model: str) -> DataFrame:
+    """doc_id, source, n_pieces, piece_ids and decoded_same (whether decoding gives the text back) of each row."""
+    ready_workers(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = machine(model)
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            ids = [m.encode(t) for t in texts]
+            same = [m.decode(i) == t for i, t in zip(ids, texts)]
+            n = np.array([len(i) // 4 for i in ids], np.int64)
+            ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            numbers = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("source"), pa.array(n), pa.ListArray.from_arrays(ends, numbers), pa.array(same, pa.bool_())],
+                names=["doc_id", "source", "n_pieces", "piece_ids", "decoded_same"],
+            )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
+    return rows.mapInArrow(run, "doc_id long, source string, n_pieces long, piece_ids array<int>, decoded_same boolean")
+
+
 _SCHEMA = "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_crc32 long, decoded_same boolean"
 
 
