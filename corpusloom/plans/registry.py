@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from corpusloom.plans import chat, corpus, retrieval, scalars, upkeep
+from corpusloom.workers import ship
+
+MODULES = (scalars, corpus, upkeep, retrieval, chat)
+
+
+def _ready(run):
+    @wraps(run)
+    def shipped(spark, sf_dir):
+        ship(spark)
+        return run(spark, sf_dir)
+
+    return shipped
+
 
 def queries() -> dict:
-    return {}
+    return {name: _ready(run) for m in MODULES for name, (run, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
