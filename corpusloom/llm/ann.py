@@ -12,7 +12,7 @@ so that a list that holds a third of all vectors is many groups. Only the centro
 (at most MAX_LISTS of each) reach the driver.
 
 Defined results: null and zero vectors and those with null or non-finite components, and those of another
-length than the most frequent one, take no part; rows with the query's own id are no candidates; ties go to
+length than the most frequent one, take no part; rows with the query's own id are no candidates (other repeated rows are, each); ties go to
 the smaller id; with fewer candidates than k all are returned; an empty table gives an empty result; further
 columns are ignored.
 """

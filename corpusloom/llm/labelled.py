@@ -19,6 +19,6 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int, crop
     picked = [marks.where(F.col("label") == k).orderBy(*order).limit(per_class) for k in (0, 1)]
     picked = F.broadcast(picked[0].union(picked[1]))  # at most 2 * per_class rows
     at = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(F.length("text") - crop, F.lit(0)) + 1).cast("int") + 1
-    rows = docs.where(F.col("text").isNotNull()).join(picked, "doc_id").select("doc_id", "label", F.substring("text", at, F.lit(crop)).alias("text"))
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(picked, "doc_id").select("doc_id", "label", F.substring("text", at, F.lit(crop)).alias("text"))
     found = rows.dropDuplicates(["doc_id"]).toArrow().sort_by([("doc_id", "ascending")])
     return found.column("text").cast(pa.binary()).to_pylist(), found.column("label").to_pylist()

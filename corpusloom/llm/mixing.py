@@ -39,10 +39,11 @@ def random_key(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def _measured(docs: DataFrame, seed: str, *keep: str) -> DataFrame:
+def _measured(docs: DataFrame, seed: str) -> DataFrame:
+    """The row itself stands in a struct, so that no column of it can clash with others."""
     lowest = F.lit(-(2**63)).cast("long")
     return docs.select(
-        *keep,
+        F.struct(*docs.columns).alias("_row"),
         source_key(F.col("source")).alias("_source"),
         F.coalesce(F.col("doc_id").cast("long"), lowest).alias("_id"),
         n_words(text_of()).alias("_size"),
@@ -77,7 +78,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix") -> DataFrame:
     """One row for each source: size, target, whole epochs, and the point where the last one is cut."""
-    rows = stored(_measured(docs, seed), "mix-sizes")
+    rows = stored(_measured(docs, seed).drop("_row"), "mix-sizes")
     ranged = rows.withColumn("_range", F.shiftright("_key", 60 - RANGE_BITS))
     sums = ranged.groupBy("_source", "_range").agg(F.sum("_size").alias("_sum"))
     aims = (
@@ -107,36 +108,37 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix")
     return aims.join(cut, "_source", "left").withColumnRenamed("_source", "_plan_source")
 
 
-def _taken(docs: DataFrame, weights: tuple[int, ...], seed: str, *keep: str) -> DataFrame:
+def _taken(docs: DataFrame, weights: tuple[int, ...], seed: str) -> DataFrame:
     sources = stored(plan(docs, weights, seed), "mix-plan")
     if sources.count() <= BROADCAST_SOURCES:
         sources = F.broadcast(sources)
     key, one, size = F.struct("_key", "_id", "_size"), F.struct("_cut_key", "_cut_id", "_cut_size"), F.col("_size")
     last = F.when(F.col("_cut_key").isNull(), 0).when(key < one, size).when(key == one, F.col("_cut_words")).otherwise(0)
-    rows = _measured(docs, seed, *keep)
+    rows = _measured(docs, seed)
     return rows.join(sources, rows["_source"] == sources["_plan_source"]).withColumn("_last", last.cast("long"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix") -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted) for each row of docs."""
-    return _taken(docs, weights, seed, "doc_id").select(
-        "doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_epochs") * F.col("_size") + F.col("_last")).cast("long").alias("taken")
+    return _taken(docs, weights, seed).select(
+        "_row.doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_epochs") * F.col("_size") + F.col("_last")).cast("long").alias("taken")
     )
 
 
 def mixed_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix") -> DataFrame:
     """The mix itself, with the columns of docs: each document once for each epoch that takes it,
     and for the one at a source's cut a last copy that ends with the last word taken."""
-    cols = list(docs.columns)
-    word_ends = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)
+    old = lambda c: F.col("_row").getField(c)
+    word_ends = F.split(old("text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)
     cut = (F.col("_copy") == F.col("_epochs")) & (F.col("_last") < F.col("_size"))
     rows = (
-        _taken(docs, weights, seed, *cols)
+        _taken(docs, weights, seed)
         .withColumn("_copies", (F.col("_epochs") + F.when(F.col("_last") > 0, 1).otherwise(0)).cast("int"))
         .where("_copies > 0")
         .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-        .withColumn("text", F.when(cut, F.array_join(F.slice(word_ends, 1, F.col("_last").cast("int")), "")).otherwise(F.col("text")))
+        .withColumn("_text", F.when(cut, F.array_join(F.slice(word_ends, 1, F.col("_last").cast("int")), "")).otherwise(old("text")))
     )
-    if "n_chars" in cols:
-        rows = rows.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*cols)
+    new = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(cut, F.length("_text")).otherwise(old("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, old(c)).alias(c) for c in docs.columns])

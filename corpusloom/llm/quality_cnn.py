@@ -183,4 +183,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not rejected."""
-    return score(docs.withColumn("_text", F.coalesce("text", F.lit(""))), fit(docs, labels), "_text").where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    return score(rows, fit(docs, labels)).where(F.col("score") >= THRESHOLD).select("row.*")
