@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors
-from corpusloom.operators import retrieval as r
+from corpusloom.operators import catalogue, retrieval as r
 from corpusloom.plans.common import ASKED_SQL, CHUNKS_SQL, asked, chunks, registry, table
 
 QUERIES, query = registry()
@@ -166,3 +166,82 @@ def person_tiers(spark, sf_dir):
     q = spark.createDataFrame([(1, "Pathetic Clown"), (2, "Nosuchword Idiot")], "query_id long, name string")
     c = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit("").alias("page_title"), F.col("text").alias("content"))
     return r.person_rows(q, c).select("query_id", "chunk_id", F.col("tier").cast("long").alias("tier"))
+
+
+_UNIT_URLS = "p as (select doc_id as page_id, 'https://o.example.edu/x?curUnit=' || (doc_id % 4) || case when doc_id % 3 = 0 then '' else '&curSunit=' || (doc_id % 6) end as url, case doc_id % 3 when 0 then 'a' when 1 then 'b' else 'c' end as entity from documents)"
+
+
+def _unit_pages(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    url = F.concat(F.lit("https://o.example.edu/x?curUnit="), F.col("doc_id") % 4, F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("&curSunit="), F.col("doc_id") % 6)))
+    return d.select(F.col("doc_id").alias("page_id"), url.alias("url"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("doc_id") % 3 + 1).cast("int")).alias("entity"))
+
+
+@query(f"""with {_UNIT_URLS}, x as (select *, regexp_extract(url, 'curUnit=([0-9]*)', 1) as u, nullif(regexp_extract(url, 'curSunit=([0-9]*)', 1), '') as s from p)
+select page_id, case entity when 'c' then null when 'a' then u in ('0', '1') and coalesce(s in ('0', '3'), true) else u = '2' and coalesce(s = '4', true) end as state from x""")
+def unit_states(spark, sf_dir):
+    hints = spark.createDataFrame([("a", "0", "0"), ("a", "1", "3"), ("b", "2", "4")], "entity string, unit string, sub_unit string")
+    return catalogue.unit_state(_unit_pages(spark, sf_dir), hints).select("page_id", "state")
+
+
+@query(f"""with {_UNIT_URLS}, x as (select *, try_cast(nullif(regexp_extract(url, 'curSunit=([0-9]+)', 1), '') as bigint) as n from p where page_id % 5 = 0)
+select chunk_id, place from (select page_id as chunk_id, row_number() over (order by n is null, n, page_id) as place from x) where place <= 24""")
+def course_chunks(spark, sf_dir):
+    c = _unit_pages(spark, sf_dir).select(F.col("page_id").alias("chunk_id"), F.col("url").alias("source_url"))
+    return catalogue.course_chunks(c, F.col("chunk_id") % 5 == 0).select("chunk_id", F.col("place").cast("long").alias("place"))
+
+
+@query(f"with {_VAR}, h as (select * from (select *, row_number() over (partition by query_id, variant order by d, chunk_id) as n from cos where chunk_id % 7 <> 0) where n <= 10) select query_id, chunk_id, round(min(d), 6) + 0.0 as d_min from h group by all")
+def host_pool(spark, sf_dir):
+    asked_, rows = _variants(spark, sf_dir)
+    rows = rows.withColumn("source_url", F.when(F.contains("source_url", F.lit("news")), F.lit("https://other.org/x")).otherwise(F.col("source_url")))
+    return catalogue.host_pool(asked_, rows, "example.edu", 10).select("query_id", "chunk_id", (F.round("d_min", 6) + 0.0).alias("d_min"))
+
+
+@query("select url, row_number() over (order by url <> (select max(url) from pages), url) as place from (select distinct url from pages)")
+def pinned_urls(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    index_url = p.agg(F.max("url")).first()[0]
+    return catalogue.pinned_first(p, index_url).select("url", F.col("place").cast("long").alias("place"))
+
+
+@query("""with l as (select distinct source as label from documents), h as (select label, case when contains(label, 'src1') then 0 when contains(label, '5') then 1 when contains(label, '7') then 1 end as tier, case when contains(label, 'src1') then 0 when contains(label, '5') then 0 when contains(label, '7') then 1 end as word from l)
+select label, tier::bigint as tier, row_number() over (order by tier, word, label) as place from h where tier is not null""")
+def menu_order(spark, sf_dir):
+    labels = table(spark, sf_dir, "documents").select(F.col("source").alias("label")).distinct()
+    return catalogue.menu_ranked(labels, [["src1"], ["5", "7"]]).select("label", F.col("tier").cast("long").alias("tier"), F.col("place").cast("long").alias("place"))
+
+
+@query()
+def person_pages(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.concat(F.lit("https://example.edu/"), "doc_id").alias("url"), F.lit("t").alias("title"), F.col("text").alias("content"))
+    return catalogue.person_pages(d, "Pathetic Clown").select("page_id", F.col("place").cast("long").alias("place"), F.length("part").cast("long").alias("n_chars"))
+
+
+@query()
+def catalogue_fallback(spark, sf_dir):
+    from corpusloom.plans.common import questions
+
+    c = chunks(spark, sf_dir).withColumn("source_url", F.when(F.col("chunk_id") % 3 == 0, F.concat(F.lit("https://example.edu/bologna/computer-engineering/"), "chunk_id")).otherwise(F.col("source_url")))
+    return catalogue.fallback_chunks(questions(spark), c).select("query_id", "chunk_id", F.col("place").cast("long").alias("place"))
+
+
+@query()
+def fee_prepend(spark, sf_dir):
+    from corpusloom.plans.common import questions
+
+    c = chunks(spark, sf_dir).withColumn("source_url", F.when(F.col("chunk_id") % 9 == 1, F.concat(F.lit("https://example.edu/fees/"), "chunk_id")).otherwise(F.col("source_url")))
+    return r.fee_rows(questions(spark), c)
+
+
+@query()
+def intent_page_blocks(spark, sf_dir):
+    from corpusloom.plans.common import questions
+
+    p = table(spark, sf_dir, "pages").select("url", F.lit("t").alias("title"), F.col("html").alias("content"))
+    kinds = (("location", "/en/", 2, 1200), ("requirements", "/de/", 1, 14_000), ("international", r"\.html", 2, 2200), ("scholarship", "/fr/", 1, 14_000), ("roster", "/es/", 1, 10_000))
+    out = None
+    for kind, pattern, n, chars in kinds:
+        rows = r.page_blocks(questions(spark), p, kind, pattern, n, chars).select("query_id", F.lit(kind).alias("kind"), "url", F.length("block").cast("long").alias("n_chars"), F.col("place").cast("long").alias("place"))
+        out = rows if out is None else out.union(rows)
+    return out
