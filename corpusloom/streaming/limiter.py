@@ -52,7 +52,7 @@ def trailing_count(events: DataFrame, seconds: int = SECONDS) -> DataFrame:
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Not in the reference: tumbling counts with a watermark, batch or streaming."""
+    """Tumbling counts with a watermark, batch or streaming."""
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
