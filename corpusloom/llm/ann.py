@@ -32,7 +32,7 @@ from corpusloom.llm.common import ready_workers, stored
 #: Vectors that centroids are fitted on, at most; lists, at most.
 SAMPLE, MAX_LISTS = 20_000, 4096
 #: Share of the lists that a query probes, and how many at least.
-PROBE_SHARE, LEAST_PROBES = 0.55, 16
+PROBE_SHARE, LEAST_PROBES = 0.65, 16
 #: Vectors in a shard, queries in a block.
 SHARD, QUERY_BLOCK = 8192, 2048
 #: Significance of the test.
@@ -130,7 +130,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, probe_share: float
     if lengths is None:
         return spark.createDataFrame([], result)
     rows = rows.where(F.size("embedding") == lengths["d"])
-    lists = max(1, min(MAX_LISTS, math.isqrt(lengths["count"])))
+    lists = max(1, min(MAX_LISTS, math.isqrt(lengths["count"]) // 2))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
     points = matrix(sample.column(0).combine_chunks())
     lists = min(lists, len(points))
