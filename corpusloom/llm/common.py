@@ -5,13 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import zipfile
 import zlib
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.workers import ship
+
 #: Words are maximal runs of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -87,19 +87,7 @@ def held_out_column(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-_shipped: set[str] = set()
-
-
 def ready_workers(spark: SparkSession, rows: int = 1000) -> None:
-    """Python workers get this package, wherever they run, and whole texts in batches of so many rows
-    that long ones fit in memory."""
+    """Python workers get this package, and whole texts in batches of so many rows that long ones fit in memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        package = Path(__file__).resolve().parent.parent
-        path = f"{tempfile.mkdtemp(prefix='corpusloom-')}/{package.name}.zip"
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f.relative_to(package.parent))
-        spark.sparkContext.addPyFile(path)
-        _shipped.add(app)
+    ship(spark)
