@@ -280,6 +280,32 @@ def test_jaccard_join_is_exact(spark, n, percent):
     assert got == brute_components(rows, n, percent)
 
 
+def test_jaccard_join_repeated_rows_and_ids(spark, prose):
+    """All rows twice; ids with several texts, which link by any of them; brute force over all pairs of texts."""
+    near = [prose(120) for _ in range(6)]
+    rows = [(2 * k + j, t + f" end{j}") for k, t in enumerate(near) for j in (0, 1)]  # six near pairs, of equal shape
+    rows += [(20, prose(90)), (21, prose(90))] + [(30, prose(80))]
+    rows += [(22, rows[-3][1]), (22, rows[-2][1]), (30, near[5] + " end2")]  # 22 has the texts of 20 and 21, 30 a copy of 10
+    rows += rows
+    d = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS).repartition(3)
+    sets = {}
+    for k, (_, t) in enumerate(rows):
+        w = t.encode().lower().split()
+        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    root = {i: i for i, _ in rows}
+    for _ in root:
+        for x, y in itertools.combinations(sets, 2):
+            if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                a, b = rows[x][0], rows[y][0]
+                root[a] = root[b] = min(root[a], root[b])
+        if all(root[i] == i or root[root[i]] == root[i] for i in root):
+            break
+    got = jaccard_join.classes(d, 5, 80).collect()
+    assert len(got) == len(rows) and {(r["doc_id"], r["component_id"]) for r in got} == set(root.items())
+    kept = sorted(r["doc_id"] for r in jaccard_join.distinct_documents(d, 5, 80).collect())
+    assert kept == sorted(set(root.values())) == [0, 2, 4, 6, 8, 10, 20]
+
+
 def test_jaccard_join_odd_rows(spark):
     got = jaccard_join.classes(docs(spark, ODD), 3, 90).collect()
     assert len(got) == len(ODD) and {r["component_id"] for r in got if r["doc_id"] is None} == {None}
