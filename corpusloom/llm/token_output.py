@@ -7,9 +7,9 @@ writes to will do, task retries and lost executors included. A shard is what one
 ascending document order; a page knows how many ids its shard holds before it, so that only one number
 for each shard is added up to give every document's place in the whole sequence.
 
-Words between spaces are encoded once for each worker and kept in a bounded table (the tokenizer
-splits at white space before anything else, so the parts of a text are independent of each other, except
-next to two spaces in a row, where the whole text is encoded as it is).
+The ids are those of the tokenizers library at its defaults. Words between single spaces and line feeds are
+encoded once for each worker and kept in bounded tables: no part of such a text reaches over them. A text with
+other white space, or with one of the tokenizer's added tokens, is encoded by the library as a whole.
 
 Defined results: a null or empty text gives just the end id; a null id comes first; repeated rows are
 all written; an empty table gives no pages; further columns are ignored.
@@ -47,37 +47,64 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+#: All that some definition of white space holds, but for space and line feed.
+OTHER_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
+#: Letters and digits below are the same in every version of Unicode in use.
+SETTLED = "\u0250"
+
+
 class WordEncoder:
-    """Ids of a text as little-endian 32-bit integers, by way of a table of words.
+    """Ids of a text as little-endian 32-bit integers, by way of tables of words.
 
     A word that is new goes through the tokenizer's stages one by one: its pattern cuts the word in
-    pre-tokens, and the library's model encodes those that are new as well."""
+    pre-tokens, and the library's model encodes those that are new as well. The first words of lines, and
+    words of rarer alphabets, are left to the library."""
 
     def __init__(self, path: str):
+        import json
+
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            stages = json.load(f)
+        pre = stages["pre_tokenizer"] or {}
+        byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"]
+        self.by_words = byte_level and not any(stages[x] for x in ("normalizer", "truncation", "padding"))
+        self.kept_whole = ["  ", "\n\n", " \n", "\n ", *OTHER_SPACE, *(t["content"] for t in stages["added_tokens"])]
         # Fixed value: the pattern of byte-level tokenizers.
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}  # of " word"
+        self.firsts: dict[str, bytes] = {}  # of "word" with no space before it
         self.parts: dict[str, bytes] = {}  # of pre-tokens
+        self.space, self.feed = self.batch([" ", "\n"])
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.batch([text])[0]
 
     def part(self, text: str) -> bytes:
         mapped = text.encode().decode("latin-1").translate(self.letters)
         return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > KEPT_WORDS:
-            self.words.clear()
+    @staticmethod
+    def unknown(words: set[str], table: dict[str, bytes]) -> list[str]:
+        new = [w for w in words if w not in table]
+        if len(table) + len(new) > KEPT_WORDS:
+            table.clear()
             new = list(words)
+        return new
+
+    def learn(self, words: set[str]) -> None:
+        new = self.unknown(words, self.words)
+        others = [w for w in new if not w.isascii() and max(w) >= SETTLED]
+        self.words.update(zip(others, self.batch([" " + w for w in others])))
+        new = [w for w in new if w.isascii() or max(w) < SETTLED]
         if len(self.parts) > KEPT_WORDS:
             self.parts.clear()
         if not new:
@@ -87,28 +114,33 @@ class WordEncoder:
             if (ids := known.get(x)) is None:
                 ids = known[x] = self.part(x)
             data.append(ids)
-        # one part of each word, and no other, begins with a space
+        # words hold no white space: one part of each, and no other, begins with a space
         starts = [k for k, x in enumerate(parts) if x[0] == " "]
         join = b"".join
-        for w, a, b in zip(new, starts, [*starts[1:], len(parts)]):
+        for w, a, b in zip(new, starts, [*starts[1:], len(parts)], strict=True):
             self.words[w] = data[a] if b == a + 1 else join(data[a:b])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if "  " in t else t.split(" ") for t in texts]
+        split = [None if not self.by_words or any(x in t for x in self.kept_whole) else [line.split(" ") for line in t.split("\n")] for t in texts]
         words: set[str] = set()
-        for parts in split:
-            if parts:
-                words.update(parts[1:])
+        firsts: set[str] = set()
+        for lines in split:
+            for line in lines or ():
+                firsts.add(line[0])
+                words.update(line[1:])
         words.discard("")
         self.learn(words)
-        known = self.words
-        known[""] = self.whole(" ")
+        new = self.unknown(firsts, self.firsts)
+        self.firsts.update(zip(new, self.batch(new)))
+        known, known_firsts, join = self.words, self.firsts, b"".join
+        known[""] = self.space
+        others = iter(self.batch([t for t, lines in zip(texts, split) if lines is None]))
         out = []
-        for text, parts in zip(texts, split):
-            if parts is None:
-                out.append(self.whole(text))
+        for lines in split:
+            if lines is None:
+                out.append(next(others))
             else:
-                out.append(self.whole(parts[0]) + b"".join(map(known.__getitem__, parts[1:])))
+                out.append(self.feed.join([known_firsts[line[0]] + join(map(known.__getitem__, line[1:])) for line in lines]))
         return out
 
 

@@ -70,6 +70,21 @@ def test_token_files(spark, prose):
     assert tok.round_trip(docs(spark, []), path).collect() == []
 
 
+def test_token_ids_are_the_library(prose):
+    """A tokenizer as the library loads it; white space of all kinds between words, in one batch."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["a\n b", "c \nd", " x\n \ny", "a\n \nb", " ", "\n", " \n", "\n ", " a ", "\na\n", "it's 's\n's don't", "x <|endoftext|> y", "<|endoftext|>", ""]
+    r = random.Random(5)
+    atoms = [" ", " ", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", " ", "​", "﻿", "a", "don't", "'s", "42", "!?", "é²ª", "你好", "\U0001f600", "Ᲊ", "<|endoftext|>"]
+    texts += ["".join(r.choice(atoms) for _ in range(r.randint(1, 12))) for _ in range(3000)]
+    texts += [prose(60) for _ in range(20)] + [a + s + b for a in ("x", "'s", "7") for b in ("'s", "é", "!") for s in (" ", "\n")]
+    got = tok.WordEncoder(path).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # SentencePiece
 
 
