@@ -9,16 +9,14 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import held_out_column
 
 
-def sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int, crop: int) -> tuple[list[bytes], list[int]]:
-    """Texts and labels of at most per_class documents of each label outside the held-out fold, in an order
-    of their hashed ids. Of a text longer than crop code points a piece at a hashed place is taken: this
-    bounds what reaches the driver to 2 * per_class * crop code points. Scoring always reads whole texts."""
+def sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int) -> tuple[list[bytes], list[int]]:
+    """Whole texts and labels of at most per_class documents of each label outside the held-out fold, the first in an order
+    of their hashed ids. Of rows that repeat an id the least text counts."""
     marks = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out_column(F.col("doc_id")))
     marks = marks.groupBy("doc_id").agg(F.max(column).alias("label"))
     order = [F.xxhash64("doc_id", F.lit(3)), F.col("doc_id")]
     picked = [marks.where(F.col("label") == k).orderBy(*order).limit(per_class) for k in (0, 1)]
     picked = F.broadcast(picked[0].union(picked[1]))  # at most 2 * per_class rows
-    at = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(F.length("text") - crop, F.lit(0)) + 1).cast("int") + 1
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(picked, "doc_id").select("doc_id", "label", F.substring("text", at, F.lit(crop)).alias("text"))
-    found = rows.dropDuplicates(["doc_id"]).toArrow().sort_by([("doc_id", "ascending")])
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(picked, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    found = rows.toArrow().sort_by([("doc_id", "ascending")])
     return found.column("text").cast(pa.binary()).to_pylist(), found.column("label").to_pylist()

@@ -8,7 +8,8 @@ chunks, to a logistic output: one probability.
 A filter over single bytes is a table of 256 weights for each of its WIDTH places. For scoring two
 neighbouring places are added up to one table of byte pairs, so that a response costs WIDTH / 2 look-ups
 of all filters at once. Training is by Adam, on a bounded sample of labelled documents (PER_CLASS of each
-label, CROP code points of each) outside the held-out fold; the same input gives the same network.
+label, whole texts) outside the held-out fold; the same input gives the same network. Responses are held for SLAB bytes
+at a time, in training as in scoring, so that a very long text takes no more memory than that beside itself.
 
 Defined results: a null or empty text is one chunk of padding and is scored like any other; without labels
 the score is 0.5, with labels of one kind only it is that label; repeated rows are all scored; an empty
@@ -29,11 +30,11 @@ from corpusloom.llm.common import held_out_column, ready_workers
 from corpusloom.llm.labelled import sample
 
 WIDTH, FILTERS, HALF = 6, 16, 128
-PER_CLASS, CROP = 1200, 3000
+PER_CLASS = 1200
 EPOCHS, BATCH, RATE, DECAY = 14, 64, 0.02, 1e-4
 THRESHOLD = 0.3
 #: Bytes whose responses are held at a time.
-SLAB = HALF << 11
+SLAB = HALF << 10
 
 
 @dataclass
@@ -50,7 +51,7 @@ class Network:
 
 def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All bytes one after the other, each text padded to whole halves with at least WIDTH zeros, and the number
-    of halves of each."""
+    of halves of each. A filter ends at its place: what it sees before a text is zeros, whatever text stands there."""
     halves = np.array([-(-(len(t) + WIDTH) // HALF) for t in texts])
     ends = np.cumsum(halves) * HALF
     x = np.zeros(int(ends[-1]) if len(texts) else 0, np.uint8)
@@ -62,7 +63,7 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def pooled(x: np.ndarray, pairs: list[np.ndarray]) -> np.ndarray:
     """The largest response of each filter in every half."""
     out = np.empty((len(x) // HALF, FILTERS), np.float32)
-    padded = np.concatenate([x, np.zeros(WIDTH, np.uint8)]).astype(np.int32)
+    padded = np.concatenate([np.zeros(WIDTH - 1, np.uint8), x]).astype(np.int32)
     codes = padded[:-1] * 256 + padded[1:]
     for a in range(0, len(x), SLAB):
         b = min(a + SLAB, len(x))
@@ -73,6 +74,22 @@ def pooled(x: np.ndarray, pairs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def pooled_with_places(x: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The largest response of each filter in every half, and where in x it is."""
+    top, best = np.empty((len(x) // HALF, FILTERS), np.float32), np.empty((len(x) // HALF, FILTERS), np.int64)
+    padded = np.concatenate([np.zeros(WIDTH - 1, np.uint8), x])
+    for a in range(0, len(x), SLAB):
+        b = min(a + SLAB, len(x))
+        r = tables[0][padded[a:b]]
+        for j in range(1, WIDTH):
+            r += tables[j][padded[a + j : b + j]]
+        r = r.reshape(-1, HALF, FILTERS)
+        at = r.argmax(axis=1)
+        top[a // HALF : b // HALF] = np.take_along_axis(r, at[:, None, :], axis=1)[:, 0, :]
+        best[a // HALF : b // HALF] = at + a + np.arange(len(at))[:, None] * HALF
+    return top, best
+
+
 def _chunks(halves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and second half of every chunk, and where the chunks of each text begin. A text of one half is one chunk."""
     n = np.maximum(halves - 1, 1)
@@ -109,13 +126,8 @@ def train(texts: list[bytes], labels: list[int], seed: int = 3) -> Network:
         for a in range(0, len(order), BATCH):
             own = order[a : a + BATCH]
             x, halves = laid_out([texts[i] for i in own])
-            padded = np.concatenate([x, np.zeros(WIDTH, np.uint8)]).astype(np.int64)
-            r = net.tables[0][padded[: len(x)]]
-            for j in range(1, WIDTH):
-                r = r + net.tables[j][padded[j : len(x) + j]]
-            r = r.reshape(-1, HALF, FILTERS)
-            best = r.argmax(axis=1)
-            top = np.take_along_axis(r, best[:, None, :], axis=1)[:, 0, :]
+            padded = np.concatenate([np.zeros(WIDTH - 1, np.uint8), x])
+            top, place = pooled_with_places(x, net.tables)
             f, h, first, second, starts = features(top, halves, net.bias)
             p = probability(f @ net.out + net.base)
             error = (p - y[own]) * weight[own] / len(own)
@@ -133,9 +145,8 @@ def train(texts: list[bytes], labels: list[int], seed: int = 3) -> Network:
             d_top = np.zeros_like(top, np.float64)
             np.add.at(d_top, first, d_h * from_first)
             np.add.at(d_top, second, d_h * ~from_first)
-            place = best + np.arange(len(best))[:, None] * HALF
             filters = np.broadcast_to(np.arange(FILTERS), place.shape)
-            d_tables = np.stack([np.bincount((padded[place + j] * FILTERS + filters).ravel(), d_top.ravel(), 256 * FILTERS).reshape(256, FILTERS) for j in range(WIDTH)])
+            d_tables = np.stack([np.bincount((padded[place + j].astype(np.int64) * FILTERS + filters).ravel(), d_top.ravel(), 256 * FILTERS).reshape(256, FILTERS) for j in range(WIDTH)])
             step += 1
             rate = RATE * (1 - epoch / EPOCHS)
             base = np.array([net.base])
@@ -156,7 +167,7 @@ def scored(net: Network, texts: list[bytes], pairs: list[np.ndarray]) -> np.ndar
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
-    return train(*sample(docs, labels, "quality", PER_CLASS, CROP))
+    return train(*sample(docs, labels, "quality", PER_CLASS))
 
 
 def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
