@@ -4,15 +4,16 @@ Tokens to learn from are labelled by the documents' labels: a token is toxic if
 labelled toxic and its word or a beginning of it occurs far more often in such documents than in clean ones.
 The field has features of each token (word, its first letters, its last letters) and transitions, and is
 fitted by Adam on the exact likelihood, with expectations from forward-backward. Forward-backward
-marginals of whole documents give the score (the chance that at least one tag among those above
-MARGINAL_FLOOR is right) and the offending spans (runs of tokens above SPAN).
+marginals p of whole documents give the score and the offending spans (runs of tokens above SPAN). The score is the larger of
+the largest marginal and 1 - product(1 - p * p): several tokens in doubt add up, but not the traces that
+every token of a long document leaves.
 
 Emissions depend on the token alone, so that each worker keeps them in a bounded table. Long documents are
 cut into windows that overlap by as many tokens as it takes for a neighbour's influence to fall below
 1e-9, which Birkhoff's contraction bounds by the transitions; windows are run side by side.
 
-Training takes a bounded sample: PER_CLASS documents of each label outside the held-out fold, CROP code
-points of each. The same input gives the same field.
+Training takes a bounded sample: PER_CLASS documents of each label outside the held-out fold, all of their tokens
+in windows of TRAIN_WINDOW. The same input gives the same field.
 
 Defined results: a null or empty text scores 0 and has no spans; without labels of both kinds nothing
 is toxic; repeated rows are all scored; an empty table gives an empty result; further columns are kept by
@@ -24,7 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,14 +36,14 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import held_out_column, ready_workers
 from corpusloom.llm.labelled import sample
 
-PER_CLASS, CROP = 1500, 12_000
+PER_CLASS = 1500
 #: Log odds above which a feature marks a token as toxic, and in how many toxic documents it stands at least.
 MARK_ODDS, MARK_DOCS, MARK_SHARE = 3.0, 4, 0.03
-#: Tokens of a training window; windows of each document.
-TRAIN_WINDOW, TRAIN_WINDOWS = 64, 2
+#: Tokens of a training window, windows that are held at a time.
+TRAIN_WINDOW, COLUMNS = 64, 2048
 STEPS, RATE, DECAY = 120, 0.15, 2e-5
 WINDOW = 512
-MARGINAL_FLOOR, SPAN, THRESHOLD = 0.1, 0.5, 0.5
+SPAN, THRESHOLD = 0.5, 0.5
 KEPT_TOKENS = 400_000
 _EDGES = b".,;:!?\"'()[]{}<>|#*$%&-_"
 
@@ -99,7 +100,7 @@ def forward_backward(odds: np.ndarray, a: np.ndarray, live: np.ndarray) -> tuple
     return marginal, joint
 
 
-def weak_tags(texts: list[list[bytes]], labels: list[int]) -> dict[bytes, bool]:
+def weak_tags(texts: Iterable[list[bytes]], labels: list[int]) -> dict[bytes, bool]:
     """Features that mark a token as toxic."""
     counts = Counter(), Counter()
     for tokens, y in zip(texts, labels):
@@ -109,46 +110,46 @@ def weak_tags(texts: list[list[bytes]], labels: list[int]) -> dict[bytes, bool]:
     return {f: True for f, c in counts[1].items() if c >= least and math.log((c + 0.5) / (toxic + 1)) - math.log((counts[0][f] + 0.5) / (clean + 1)) >= MARK_ODDS}
 
 
-def train(texts: list[bytes], labels: list[int], seed: int = 5) -> Field:
-    random = np.random.default_rng(seed)
-    split = [t.split() for t in texts]
-    marks = weak_tags(split, labels)
+def train(texts: list[bytes], labels: list[int]) -> Field:
+    marks = weak_tags((t.split() for t in texts), labels)
     if not marks or min(labels) == max(labels):
         return Field({}, -40.0, np.zeros((2, 2)))
-    windows: list[list[bytes]] = []
-    tags: list[list[int]] = []
-    for tokens, y in zip(split, labels):
-        own = [int(bool(y) and any(f in marks for f in token_features(t))) for t in tokens]
-        hits = [i for i, x in enumerate(own) if x]
-        for _ in range(TRAIN_WINDOWS):
-            centre = hits[random.integers(len(hits))] if hits else random.integers(max(1, len(tokens)))
-            begin = max(0, min(int(centre - random.integers(TRAIN_WINDOW)), len(tokens) - TRAIN_WINDOW))
-            if tokens[begin : begin + TRAIN_WINDOW]:
-                windows.append(tokens[begin : begin + TRAIN_WINDOW])
-                tags.append(own[begin : begin + TRAIN_WINDOW])
+    # a token's emission depends on the token alone: features are those of distinct tokens
+    kinds: dict[bytes, int] = {}
+    tokens = [np.array([kinds.setdefault(t, len(kinds)) for t in text.split()], np.int32) for text in texts]
     ids: dict[bytes, int] = {}
-    place, feature = [], []
-    m = len(windows)
-    live, truth = np.zeros((TRAIN_WINDOW, m), bool), np.zeros((TRAIN_WINDOW, m))
-    for k, (tokens, own) in enumerate(zip(windows, tags)):
-        live[: len(tokens), k] = True
-        truth[: len(own), k] = own
-        for i, t in enumerate(tokens):
-            for f in token_features(t):
-                place.append(i * m + k)
-                feature.append(ids.setdefault(f, len(ids)))
-    place, feature = np.array(place), np.array(feature)
+    of_kind, feature, marked = [], [], np.zeros(len(kinds), bool)
+    for t, k in kinds.items():
+        found = token_features(t)
+        marked[k] = any(f in marks for f in found)
+        of_kind.extend([k] * len(found))
+        feature.extend(ids.setdefault(f, len(ids)) for f in found)
+    of_kind, feature = np.array(of_kind, np.int32), np.array(feature, np.int32)
+    m = sum(-(-len(own) // TRAIN_WINDOW) for own in tokens)
+    live, truth, kind = np.zeros((TRAIN_WINDOW, m), bool), np.zeros((TRAIN_WINDOW, m), bool), np.zeros((TRAIN_WINDOW, m), np.int32)
+    column = 0
+    for own, y in zip(tokens, labels):
+        for begin in range(0, len(own), TRAIN_WINDOW):
+            part = own[begin : begin + TRAIN_WINDOW]
+            live[: len(part), column], kind[: len(part), column] = True, part
+            truth[: len(part), column] = marked[part] & bool(y)
+            column += 1
     w, bias, trans = np.zeros(len(ids)), -3.0, np.zeros(3)  # transitions 1-1, 0-1, 1-0 against 0-0
-    both = live[1:]
-    seen = np.stack([truth[:-1] * truth[1:], (1 - truth[:-1]) * truth[1:], truth[:-1] * (1 - truth[1:])]) * both
+    was, is_, both = truth[:-1], truth[1:], live[1:]
+    seen = np.array([np.count_nonzero(x & both) for x in (was & is_, ~was & is_, was & ~is_)], float)
     first, second = [np.zeros_like(w), 0.0, np.zeros(3)], [np.zeros_like(w), 0.0, np.zeros(3)]
-    total = live.sum()
+    scale = TRAIN_WINDOW / live.sum()
     for step in range(1, STEPS + 1):
-        score = bias + np.bincount(place, w[feature], TRAIN_WINDOW * m).reshape(TRAIN_WINDOW, m)
+        emission = bias + np.bincount(of_kind, w[feature], len(kinds))
         a = np.exp(np.array([[0.0, trans[1]], [trans[2], trans[0]]]))
-        marginal, joint = forward_backward(np.exp(np.clip(score, -40, 40)), a, live)
-        error = (marginal - truth) * live / total * TRAIN_WINDOW
-        slopes = [np.bincount(feature, error.ravel()[place], len(w)) + DECAY * w, error.sum(), (joint - seen).sum(axis=(1, 2)) / total * TRAIN_WINDOW + DECAY * trans]
+        by_kind, expected = np.zeros(len(kinds)), np.zeros(3)
+        for c in range(0, m, COLUMNS):
+            own = slice(c, c + COLUMNS)
+            marginal, joint = forward_backward(np.exp(np.clip(emission[kind[:, own]], -40, 40)), a, live[:, own])
+            error = (marginal - truth[:, own]) * live[:, own]
+            by_kind += np.bincount(kind[:, own].ravel(), error.ravel(), len(kinds))
+            expected += joint.sum(axis=(1, 2))
+        slopes = [np.bincount(feature, by_kind[of_kind], len(w)) * scale + DECAY * w, by_kind.sum() * scale, (expected - seen) * scale + DECAY * trans]
         new = []
         for k, (value, slope) in enumerate(zip((w, bias, trans), slopes)):
             first[k] = 0.9 * first[k] + 0.1 * slope
@@ -200,8 +201,7 @@ class Tagger:
         """Score and spans (start and end in code points) of each text."""
         scores, spans = [], []
         for text, p in zip(texts, self.marginals(texts)):
-            high = p[p >= MARGINAL_FLOOR]
-            scores.append(float(1 - np.prod(1 - high)) if len(high) else float(p.max(initial=0.0)))
+            scores.append(float(max(p.max(initial=0.0), 1 - np.prod(1 - p * p))))
             spans.append(_spans(text, p) if (p >= SPAN).any() else [])
         return scores, spans
 
@@ -225,7 +225,7 @@ def _spans(text: bytes, p: np.ndarray) -> list[dict]:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Field:
-    return train(*sample(docs, labels, "toxic", PER_CLASS, CROP))
+    return train(*sample(docs, labels, "toxic", PER_CLASS))
 
 
 _SPANS = "array<struct<start:int,end:int>>"
