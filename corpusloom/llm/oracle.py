@@ -71,26 +71,36 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, word
 from judged"""
 
 
-def _canonical_lines(x: str) -> str:
+def _plain(x: str) -> str:
     out = f"regexp_replace(lower({x}), '{licenses.COPYRIGHT_LINE}', '\\1', 'g')"
     out = f"regexp_replace({out}, '[^a-z0-9\n]+', ' ', 'g')"
     out = f"' ' || replace(replace({out}, ' ', '  '), chr(10), ' ' || chr(10) || ' ') || ' '"  # each word between spaces of its own
     for variant, spelling in licenses.SPELLINGS.items():
         out = f"replace({out}, ' {variant.replace(' ', '  ')} ', ' {spelling} ')"
-    return f"list_filter(list_transform(string_split({out}, chr(10)), lambda l: trim(regexp_replace(l, ' +', ' ', 'g'))), lambda l: l <> '')"
+    return out
+
+
+def _canonical(plain: str) -> str:
+    lines = f"list_filter(list_transform(string_split({plain}, chr(10)), lambda l: trim(regexp_replace(l, ' +', ' ', 'g'))), lambda l: l <> '' and not regexp_matches(l, '{licenses.TITLE}'))"
+    blocks = f"list_transform(list_filter(string_split_regex({plain}, '\n[ \n]*\n'), lambda l: regexp_matches(l, '[a-z0-9] *\n *[a-z0-9]')), lambda l: trim(regexp_replace(l, '[ \n]+', ' ', 'g')))"
+    return f"{lines} as ls, {blocks} as bs"
 
 
 def license_scan() -> str:
     known = ", ".join(f"({i}, '{n}', '{t.replace(chr(39), chr(39) * 2)}')" for i, (n, t) in enumerate(licenses.KNOWN))
+    long = ", ".join(f"('{d}', '{n}')" for n, _, d in licenses.LONG)
     return rf"""
-with known as (select md5(array_to_string({_canonical_lines('t')}, ' ')) as d, arg_min(n, i) as license from (values {known}) v(i, n, t) group by 1),
-canon as (select doc_id, {_canonical_lines("coalesce(text, '')")} as ls from documents),
-docs as (select doc_id, digest, any_value(ls) as ls from (select doc_id, md5(array_to_string(ls, ' ')) as digest, ls from canon) group by doc_id, digest),
-lines as (
-  select doc_id, digest, license from (select doc_id, digest, md5(l) as d from docs, lateral (select unnest(ls) as l)) u join known using (d))
-select docs.doc_id, docs.digest, any_value(known.license) as text_license, count(lines.license)::bigint as notice_lines,
-  coalesce(array_to_string(list_sort(list_distinct(list_concat(list(lines.license) filter (lines.license is not null), list(known.license) filter (known.license is not null)))), ','), '') as licenses
-from docs left join known on docs.digest = known.d left join lines on docs.doc_id = lines.doc_id and docs.digest = lines.digest group by docs.doc_id, docs.digest"""
+with texts as (select i, n, {_plain('t')} as p from (values {known}) v(i, n, t)),
+known as (
+  select md5(array_to_string(ls, ' ')) as d, arg_min(n, i) as license from (select i, n, {_canonical('p')} from texts) group by 1
+  union all select * from (values {long}) v(d, license)),
+plain as (select row_number() over () as row_id, doc_id, {_plain("coalesce(text, '')")} as p from documents),
+docs as (select row_id, doc_id, md5(array_to_string(ls, ' ')) as digest, ls, bs from (select row_id, doc_id, {_canonical('p')} from plain)),
+units as (select row_id, license from (select row_id, md5(l) as d from docs, lateral (select unnest(list_concat(ls, bs)) as l)) u join known using (d)),
+notices as (select row_id, count(*)::bigint as n, list(license) as found from units group by row_id)
+select doc_id, digest, known.license as text_license, coalesce(notices.n, 0) as notice_lines,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(found, []), case when known.license is null then [] else [known.license] end))), ','), '') as licenses
+from docs left join known on docs.digest = known.d left join notices using (row_id)"""
 
 
 def url_judge() -> str:
@@ -102,21 +112,28 @@ def url_judge() -> str:
     strength = lambda t: f"""
   (select case when n is null then {u.MOST_STRENGTH} when v > 0 then least({u.MOST_STRENGTH}, greatest({u.LEAST_STRENGTH}, m * (1 - m) / v - 1)) else {u.MOST_STRENGTH} end from (
     select n, m, q / n - m * m - m * (1 - m) * (k - 1) / n as v from (
-      select sum(pages) as n, sum(bad)::double / sum(pages) as m, count(*) as k, sum((bad * bad)::double / pages) as q from {t})))"""
+      select sum(pages) as n, sum(bad)::double / sum(pages) as m, count(*) as k, sum((bad * bad)::double / pages) as q from {t} where pages > 0)))"""
+    suffixes = ", ".join(f"'{x}'" for x in u.SUFFIXES)
     return rf"""
 with parsed as (
   select page_id, url, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
     coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') as path from pages),
 marks as (select doc_id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad from labels group by doc_id),
+hosts0 as (
+  select host, count(marks.doc_id) as pages, coalesce(sum(bad), 0) as bad, regexp_replace(host, '^.*@|:[0-9]*$|\.$', '', 'g') as site
+  from parsed left join marks on marks.doc_id = try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) as bigint) group by host),
+named as (
+  select *, regexp_matches(site, '^[0-9]+(\.[0-9]+){{3}}$') as number, array_to_string(string_split(site, '.')[-2:], '.') in ({suffixes}) as two,
+    string_split(site, '.') as parts from hosts0),
 hosts as (
-  select host, count(*) as pages, sum(bad) as bad, array_to_string(string_split(host, '.')[-2:], '.') as domain, string_split(host, '.')[-1] as suffix
-  from parsed join marks on marks.doc_id = try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) as bigint) group by host),
+  select host, pages, bad, case when number then site when two then array_to_string(parts[-2:], '.') else parts[-1] end as suffix,
+    case when number then site when two then array_to_string(parts[-3:], '.') else array_to_string(parts[-2:], '.') end as domain from named),
 domains as (select domain, suffix, sum(pages) as pages, sum(bad) as bad from hosts group by domain, suffix),
 suffixes as (select suffix, sum(pages) as pages, sum(bad) as bad from domains group by suffix),
-s as (select {strength('suffixes')} as s1, {strength('domains')} as s2, {strength('hosts')} as s3, (select sum(bad)::double / sum(pages) from hosts) as m0),
+s as (select {strength('suffixes')} as s1, {strength('domains')} as s2, {strength('hosts')} as s3, (select coalesce(sum(bad)::double / nullif(sum(pages), 0), 0.0) from hosts) as m0),
 m as (
   select h.host, (h.bad + s3 * ((d.bad + s2 * ((x.bad + s1 * m0) / (x.pages + s1))) / (d.pages + s2))) / (h.pages + s3) as mean, h.pages + s3 as n
   from hosts h join domains d on h.domain = d.domain join suffixes x on d.suffix = x.suffix, s),
 b as (select host, mean, mean - {u.QUANTILE} * sqrt(mean * (1 - mean) / (n + 1)) as low from m)
 select page_id, host, path, {rule} as rule, coalesce({verdict}, case when low > {u.MAX_BAD} then 'block' else 'allow' end) as verdict,
-  round(mean, 6) as bad_rate, round(low, 6) as lower_bound from parsed left join b using (host)"""
+  round(mean, 6) as bad_rate, round(low, 6) as lower_bound from parsed join b using (host)"""
