@@ -2,19 +2,22 @@
 
 Three machines are compiled from the model file and composed with each input:
 
-- the normaliser (space to the word mark, one mark before the text),
-- the pieces, each an arc from the position where it begins to the one where it ends, with its id as output,
+- the normaliser: a rewriting machine of the model's character map (the longest entry at a place is written as its
+  replacement), then space to the word mark and one mark before the text;
+- the pieces: states are beginnings of pieces, arcs are letters, a final state writes the piece's id and weighs minus its score;
 - the byte fallback, which gives a letter that no piece covers one arc for each of its UTF-8 bytes.
 
-The encoding is the shortest path in the tropical semiring. In a unigram model an arc weighs minus the
-piece's score. In a merge (BPE) model the order of merges decides, not a sum of scores, so the
+The composition's states are the positions of the input. An arc leads from where a piece begins to where it ends, and the
+encoding is the shortest path in the tropical semiring: positions are relaxed from left to right. In a unigram model
+an arc's weight is that of its final state. In a merge (BPE) model the order of merges decides, not a sum of scores, so the
 piece machine is composed with one more acceptor whose states are pieces: the arc from piece a to piece b
 weighs 0 if the merges, applied to the letters of a and b alone, end in exactly a and b, and is absent
 (weight infinity) otherwise. A sequence of pieces is what the merges make of a text exactly if all its
-neighbours are such pairs, so that the only path of finite weight is the library's own encoding.
+neighbours are such pairs, so that the only path of finite weight is the library's own encoding; a position that is reached
+needs no further arcs.
 
 No piece spans two adjacent letters that no piece holds side by side; inputs are cut there, and encoded
-parts are kept in a bounded table of each worker.
+parts are kept in a bounded table of each worker. Models with user-defined pieces, or that mark words at their end, are refused.
 
 Defined results: a null or empty text has no pieces and comes back empty; repeated rows are all
 returned; an empty table gives an empty result; further columns are kept by encode() and ignored by
@@ -42,6 +45,71 @@ UNIGRAM, BPE = 1, 2
 _machines: dict[str, "Transducer"] = {}
 
 
+def character_map(blob: bytes) -> dict[str, str]:
+    """The entries of a model's character map: a double-array trie of UTF-8 keys (fixed format of public model files:
+    size of the trie, its units, then the replacements, each ended by a zero)."""
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, texts = np.frombuffer(blob, "<u4", size // 4, 4).astype(np.int64), blob[4 + size :]
+    letters, found = np.arange(1, 256), {}
+    offset = lambda u: (u >> 10) << ((u & 512) >> 6)
+    open_ = [(b"", int(offset(units[0])))]
+    while open_:
+        key, base = open_.pop()
+        at = base ^ letters
+        at, label = at[at < len(units)], letters[at < len(units)]
+        fits = (units[at] & 0x800000FF) == label
+        for place, letter in zip(at[fits].tolist(), label[fits].tolist()):
+            unit, longer = int(units[place]), key + bytes([letter])
+            below = place ^ offset(unit)
+            if unit >> 8 & 1:
+                start = int(units[below]) & 0x7FFFFFFF
+                found[longer.decode("utf-8", "replace")] = texts[start : texts.index(0, start)].decode("utf-8", "replace")
+            open_.append((longer, below))
+    return found
+
+
+def trie(words) -> dict:
+    """States and arcs of a machine that reads words: a state is a table of arcs; under the empty letter it names the word."""
+    root: dict = {}
+    for word in words:
+        state = root
+        for letter in word:
+            state = state.setdefault(letter, {})
+        state[""] = word
+    return root
+
+
+class Normaliser:
+    """What a model does to a text before it looks for pieces."""
+
+    def __init__(self, spec):
+        self.map = character_map(spec.precompiled_charsmap)
+        self.start, self.firsts = trie(self.map), {k[0] for k in self.map}
+        self.prefix, self.trims = spec.add_dummy_prefix, spec.remove_extra_whitespaces
+
+    def rewritten(self, text: str) -> str:
+        if not self.map or self.firsts.isdisjoint(text):
+            return text
+        out, at, n = [], 0, len(text)
+        while at < n:
+            state, k, longest = self.start, at, None
+            while k < n and (state := state.get(text[k])) is not None:
+                k += 1
+                if "" in state:
+                    longest = state[""]
+            out.append(text[at] if longest is None else self.map[longest])
+            at += 1 if longest is None else len(longest)
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        text = self.rewritten(text)
+        if self.trims:
+            text = " ".join(x for x in text.split(" ") if x)
+        return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
+
+
 class Transducer:
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2
@@ -49,22 +117,18 @@ class Transducer:
         model = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
-        norm = model.normalizer_spec
-        if norm.precompiled_charsmap or model.trainer_spec.treat_whitespace_as_suffix or not norm.escape_whitespaces:
-            raise ValueError("only models whose normaliser maps no letters and marks words at their start")
-        self.prefix, self.trims, self.kind = norm.add_dummy_prefix, norm.remove_extra_whitespaces, model.trainer_spec.model_type
+        if model.trainer_spec.treat_whitespace_as_suffix or not model.normalizer_spec.escape_whitespaces or any(p.type == USER for p in model.pieces):
+            raise ValueError("only models that mark words at their start and have no user-defined pieces")
+        self.normalised, self.kind = Normaliser(model.normalizer_spec), model.trainer_spec.model_type
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models")
-        self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type in (NORMAL, USER)}
-        self.score = {p.piece: p.score for p in model.pieces if p.type in (NORMAL, USER)}
+        self.prefix = model.normalizer_spec.add_dummy_prefix
+        self.plain = self.prefix and not self.normalised.trims and not self.normalised.map
+        self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
+        self.score = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
         self.bytes = {int(p.piece[3:-1], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.unknown = next((i for i, p in enumerate(model.pieces) if p.type == UNKNOWN), 0)
-        #: By the last two letters of a piece: lengths that such pieces have, longest first.
-        lengths: dict[str, set[int]] = {}
-        for p in self.ids:
-            if len(p) > 1:
-                lengths.setdefault(p[-2:], set()).add(len(p))
-        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
+        self.start = trie(self.ids)
         self.unknown_weight = 10.0 - min(self.score.values(), default=0.0)
         self.together = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -72,7 +136,7 @@ class Transducer:
         self.words: dict[str, bytes] = {}
         self.output = [b""] * len(model.pieces)
         for i, p in enumerate(model.pieces):
-            if p.type in (NORMAL, USER):
+            if p.type == NORMAL:
                 self.output[i] = p.piece.replace(MARK, " ").encode()
             elif p.type == BYTE:
                 self.output[i] = bytes([int(p.piece[3:-1], 16)])
@@ -107,43 +171,39 @@ class Transducer:
 
     # shortest paths
 
-    def arcs(self, part: str, end: int) -> Iterator[str]:
-        """Pieces that end at a position, and the single letter there."""
-        for n in self.lengths.get(part[end - 2 : end], ()) if end > 1 else ():
-            if n <= end and part[end - n : end] in self.ids:
-                yield part[end - n : end]
-        yield part[end - 1]
-
     def path(self, part: str) -> list[str]:
-        """Labels of the shortest path through a part of an input."""
+        """Labels of the shortest path through a part of an input: pieces, and letters that go to the fallback."""
+        n, start, infinite = len(part), self.start, float("inf")
+        weight, back = [0.0] + [infinite] * n, [""] * (n + 1)
         if self.kind == BPE:
-            # all weights are 0 or infinity, and each position has one finite predecessor
-            last: list[str] = [""]
-            ids, pairs, lengths = self.ids, self.pairs, self.lengths
-            for end in range(1, len(part) + 1):
-                for n in lengths.get(part[end - 2 : end], ()) if end > 1 else ():
-                    if n <= end and (piece := part[end - n : end]) in ids:
-                        pair = (last[end - n], piece)
-                        if pairs[pair] if pair in pairs else self.joined(*pair):
-                            last.append(piece)
-                            break
-                else:
-                    last.append(part[end - 1])
-            out, at = [], len(part)
-            while at:
-                out.append(last[at])
-                at -= len(last[at])
-            return out[::-1]
-        weight, back = [0.0], [""]
-        for end in range(1, len(part) + 1):
-            best, by = float("inf"), ""
-            for piece in self.arcs(part, end):
-                w = weight[end - len(piece)] + (-self.score[piece] if piece in self.ids else self.unknown_weight)
-                if w < best:
-                    best, by = w, piece
-            weight.append(best)
-            back.append(by)
-        out, at = [], len(part)
+            pairs, joined = self.pairs, self.joined
+            for begin in range(n):
+                if weight[begin] == infinite:  # no pair of pieces leads here: the letter by itself
+                    weight[begin], back[begin] = weight[begin - 1], part[begin - 1]
+                state, last = start, back[begin]
+                for end in range(begin, n):
+                    state = state.get(part[end])
+                    if state is None:
+                        break
+                    if "" in state and weight[end + 1] == infinite:
+                        pair = (last, state[""])
+                        if pairs[pair] if pair in pairs else joined(*pair):
+                            weight[end + 1], back[end + 1] = weight[begin], pair[1]
+            if weight[n] == infinite:
+                back[n] = part[n - 1]
+        else:
+            score, unknown = self.score, self.unknown_weight
+            for begin in range(n):
+                state, here = start, weight[begin]
+                for end in range(begin, n):
+                    state = state.get(part[end])
+                    if state is None:
+                        break
+                    if "" in state and (w := here - score[state[""]]) < weight[end + 1]:
+                        weight[end + 1], back[end + 1] = w, state[""]
+                if part[begin] not in score and here + unknown < weight[begin + 1]:
+                    weight[begin + 1], back[begin + 1] = here + unknown, part[begin]
+        out, at = [], n
         while at:
             out.append(back[at])
             at -= len(back[at])
@@ -166,7 +226,16 @@ class Transducer:
         return found
 
     def segment(self, text: str) -> bytes:
-        """Ids of a normalised input: cut where no piece can lie, then part by part."""
+        """Ids of a normalised input. Without a byte fallback unknown letters side by side are one unknown piece."""
+        ids = self.cut(text)
+        if self.bytes:
+            return ids
+        numbers = np.frombuffer(ids, "<u4")
+        unknown = numbers == self.unknown
+        return numbers[~(unknown & np.concatenate([[False], unknown[:-1]]))].tobytes() if unknown.any() else ids
+
+    def cut(self, text: str) -> bytes:
+        """A normalised input cut where no piece can lie, part by part."""
         together, cuts = self.together, [0]
         for k in range(1, len(text)):
             if text[k - 1 : k + 1] not in together:
@@ -176,16 +245,11 @@ class Transducer:
         cuts.append(len(text))
         return b"".join([self.part_ids(text[a:b]) for a, b in zip(cuts, cuts[1:])])
 
-    def normalised(self, text: str) -> str:
-        if self.trims:
-            text = " ".join(x for x in text.split(" ") if x)
-        return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
-
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
         if not text:
             return b""
-        if "  " in text or MARK in text or not self.prefix or self.trims or self.kind != BPE or text[0] == " " or text[-1] == " ":
+        if "  " in text or MARK in text or not self.plain or self.kind != BPE or not self.bytes or text[0] == " " or text[-1] == " ":
             return self.segment(self.normalised(text))
         words, out = self.words, []
         for word in text.split(" "):
