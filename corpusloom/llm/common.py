@@ -22,11 +22,13 @@ _scratch: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, one machine) a temporary folder is made and set.
+    Only where that is unset and Spark runs in one process (tests) a temporary folder is made and set.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         where = spark.sparkContext.getCheckpointDir()
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not where:
         where = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.sparkContext.setCheckpointDir(where)
@@ -35,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is deleted when the driver ends."""
+    """A new path in the shared folder; it is deleted by cleared(), or when the driver ends."""
     path = f"{shared_dir(spark)}/corpusloom-{uuid.uuid4().hex}/{name}"
     _scratch.append((spark, path))
     return path
@@ -50,15 +52,31 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _scratch:
+def scratch_mark() -> int:
+    """Where the scratch paths of what follows begin, for cleared()."""
+    return len(_scratch)
+
+
+def cleared(since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the scratch tables that were made since a mark, but for those that keep reads. Results that are not written yet
+    are lost with them."""
+    kept = " ".join(keep.inputFiles()) if keep is not None else ""
+    left = []
+    for spark, path in _scratch[since:]:
+        folder = path.rsplit("/", 1)[0]
+        if folder.rsplit("/", 1)[1] in kept:
+            left.append((spark, path))
+            continue
         try:
             jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc
-            p = jvm.org.apache.hadoop.fs.Path(path).getParent()
+            p = jvm.org.apache.hadoop.fs.Path(folder)
             p.getFileSystem(sc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the session is gone: nothing can be deleted any more
-            return
+            continue
+    _scratch[since:] = left
+
+
+atexit.register(cleared)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +106,8 @@ def held_out_column(doc_id: Column) -> Column:
 
 
 def ready_workers(spark: SparkSession, rows: int = 1000) -> None:
-    """Python workers get this package, and whole texts in batches of so many rows that long ones fit in memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Python workers get this package, and whole texts in batches of so many rows at most that long ones fit in memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:  # a plan reads this when it runs: a bound that is set stays
+        spark.conf.set(name, str(rows))
     ship(spark)
