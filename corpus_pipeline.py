@@ -9,6 +9,11 @@ as the next stage's docs. All but the last return the columns of documents.
 4. Mixing: documents are repeated or left out so that each source's words meet its target; the one at a
    source's cut ends with the last word that is taken. What is left out is what the budget leaves no room for.
 5. SentencePiece: the ids of each document, and whether they decode to its text.
+
+Defined results: a null text counts as an empty one everywhere; empty texts are scored like any others, link with
+nothing and take no place in the mix (they have no words); of rows that repeat an id, and of equal texts whether they
+have an id or not, one stays; a null source is a source of its own; an empty table gives an empty result; further columns are
+carried along up to the mix.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import jaccard_join, mixing, quality_cnn, sentencepiece_fst, toxicity_crf
-from corpusloom.llm.common import stored, table
+from corpusloom.llm.common import cleared, scratch_mark, stored, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +59,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), scratch_mark()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", "zstd")
+        cleared(mark, keep=docs)  # a stage's own tables, and its predecessor's result
     return STAGES[-1][1](spark, docs, sf_dir)
