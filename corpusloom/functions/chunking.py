@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from corpusloom.functions.text import collapse
+from corpusloom.functions.text import collapse, once
 
 SIZE, OVERLAP = 700, 120
 
@@ -22,10 +22,10 @@ def _checked(size: int, overlap: int) -> None:
 def fixed_windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """Windows over the text with collapsed white space; the last one reaches its end."""
     _checked(size, overlap)
-    clean, step = collapse(text), size - overlap
-    last = F.greatest(F.lit(0), F.ceil((F.length(clean) - size) / step)).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.trim(F.substr(clean, i * step + 1, F.lit(size))))
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.filter(pieces, lambda p: p != ""))
+    step = size - overlap
+    last = lambda clean: F.greatest(F.lit(0), F.ceil((F.length(clean) - size) / step)).cast("int")
+    pieces = lambda clean: F.transform(F.sequence(F.lit(0), last(clean)), lambda i: F.trim(F.substr(clean, i * step + 1, F.lit(size))))
+    return once(collapse(text), lambda clean: F.when(clean == "", F.array().cast("array<string>")).otherwise(F.filter(pieces(clean), lambda p: p != "")))
 
 
 def structural(content: Column, units: Column) -> Column:
@@ -36,42 +36,39 @@ def structural(content: Column, units: Column) -> Column:
 
 
 def split_long(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
-    """Windows that end at the last line break, else the last space, in their second two thirds."""
+    """Windows of at most size characters, each beginning overlap characters before the end of the one before. A window that is
+    not the last ends behind its last line break, or before its last blank, where that leaves a third of it."""
     _checked(size, overlap)
-    text, start, out = text.strip(), 0, []
-    while start < len(text):
-        end = min(len(text), start + size)
-        if end < len(text):
-            window = text[start:end]
-            for mark, keep in (("\n", 1), (" ", 0)):
-                cut = window.rfind(mark)
-                if cut >= size // 3:
-                    end = start + cut + keep
-                    break
-        if piece := text[start:end].strip():
-            out.append(piece)
-        if end >= len(text):
-            break
-        start = max(start + 1, end - overlap)  # moves on even where the overlap reaches back to the start
-    return out
+    text = text.strip()
+    windows, begin = [], 0
+    while len(text) - begin > size:
+        breaks = (text.rfind("\n", begin, begin + size) + 1, text.rfind(" ", begin, begin + size))
+        least = (begin + size // 3 + 1, begin + size // 3)
+        end = next((at for at, low in zip(breaks, least) if at >= low), begin + size)
+        windows.append((begin, end))
+        begin = max(begin + 1, end - overlap)
+    if begin < len(text):
+        windows.append((begin, len(text)))
+    return [piece for a, b in windows if (piece := text[a:b].strip())]
 
 
 def pack_paragraphs(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
     """Paragraphs put together up to the size; longer ones are split."""
     _checked(size, overlap)
-    out: list[str] = []
-    open_ = ""
-    for p in filter(None, (p.strip() for p in re.split(r"\n\s*\n+", text.strip()))):
-        joined = f"{open_}\n\n{p}" if open_ else p
-        if len(joined) <= size:
-            open_ = joined
+    packs: list[list[str]] = []
+    room = -1  # of the last pack; none may be added to a long paragraph
+    for paragraph in map(str.strip, re.split(r"\n\s*\n+", text.strip())):
+        need = len(paragraph) + 2
+        if not paragraph:
             continue
-        if open_:
-            out.append(open_)
-        open_ = p if len(p) <= size else ""
-        if not open_:
-            out.extend(split_long(p, size, overlap))
-    return [*out, open_] if open_ else out
+        if need <= room:
+            packs[-1].append(paragraph)
+            room -= need
+        else:
+            packs.append([paragraph])
+            room = size - len(paragraph)
+    whole = ["\n\n".join(pack) for pack in packs]
+    return [piece for pack in whole for piece in (split_long(pack, size, overlap) if len(pack) > size else [pack])]
 
 
 @F.pandas_udf(ArrayType(StringType()))

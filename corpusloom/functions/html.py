@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -56,78 +55,138 @@ def links(html: Column) -> Column:
     return F.filter(found, lambda x: ~x.rlike(r"(?i)^\s*(mailto:|tel:|javascript:)"))
 
 
-class _Tree(HTMLParser):
-    """A light tree: tag, children (tags or strings), parent."""
+#: Elements whose start ends open ones, and the elements beyond which it does not look for them.
+_ENDS = {
+    "li": ({"li"}, {"ul", "ol"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "tr": ({"tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+    "option": ({"option"}, {"select"}),
+    **{part: ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}) for part in ("thead", "tbody", "tfoot")},
+}
+_BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = ["", [], None]
 
-    def handle_starttag(self, tag, attrs):
-        node = [tag, [], self.at]
-        self.at[1].append(node)
-        if tag not in _VOID:
-            self.at = node
+class _Node:
+    __slots__ = ("tag", "parent", "table", "first", "last", "end", "has_cell")
 
-    def handle_endtag(self, tag):
-        node = self.at
-        while node is not self.root and node[0] != tag:
-            node = node[2]
-        if node is not self.root:
-            self.at = node[2]
+    def __init__(self, tag: str, parent: int, table: int, first: int):
+        self.tag, self.parent, self.table, self.first = tag, parent, table, first
+        self.last = self.end = self.has_cell = 0
 
-    def handle_data(self, data):
-        self.at[1].append(data)
 
+class _Page(HTMLParser):
+    """The elements of a page in the order in which they begin, each with the range of pieces of text in it. Nothing is nested,
+    so that a page may be as deep as it likes; end tags that authors leave out are put in."""
 
-def _walk(node) -> Iterator:
-    for child in node[1]:
-        if not isinstance(child, str):
-            yield child
-            yield from _walk(child)
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.nodes, self.texts, self.open, self.count = [], [], [], {}
+        self.feed(html)
+        self.close()
+        self.close_from(0)
+
+    def close_from(self, depth: int) -> None:
+        for k in self.open[depth:]:
+            node = self.nodes[k]
+            node.last, node.end = len(self.texts), len(self.nodes)
+            self.count[node.tag] -= 1
+        del self.open[depth:]
+
+    def end_open(self, tags: set[str], scope: set[str]) -> None:
+        """Close the outermost open element of these that stands within the scope."""
+        if not any(self.count.get(t) for t in tags):
+            return
+        found = None
+        for depth in range(len(self.open) - 1, -1, -1):
+            tag = self.nodes[self.open[depth]].tag
+            if tag in scope:
+                break
+            if tag in tags:
+                found = depth
+        if found is not None:
+            self.close_from(found)
 
+    def handle_starttag(self, tag, attrs):
+        if tag in _BLOCKS:
+            self.end_open({"p"}, {"table", "td", "th", "li", "dd", "body"})
+        if tag in _ENDS:
+            self.end_open(*_ENDS[tag])
+        parent = self.open[-1] if self.open else -1
+        table = -1 if parent < 0 else parent if self.nodes[parent].tag == "table" else self.nodes[parent].table
+        self.nodes.append(_Node(tag, parent, table, len(self.texts)))
+        if tag == "td":
+            row = next((k for k in reversed(self.open) if self.nodes[k].tag == "tr"), None) if self.count.get("tr") else None
+            if row is not None:
+                self.nodes[row].has_cell = 1
+        if tag in _VOID:
+            self.nodes[-1].last, self.nodes[-1].end = len(self.texts), len(self.nodes)
+        else:
+            self.open.append(len(self.nodes) - 1)
+            self.count[tag] = self.count.get(tag, 0) + 1
 
-def _text(node) -> str:
-    if isinstance(node, str):
-        return node.strip()
-    return "\n".join(x for x in map(_text, node[1]) if x)
+    def handle_endtag(self, tag):
+        if self.count.get(tag):
+            depth = next(d for d in range(len(self.open) - 1, -1, -1) if self.nodes[self.open[d]].tag == tag)
+            self.close_from(depth)
 
+    def handle_data(self, data):
+        if data := data.strip():
+            self.texts.append(data)
 
-def _above(node, tags) -> list | None:
-    node = node[2]
-    while node is not None and node[0] not in tags:
-        node = node[2]
-    return node
+    def text(self, node: _Node) -> str:
+        return "\n".join(self.texts[node.first : node.last])
 
 
 def units_of(html: str | None) -> list[str]:
-    """Table rows with cells, direct list items outside tables, and terms with their definitions: each once, at
-    least three characters, at most UNIT_CHARS, at most MOST_UNITS of a page."""
-    tree = _Tree()
-    tree.feed(re.sub(r"(?is)<(script|style|noscript|svg)\b.*?</\1\s*>", "", html or ""))
-    tree.close()
-    nodes = list(_walk(tree.root))
-    root = next((n for tag in ("main", "article", "body") for n in nodes if n[0] == tag), tree.root)
-    nodes = list(_walk(root))
-    candidates = [_text(r) for t in nodes if t[0] == "table" for r in _walk(t) if r[0] == "tr" and _above(r, ("table",)) is t and any(c[0] == "td" for c in _walk(r))]
-    candidates += [_text(i) for n in nodes if n[0] in ("ul", "ol") and _above(n, ("table",)) is None for i in n[1] if not isinstance(i, str) and i[0] == "li"]
-    for d in (n for n in nodes if n[0] == "dl"):
-        group: list[str] | None = None
-        for child in (c for c in d[1] if not isinstance(c, str)):
-            if child[0] == "dt":
-                if group:
-                    candidates.append("\n".join(x for x in group if x))
-                group = [_text(child)]
-            elif child[0] == "dd" and group is not None:
-                group.append(_text(child))
-        if group:
-            candidates.append("\n".join(x for x in group if x))
+    """Records of a page: table rows with cells, direct list items outside tables, and terms with their definitions: each once,
+    at least three characters, at most UNIT_CHARS. Once there are MOST_UNITS no further row or list is begun."""
+    page = _Page(re.sub(r"(?is)<(script|style|noscript|svg)\b.*?</\1\s*>", "", html or ""))
+    nodes = page.nodes
+    root = next((n for tag in ("main", "article", "body") for n in nodes if n.tag == tag), None)
+    own = range(len(nodes)) if root is None else range(nodes.index(root) + 1, root.end)
     seen: dict[str, str] = {}
-    for c in candidates:
-        unit = re.sub(r"\n{3,}", "\n\n", c.strip())[:UNIT_CHARS].rstrip()
+
+    def add(text: str) -> None:
+        unit = re.sub(r"\n{3,}", "\n\n", text.strip())[:UNIT_CHARS].rstrip()
         if len(unit) >= 3:
             seen.setdefault(re.sub(r"\s+", " ", unit).strip().lower(), unit)
-    return list(seen.values())[:MOST_UNITS]
+
+    parts: dict[int, list[_Node]] = {}  # rows by their table, items and terms by their list
+    for k in own:
+        node = nodes[k]
+        if node.tag == "tr" and node.table >= 0 and node.has_cell:
+            parts.setdefault(node.table, []).append(node)
+        elif node.tag in ("li", "dt", "dd"):
+            parts.setdefault(node.parent, []).append(node)
+
+    def containers(*tags: str):
+        for k in own:
+            if nodes[k].tag in tags and k in parts:
+                if len(seen) >= MOST_UNITS:
+                    return
+                yield k
+
+    for k in containers("table"):
+        for row in parts[k]:
+            if row.tag == "tr" and len(seen) < MOST_UNITS:
+                add(page.text(row))
+    for k in containers("ul", "ol"):
+        for item in parts[k]:
+            if item.tag == "li" and item.table < 0:
+                add(page.text(item))
+    for k in containers("dl"):
+        group: list[str] = []
+        for part in parts[k]:
+            if part.tag == "dt":
+                add("\n".join(x for x in group if x))
+                group = [page.text(part)]
+            elif part.tag == "dd" and group:
+                group.append(page.text(part))
+        add("\n".join(x for x in group if x))
+    return list(seen.values())
 
 
 @F.pandas_udf(ArrayType(StringType()))

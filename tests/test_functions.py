@@ -76,7 +76,22 @@ def test_html_records():
     assert html.units_of(page) == ["Ann\nDean", "Bob", "first item", "second item", "Term\none\ntwo"]
     assert html.units_of("<ul><li>a item</li><li>A  item</li></ul>") == ["a item"] and html.units_of(None) == []
     assert html.units_of("<table><tr><td><ul><li>inside a table</li></ul></td></tr></table>") == ["inside a table"]
-    assert len(html.units_of("<ul>" + "".join(f"<li>item {i}</li>" for i in range(400)) + "</ul>")) == 320
+    # rows stop at the limit, a list that has begun is read to its end
+    assert len(html.units_of("<table>" + "".join(f"<tr><td>item {i}</td></tr>" for i in range(400)) + "</table>")) == 320
+
+
+def test_html_records_of_careless_pages():
+    """End tags left out, stray ones, elements as deep as a page likes."""
+    assert html.units_of("<ul><li>alpha<li>beta<li>gamma</ul>") == ["alpha", "beta", "gamma"]
+    assert html.units_of("<table><tr><th>head<tr><td>one<td>two<tr><td>three</table>") == ["one\ntwo", "three"]
+    assert html.units_of("<dl><dt>term<dd>meaning<dd>more<dt>other<dd>sense</dl>") == ["term\nmeaning\nmore", "other\nsense"]
+    assert html.units_of("<ul><li>one <ul><li>inner<li>inner two</ul><li>last</ul></p></div>") == ["one\ninner\ninner two", "last", "inner", "inner two"]
+    assert html.units_of("<p>x" * 3000 + "<ul><li>item one</ul>") == ["item one"]
+    assert html.units_of("<div>" * 20_000 + "<ul><li>item one</ul>") == ["item one"]
+    assert html.units_of("<table><tr><td>" * 1500 + "deep cell") != []
+    many = "<ul>" + "".join(f"<li>item {i}</li>" for i in range(400)) + "</ul>"
+    assert len(html.units_of(many)) == 400 and len(html.units_of(many + "<ul><li>another list</li></ul>")) == 400
+    assert html.units_of("<table><tr><td><ul><li>in a table</li></ul></td></tr></table>") == ["in a table"]
 
 
 def test_html_text(spark):
