@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import fold
+from corpusloom.functions.text import fold, once
 
 # Patterns of question intents, in folded form.
 INTENTS = {
@@ -101,15 +101,20 @@ def has(text: Column, pattern: str) -> Column:
 
 
 def intent(question: Column, name: str) -> Column:
+    return once(fold(F.coalesce(question, F.lit(""))), lambda low: folded_intent(low, name))
+
+
+def folded_intent(low: Column, name: str) -> Column:
+    """The same of a question that is folded already."""
     if name == "international":
-        return has(question, _ABROAD) & has(question, _APPLY_TOPIC) & ~(has(question, _PRICE) & ~has(question, _APPLY))
+        return low.rlike(_ABROAD) & low.rlike(_APPLY_TOPIC) & ~(low.rlike(_PRICE) & ~low.rlike(_APPLY))
     if name == "requirements":
-        return intent(question, "international") & has(question, _NEEDS)
+        return folded_intent(low, "international") & low.rlike(_NEEDS)
     if name == "undergraduate_only":
-        return intent(question, "international") & ~has(question, INTENTS["graduate"])
+        return folded_intent(low, "international") & ~low.rlike(INTENTS["graduate"])
     if name == "wide_fee":
-        return has(question, INTENTS["fee"]) & (has(question, INTENTS["broad_fee"]) | path_segment(question).isNull())
-    return has(question, INTENTS[name])
+        return low.rlike(INTENTS["fee"]) & (low.rlike(INTENTS["broad_fee"]) | _segment(low).isNull())
+    return low.rlike(INTENTS[name])
 
 
 ALL_INTENTS = (*INTENTS, "international", "requirements", "undergraduate_only", "wide_fee")
@@ -117,24 +122,30 @@ ALL_INTENTS = (*INTENTS, "international", "requirements", "undergraduate_only",
 
 def entity(question: Column) -> Column:
     """First entity one of whose names occurs; null if none does."""
-    low = fold(F.coalesce(question, F.lit("")))
+    return once(fold(F.coalesce(question, F.lit(""))), folded_entity)
+
+
+def folded_entity(low: Column) -> Column:
     out = F.lit(None).cast("string")
     for key, names in reversed(ENTITIES.items()):
-        out = F.when(_any(low, names), key).otherwise(out)
+        out = F.when(contains_any(low, names), key).otherwise(out)
     return out
 
 
 def path_segment(question: Column) -> Column:
     """Entity, else the first path whose words occur, else medicine where its price is asked."""
-    low = fold(F.coalesce(question, F.lit("")))
+    return once(fold(F.coalesce(question, F.lit(""))), _segment)
+
+
+def _segment(low: Column) -> Column:
     medicine = low.rlike(r"\bmedicine\b") & low.rlike(_PRICE) & ~low.rlike(r"medical\s+education|master[’']?s\s+in\s+medical|biomedic|laborator|techniques?|imaging|podolog|radiother|pathology|secretar|veterinary")
     out = F.when(medicine, "faculty-of-medicine")
     for segment, names in reversed(PATHS):
-        out = F.when(_any(low, names), segment).otherwise(out)
-    return F.coalesce(entity(question), out)
+        out = F.when(contains_any(low, names), segment).otherwise(out)
+    return F.coalesce(folded_entity(low), out)
 
 
-def _any(low: Column, terms: tuple[str, ...]) -> Column:
+def contains_any(low: Column, terms: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for t in terms:
         out = out | F.contains(low, F.lit(t))
@@ -186,9 +197,9 @@ def fee_grounded(url: Column, title: Column, content: Column) -> Column:
 
 def name_in(content: Column, name: Column) -> Column:
     """The folded name, or all of its words of two letters or more where it has two such words."""
-    low, n = fold(F.coalesce(content, F.lit(""))), fold(F.trim(F.coalesce(name, F.lit(""))))
+    n = fold(F.trim(F.coalesce(name, F.lit(""))))
     parts = F.filter(F.split(n, r"\s+"), lambda p: F.length(p) >= 2)
-    return (n != "") & (F.contains(low, n) | ((F.size(parts) >= 2) & F.forall(parts, lambda p: F.contains(low, p))))
+    return once(fold(F.coalesce(content, F.lit(""))), lambda low: (n != "") & (F.contains(low, n) | ((F.size(parts) >= 2) & F.forall(parts, lambda p: F.contains(low, p)))))
 
 
 def identity_allowed(url: Column, title: Column, content: Column, name: Column) -> Column:

@@ -28,6 +28,11 @@ MESSAGE_CHARS, CONTEXT_SLACK = 900, 500
 TITLES = r"^(?:(?:dr|doç|doc|prof|yrd|asst|assoc|öğr|assistant|associate)\.?\s*){1,6}"
 
 
+def once(value: Column, f) -> Column:
+    """f(value), with the value worked out once however often f names it, also for each element of an array."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def fold(c: Column) -> Column:
     """Lower case without Turkish letters; translated first, since lower() may lengthen them."""
     return F.lower(F.translate(c, FOLD_FROM, FOLD_TO))
@@ -116,8 +121,7 @@ def keywords(text: Column, most: int = 5) -> Column:
 
 def overlap(text: Column, terms: Column) -> Column:
     """How many terms occur in a text (as substrings)."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.size(F.filter(terms, lambda t: F.contains(low, t))).cast("long")
+    return once(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.size(F.filter(terms, lambda t: F.contains(low, t)))).cast("long")
 
 
 def trigrams(text: Column) -> Column:
@@ -141,12 +145,8 @@ def times(text: Column, term: Column) -> Column:
 
 def rank_any(content: Column, title: Column, terms: Column) -> Column:
     """Full-text rank of a disjunction of terms: up to four hits in the content count, a hit in the title 0.4."""
-    c, t = F.lower(content), F.lower(title)
-    total = F.aggregate(
-        terms,
-        F.lit(0.0),
-        lambda s, w: s + F.least(times(c, w), F.lit(4.0)) / 4 + F.when(F.contains(t, w), F.lit(0.4)).otherwise(F.lit(0.0)),
-    )
+    points = lambda low, w: F.least(times(low["c"], w), F.lit(4.0)) / 4 + F.when(F.contains(low["t"], w), F.lit(0.4)).otherwise(F.lit(0.0))
+    total = once(F.struct(F.lower(content).alias("c"), F.lower(title).alias("t")), lambda low: F.aggregate(terms, F.lit(0.0), lambda s, w: s + points(low, w)))
     return F.when(F.size(terms) > 0, total / F.size(terms)).otherwise(F.lit(0.0))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import rules, text, urls
 from corpusloom.operators import retrieval
+from corpusloom.operators.order import placed
 
 
 def unit_state(pages: DataFrame, hints: DataFrame) -> DataFrame:
@@ -42,15 +43,17 @@ def course_chunks(chunks: DataFrame, wanted: Column, most: int = 24) -> DataFram
 
 def fallback_chunks(questions: DataFrame, chunks: DataFrame, site: rules.Site = rules.Site(), most: int = 5, scanned: int = 120) -> DataFrame:
     """Catalogue chunks for questions about courses that were left without any: course tabs first, then those that name
-    the entity in their address, then in their text, by id. Of a question's entity the first `scanned` chunks are looked at."""
+    the entity in their address, then in their text, by id. Of a question's entity the first `scanned` chunks are looked at;
+    questions of no entity get none."""
     asked = questions.where(rules.intent(F.col("question"), "catalogue")).select("query_id", rules.entity(F.col("question")).alias("entity"))
-    pool = chunks.where(rules.has(F.col("source_url"), site.catalogue)).orderBy("chunk_id").limit(scanned)
-    rows = asked.join(F.broadcast(pool), F.lit(True))  # at most `scanned` rows for each question
-    named = F.coalesce(F.contains(F.lower("source_url"), F.col("entity")), F.lit(False))
-    alias = F.exists(rules.aliases(F.col("entity")), lambda n: F.contains(text.fold(F.col("content")), n))
-    keys = [rules.has(F.col("source_url"), "course").desc(), F.desc("_named"), F.desc("_alias"), F.col("chunk_id")]
-    rows = rows.withColumn("_named", named).withColumn("_alias", alias).withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(*keys)))
-    return rows.where(F.col("place") <= most).select("query_id", "chunk_id", "place")
+    # a chunk belongs to each of the fixed entities that its address or text names, so that questions meet it by an equi-join
+    catalogued = chunks.where(rules.has(F.col("source_url"), site.catalogue)).withColumn("_low", text.fold(F.coalesce("content", F.lit(""))))
+    about = [F.struct(F.lit(k).alias("entity"), F.contains(F.lower("source_url"), F.lit(k)).alias("named"), rules.contains_any(F.col("_low"), names).alias("alias")) for k, names in rules.ENTITIES.items()]
+    rows = catalogued.select("chunk_id", "source_url", F.explode(F.filter(F.array(*about), lambda x: x["named"] | x["alias"])).alias("x")).select("chunk_id", "source_url", "x.*")
+    pool = rows.withColumn("_n", F.row_number().over(W.partitionBy("entity").orderBy("chunk_id"))).where(F.col("_n") <= scanned)
+    keys = [rules.has(F.col("source_url"), "course").desc(), F.desc("named"), F.desc("alias"), F.col("chunk_id")]
+    best = pool.withColumn("place", F.row_number().over(W.partitionBy("entity").orderBy(*keys))).where(F.col("place") <= most)
+    return asked.join(best, "entity").select("query_id", "chunk_id", "place")
 
 
 def host_pool(questions: DataFrame, chunks: DataFrame, host: str, most: int = 64) -> DataFrame:
@@ -65,7 +68,7 @@ def pools_merged(pool: DataFrame, other: DataFrame) -> DataFrame:
 
 def pinned_first(pages: DataFrame, index_url: str) -> DataFrame:
     """Addresses in order with the index in front."""
-    return pages.select("url").distinct().withColumn("place", F.row_number().over(W.orderBy(F.col("url") != index_url, "url")))
+    return placed(pages.select("url").distinct(), F.col("url") != index_url, F.col("url"))
 
 
 def menu_ranked(labels: DataFrame, tiers: list[list[str]]) -> DataFrame:
@@ -76,7 +79,7 @@ def menu_ranked(labels: DataFrame, tiers: list[list[str]]) -> DataFrame:
         for w in range(len(tiers[t]) - 1, -1, -1):
             hit = F.when(F.contains(low, F.lit(tiers[t][w])), F.struct(F.lit(t).alias("tier"), F.lit(w).alias("word"))).otherwise(hit)
     ranked = labels.withColumn("_hit", hit).where("_hit is not null").select("label", "_hit.tier", "_hit.word")
-    return ranked.withColumn("place", F.row_number().over(W.orderBy("tier", "word", "label")))
+    return placed(ranked, F.col("tier"), F.col("word"), F.col("label"))
 
 
 def person_pages(pages: DataFrame, name: str, most: int = 8, window: int = 7000, total: int = 14_000) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.order import placed
+
 
 def upserted(stored: DataFrame, new: DataFrame, key: str = "url", version: str = "updated_at") -> DataFrame:
     """One row for each key, the latest; of equal ones the new one."""
@@ -39,7 +41,8 @@ def second_pass(found: DataFrame, first: DataFrame, most: int = 6000) -> DataFra
 
 def light_first(pages: DataFrame, heavy: str = "showpac") -> DataFrame:
     """A place in the queue for each address: heavy ones last, then by address."""
-    return pages.withColumn("place", F.row_number().over(W.orderBy(F.contains(F.col("url"), F.lit(heavy)), "url")))
+    keys = [F.contains(F.col("url"), F.lit(heavy)), F.col("url"), *[F.col(c) for c in ("page_id",) if c in pages.columns]]
+    return placed(pages, *keys)
 
 
 def incremental(pages: DataFrame, page_id: int | None = None, limit: int | None = None) -> DataFrame:

@@ -7,11 +7,15 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.order import placed
+
 
 def questions(spark: SparkSession, path: str) -> DataFrame:
-    """query_id (place in the files' lines), question: one of each line, blank ones left out."""
-    lines = spark.read.text(path).withColumn("value", F.trim("value")).where("value <> ''")
-    return lines.select(F.monotonically_increasing_id().alias("query_id"), F.col("value").alias("question"))
+    """query_id (from 0, in order of the files' names and lines), question: one of each line, blank ones left out. A question list is
+    read by file, so that its numbers do not depend on how files are split."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("lines"))
+    lines = whole.select("file", F.posexplode("lines").alias("line", "value")).withColumn("question", F.trim("value")).where("question <> ''")
+    return placed(lines, F.col("file"), F.col("line"), to="place").select((F.col("place") - 1).alias("query_id"), "question")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -24,8 +28,8 @@ def write_json_lines(rows: DataFrame, path: str) -> None:
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """report: value, one JSON text."""
-    report.select("value").coalesce(1).write.mode("overwrite").text(path)
+    """report: part, key, value; one JSON object for each row."""
+    report.write.mode("overwrite").json(path)
 
 
 def batches(rows: DataFrame, key: str, after: int, size: int) -> DataFrame:
