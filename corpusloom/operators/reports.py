@@ -42,15 +42,18 @@ def never_hit(found: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def coverage_report(found: DataFrame, pages: DataFrame, questions: DataFrame, top_n: int) -> DataFrame:
-    """The report as one JSON text. Its lists are as long as the report itself asks for."""
-    per = found.groupBy("query_id").agg(F.array_sort(F.collect_set("page_id")).alias("page_ids"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("page_id").cast("string"), "min_d")))).alias("min_d_by_page"))
-    a = per.agg(F.array_sort(F.collect_list(F.struct("query_id", "page_ids", "min_d_by_page")), lambda x, y: F.when(x["query_id"] < y["query_id"], -1).otherwise(1)).alias("per_question"))
-    b = coverage_by_page(found).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("page_id").cast("string"), "min_d")))).alias("min_cosine_distance_by_page"))
-    c = never_hit(found, pages).agg(F.array_sort(F.collect_list("page_id")).alias("pages_never_in_top_n"))
-    d = pages.agg(F.count_distinct("page_id").alias("page_count"))
-    e = questions.agg(F.count_distinct("query_id").alias("question_count"))
-    whole = a.join(b, F.lit(True)).join(c, F.lit(True)).join(d, F.lit(True)).join(e, F.lit(True)).withColumn("top_n", F.lit(top_n))
-    return whole.select(F.to_json(F.struct("top_n", "question_count", "page_count", "pages_never_in_top_n", "min_cosine_distance_by_page", "per_question"), {"pretty": "true"}).alias("value"))
+    """The report as rows of part, key and value, so that its lists may be as long as they get: top_n, question_count and
+    page_count; one row for each page never in the top n; the least distance of each page; and for each question a JSON array of its
+    pages and distances (top_n of them at most)."""
+    row = lambda part, key, value: [F.lit(part).alias("part"), key.cast("string").alias("key"), value.cast("string").alias("value")]
+    none = F.lit("")
+    one = questions.sparkSession.range(1).select(*row("top_n", none, F.lit(top_n)))
+    asked = questions.agg(F.count_distinct("query_id").alias("n")).select(*row("question_count", none, F.col("n")))
+    held = pages.agg(F.count_distinct("page_id").alias("n")).select(*row("page_count", none, F.col("n")))
+    never = never_hit(found, pages).select(*row("pages_never_in_top_n", F.col("page_id"), none))
+    least = coverage_by_page(found).select(*row("min_cosine_distance_by_page", F.col("page_id"), F.col("min_d")))
+    lists = found.groupBy("query_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("page_id", "min_d")))).alias("value"))
+    return one.union(asked).union(held).union(never).union(least).union(lists.select(*row("per_question", F.col("query_id"), F.col("value"))))
 
 
 def scrape_coverage(pages: DataFrame, needles: tuple[str, ...], first: int = 5) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import chunking
 from corpusloom.operators import crawl, reports
 from corpusloom.plans.common import CHUNKS_SQL, chunks, registry, table
+from corpusloom.scratch import ready_checkpoints
 
 QUERIES, query = registry()
 
@@ -34,46 +35,57 @@ def index_audit(spark, sf_dir):
 
 _NEAR = """cos as (select q.vec_id as query_id, c.vec_id as chunk_id, c.label::bigint as page_id,
     round(1 - list_dot_product(q.embedding::double[], c.embedding::double[]) / (sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])) * sqrt(list_dot_product(c.embedding::double[], c.embedding::double[]))), 12) + 0.0 as d
-  from embeddings q, embeddings c where q.vec_id < 15),
-near as (select * from (select *, row_number() over (partition by query_id order by d, chunk_id) as n from cos) where n <= 40)"""
+  from embeddings q, embeddings c where q.vec_id % 50 = 0),
+near as (select * from (select *, row_number() over (partition by query_id order by d, chunk_id) as n from cos) where n <= 120)"""
 
 
 def _vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    asked = e.where("vec_id < 15").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return asked, e.select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("long").alias("page_id"), "embedding")
 
 
 @query(f"with {_NEAR} select query_id, page_id, round(min(d), 5) as min_d from near group by query_id, page_id")
 def coverage_top_n(spark, sf_dir):
     asked, rows = _vectors(spark, sf_dir)
-    return reports.coverage(asked, rows, 40)
+    return reports.coverage(asked, rows)
 
 
 @query(f"with {_NEAR} select page_id, min(min_d) as min_d, count(*) as questions from (select query_id, page_id, round(min(d), 5) as min_d from near group by all) group by page_id")
 def coverage_by_page(spark, sf_dir):
     asked, rows = _vectors(spark, sf_dir)
-    return reports.coverage_by_page(reports.coverage(asked, rows, 40))
+    return reports.coverage_by_page(reports.coverage(asked, rows))
 
 
 @query(f"with {_NEAR} select vec_id as page_id from embeddings where vec_id not in (select chunk_id from near)")
 def never_hit_vectors(spark, sf_dir):
     asked, rows = _vectors(spark, sf_dir)
     rows = rows.withColumn("page_id", F.col("chunk_id"))
-    return reports.never_hit(reports.coverage(asked, rows, 40), rows)
+    return reports.never_hit(reports.coverage(asked, rows), rows)
 
 
 @query(f"with {_NEAR} select query_id, array_to_string(list_sort(list(distinct page_id)), ',') as page_ids from near group by query_id")
 def coverage_pages_of_question(spark, sf_dir):
     asked, rows = _vectors(spark, sf_dir)
-    found = reports.coverage(asked, rows, 40)
+    found = reports.coverage(asked, rows)
     return found.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("page_id")), ",").alias("page_ids"))
 
 
-@query()
+@query(f"""with {_NEAR}, found as (select query_id, page_id, round(min(d), 5) as min_d from near group by query_id, page_id)
+select 'top_n' as part, '' as key, '120' as value union all select 'question_count', '', count(distinct vec_id)::varchar from embeddings where vec_id % 50 = 0
+union all select 'page_count', '', count(distinct label)::varchar from embeddings
+union all select 'pages_never_in_top_n', label::varchar, '' from (select distinct label from embeddings where label not in (select page_id from found))
+union all select 'min_cosine_distance_by_page', page_id::varchar, round(min(min_d) * 100000)::bigint::varchar from found group by page_id
+union all select 'per_question', query_id::varchar, string_agg(page_id::varchar || ':' || round(min_d * 100000)::bigint, ',' order by page_id) from found group by query_id""")
 def coverage_report_json(spark, sf_dir):
+    """The report's rows; distances in units of 1e-5."""
     asked, rows = _vectors(spark, sf_dir)
-    return reports.coverage_report(reports.coverage(asked, rows, 40), rows, asked, 40)
+    found = reports.coverage_report(reports.coverage(asked, rows), rows, asked, 120)
+    units = lambda c: F.round(c.cast("double") * 100_000).cast("long").cast("string")
+    pages = F.array_sort(F.from_json("value", "array<struct<page_id:long,min_d:double>>"))
+    short = F.array_join(F.transform(pages, lambda x: F.concat(x["page_id"].cast("string"), F.lit(":"), units(x["min_d"]))), ",")
+    value = F.when(F.col("part") == "per_question", short).when(F.col("part") == "min_cosine_distance_by_page", units(F.col("value"))).otherwise(F.col("value"))
+    return found.select("part", "key", value.alias("value"))
 
 
 @query("""with n as (select unnest(['/en/', '/de/', '.html', '?', 'casino']) as needle), h as (select needle, url, row_number() over (partition by needle order by url) as k from pages, n where contains(lower(url), needle))
@@ -109,20 +121,20 @@ def source_profile(spark, sf_dir):
     return d.groupBy("lang", "source").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts"), F.round(F.avg("n_chars"), 4).alias("mean_chars"), F.max("n_chars").alias("most"), F.bool_or(F.col("n_chars") > 5000).alias("any_long"), F.bool_and(F.col("n_chars") > 10).alias("all_some"), F.count_if(F.contains("text", F.lit("%"))).alias("with_percent"))
 
 
-@query(f"with {CHUNKS_SQL} select source_url, substr(trim(content), 1, 1000) as merged from chunks")
+@query(f"with {CHUNKS_SQL} select source_url, substr(trim(content), 1, 400000) as merged from chunks")
 def merged_tabs(spark, sf_dir):
     from corpusloom.operators.retrieval import merged_tabs as merge
 
     rows = chunks(spark, sf_dir).withColumn("chunk_index", F.lit(0))
-    return merge(rows, 1000)
+    return merge(rows)
 
 
-@query(f"with {_FIXED} select page_id, trim(string_agg(content, chr(10) order by chunk_index))[1:2000] as merged from ch group by page_id")
+@query(f"with {_FIXED} select page_id, trim(string_agg(content, chr(10) order by chunk_index))[1:400000] as merged from ch group by page_id")
 def merged_pages(spark, sf_dir):
     from corpusloom.operators.retrieval import merged_tabs as merge
 
     rows = _fixed(spark, sf_dir).withColumn("chunk_id", F.col("chunk_index")).withColumnRenamed("page_id", "source_url")
-    return merge(rows, 2000).withColumnRenamed("source_url", "page_id")
+    return merge(rows).withColumnRenamed("source_url", "page_id")
 
 
 _LINKS = r"""l as (select page_id, url, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href="([^"]*)"', 1)) as href from pages),
@@ -140,8 +152,6 @@ def page_links(spark, sf_dir):
 walk(url, level) as (select 'u1', 0 union select 'u' || e.b, w.level + 1 from walk w join edges e on w.url = 'u' || e.a where w.level < 4)
 select url, min(level)::bigint as level from walk group by url""")
 def crawl_levels(spark, sf_dir):
-    from corpusloom.plans.upkeep import ready_checkpoints
-
     ready_checkpoints(spark)
     e = table(spark, sf_dir, "events")
     edges = e.select(F.concat(F.lit("u"), "user_id").alias("url"), F.concat(F.lit("u"), (F.col("user_id") * 7 + F.length("event_type")) % 150).alias("link")).distinct()
@@ -150,10 +160,10 @@ def crawl_levels(spark, sf_dir):
 
 
 @query("""with d as (select distinct lang as shell, 'u' || doc_id as url, text as body from documents), n as (select *, row_number() over (partition by shell order by url) as n from d)
-select shell, md5(string_agg(body[1:800], chr(10) || chr(10) order by url)) as merged from n where n <= 12 group by shell""")
+select shell, md5(string_agg(body[1:8000], chr(10) || chr(10) order by url)) as merged from n where n <= 12 group by shell""")
 def merged_details(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("lang").alias("shell"), F.concat(F.lit("u"), "doc_id").alias("url"), F.col("text").alias("body"))
-    return crawl.merged_details(d, 12, 800).select("shell", F.md5(F.col("merged").cast("binary")).alias("merged"))
+    return crawl.merged_details(d).select("shell", F.md5(F.col("merged").cast("binary")).alias("merged"))
 
 
 @query("""select page_id, url from pages where not exists (select 1 from (values ('casino-win.example.net', '/'), ('tionsh.example.net', '/de/')) r(host, prefix)

@@ -38,7 +38,7 @@ def bm25_top(spark, sf_dir):
     return r.bm25(asked(spark, sf_dir), chunks(spark, sf_dir)).select("query_id", F.col("place").cast("long").alias("place"), "score")
 
 
-_VAR = """v as (select vec_id // 3 as query_id, (vec_id % 3)::int as variant, embedding::double[] as e from embeddings where vec_id < 30),
+_VAR = """v as (select vec_id // 150 as query_id, (vec_id // 50 % 3)::int as variant, embedding::double[] as e from embeddings where vec_id % 50 = 0),
 c as (select vec_id as chunk_id, embedding::double[] as e, 'https://example.edu/' || case when vec_id % 7 = 0 then 'news/' else 'page/' end || vec_id as source_url from embeddings),
 cos as (select query_id, variant, chunk_id, round(1 - list_dot_product(v.e, c.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(c.e, c.e))), 12) + 0.0 as d from v, c),
 hits as (select * from (select *, row_number() over (partition by query_id, variant order by d, chunk_id) as n from cos) where n <= 80),
@@ -47,7 +47,7 @@ merged as (select query_id, chunk_id, min(d) as d_min, min(case when variant = 0
 
 def _variants(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    asked_ = e.where("vec_id < 30").select(F.expr("vec_id div 3").alias("query_id"), (F.col("vec_id") % 3).cast("int").alias("variant"), "embedding")
+    asked_ = e.where("vec_id % 50 = 0").select(F.expr("vec_id div 150").alias("query_id"), F.expr("vec_id div 50 % 3").cast("int").alias("variant"), "embedding")
     url = F.concat(F.lit("https://example.edu/"), F.when(F.col("vec_id") % 7 == 0, "news/").otherwise("page/"), "vec_id")
     return asked_, e.select(F.col("vec_id").alias("chunk_id"), "embedding", url.alias("source_url"))
 
@@ -68,11 +68,11 @@ def vector_min_merge(spark, sf_dir):
     return _merged(spark, sf_dir).select("query_id", "chunk_id", (F.round("d_min", 6) + 0.0).alias("d_min"), (F.round("d_primary", 6) + 0.0).alias("d_primary"))
 
 
-@query(f"""with {_VAR}, texts as (select query_id, chunk_id from (select (doc_id % 10) as query_id, (doc_id * 3) % 500 as chunk_id from documents where doc_id < 60) group by all),
+@query(f"""with {_VAR}, texts as (select query_id, chunk_id from (select (doc_id % 10) as query_id, (doc_id * 3) % 500 as chunk_id from documents) group by all),
 both_ as (select query_id, chunk_id, d_min from merged union all select query_id, chunk_id, 0.55 from texts t where not exists (select 1 from merged m where m.query_id = t.query_id and m.chunk_id = t.chunk_id))
 select query_id, chunk_id, round(d_min, 6) + 0.0 as d_min, ord from (select *, row_number() over (partition by query_id order by d_min, chunk_id) as ord from both_) where ord <= 80""")
 def hybrid_merge(spark, sf_dir):
-    texts = table(spark, sf_dir, "documents").where("doc_id < 60").select((F.col("doc_id") % 10).alias("query_id"), ((F.col("doc_id") * 3) % 500).alias("chunk_id")).distinct()
+    texts = table(spark, sf_dir, "documents").select((F.col("doc_id") % 10).alias("query_id"), ((F.col("doc_id") * 3) % 500).alias("chunk_id")).distinct()
     found = r.hybrid(_merged(spark, sf_dir), texts)
     return found.select("query_id", "chunk_id", (F.round("d_min", 6) + 0.0).alias("d_min"), F.col("ord").cast("long").alias("ord"))
 
@@ -184,11 +184,11 @@ def unit_states(spark, sf_dir):
     return catalogue.unit_state(_unit_pages(spark, sf_dir), hints).select("page_id", "state")
 
 
-@query(f"""with {_UNIT_URLS}, x as (select *, try_cast(nullif(regexp_extract(url, 'curSunit=([0-9]+)', 1), '') as bigint) as n from p where page_id % 5 = 0)
+@query(f"""with {_UNIT_URLS}, x as (select *, try_cast(nullif(regexp_extract(url, 'curSunit=([0-9]+)', 1), '') as bigint) as n from p where contains(url, 'curSunit'))
 select chunk_id, place from (select page_id as chunk_id, row_number() over (order by n is null, n, page_id) as place from x) where place <= 24""")
 def course_chunks(spark, sf_dir):
     c = _unit_pages(spark, sf_dir).select(F.col("page_id").alias("chunk_id"), F.col("url").alias("source_url"))
-    return catalogue.course_chunks(c, F.col("chunk_id") % 5 == 0).select("chunk_id", F.col("place").cast("long").alias("place"))
+    return catalogue.course_chunks(c, F.contains("source_url", F.lit("curSunit"))).select("chunk_id", F.col("place").cast("long").alias("place"))
 
 
 @query(f"with {_VAR}, h as (select * from (select *, row_number() over (partition by query_id, variant order by d, chunk_id) as n from cos where chunk_id % 7 <> 0) where n <= 10) select query_id, chunk_id, round(min(d), 6) + 0.0 as d_min from h group by all")
@@ -218,11 +218,15 @@ def person_pages(spark, sf_dir):
     return catalogue.person_pages(d, "Pathetic Clown").select("page_id", F.col("place").cast("long").alias("place"), F.length("part").cast("long").alias("n_chars"))
 
 
-@query()
+@query(f"""with {CHUNKS_SQL}, c as (select chunk_id, content, case when chunk_id % 3 = 0 then 'https://example.edu/bologna/' || case when chunk_id % 2 = 0 then 'computer-engineering/' else 'x/' end || chunk_id else source_url end as url from chunks),
+q(query_id, entity) as (values (6, null), (7, 'computer-engineering')),
+e as (select chunk_id, contains(url, 'computer-engineering') as named, contains(lower(content), 'computer engineering') or contains(lower(translate(content, 'ıİşŞğĞüÜöÖçÇâÂîÎ', 'iissgguuooccaaii')), 'bilgisayar muhendisligi') as alias, contains(url, 'course') as course from c where contains(url, 'bologna') or contains(url, 'course') or contains(url, '/catalogue/')),
+f as (select *, row_number() over (order by chunk_id) as n from e where named or alias)
+select query_id::bigint as query_id, chunk_id, place from (select *, row_number() over (order by course desc, named desc, alias desc, chunk_id) as place from f where n <= 120), q where place <= 5 and entity is not null""")
 def catalogue_fallback(spark, sf_dir):
     from corpusloom.plans.common import questions
 
-    c = chunks(spark, sf_dir).withColumn("source_url", F.when(F.col("chunk_id") % 3 == 0, F.concat(F.lit("https://example.edu/bologna/computer-engineering/"), "chunk_id")).otherwise(F.col("source_url")))
+    c = chunks(spark, sf_dir).withColumn("source_url", F.when(F.col("chunk_id") % 3 == 0, F.concat(F.lit("https://example.edu/bologna/"), F.when(F.col("chunk_id") % 2 == 0, "computer-engineering/").otherwise("x/"), "chunk_id")).otherwise(F.col("source_url")))
     return catalogue.fallback_chunks(questions(spark), c).select("query_id", "chunk_id", F.col("place").cast("long").alias("place"))
 
 

@@ -10,11 +10,11 @@ from corpusloom.plans.common import fold_sql, questions, questions_sql, registry
 QUERIES, query = registry()
 
 
-@query(f"""select doc_id, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as collapsed, {fold_sql("text[1:200]")} as folded,
-  regexp_replace(text[1:500], '\\n{{3,}}', chr(10) || chr(10), 'g') as short_newlines from documents""")
+@query(f"""select doc_id, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as collapsed, {fold_sql("text")} as folded,
+  regexp_replace(text, '\\n{{3,}}', chr(10) || chr(10), 'g') as short_newlines from documents""")
 def text_normalisation(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", text.collapse(F.col("text")).alias("collapsed"), text.fold(F.substring("text", 1, 200)).alias("folded"), text.short_newlines(F.substring("text", 1, 500)).alias("short_newlines"))
+    return d.select("doc_id", text.collapse(F.col("text")).alias("collapsed"), text.fold(F.col("text")).alias("folded"), text.short_newlines(F.col("text")).alias("short_newlines"))
 
 
 @query("""select doc_id, case when length(trim(text)) <= 300 then trim(text) else trim(text)[1:299] || '…' end as trimmed,
@@ -52,11 +52,11 @@ def _trigrams_sql(x: str) -> str:
     return f"list_distinct(flatten(list_transform({ws}, lambda w: list_transform(range(1, length(w) + 2), lambda i: ('  ' || w || ' ')[i:i + 2]))))"
 
 
-@query(f"""with q as (select {_trigrams_sql("'The nation and the station are on the way'")} as b), d as (select doc_id, {_trigrams_sql("text[1:1000]")} as a from documents)
+@query(f"""with q as (select {_trigrams_sql("'The nation and the station are on the way'")} as b), d as (select doc_id, {_trigrams_sql("text")} as a from documents)
 select doc_id, round(case when len(list_distinct(list_concat(a, b))) > 0 then len(list_intersect(a, b))::double / len(list_distinct(list_concat(a, b))) else 0 end, 6) as similarity from d, q""")
 def trigram_similarity(spark, sf_dir):
     b = text.trigrams(F.lit("The nation and the station are on the way"))
-    return table(spark, sf_dir, "documents").withColumn("a", text.trigrams(F.substring("text", 1, 1000))).select("doc_id", F.round(text.trigram_similarity(F.col("a"), b), 6).alias("similarity"))
+    return table(spark, sf_dir, "documents").withColumn("a", text.trigrams(F.col("text"))).select("doc_id", F.round(text.trigram_similarity(F.col("a"), b), 6).alias("similarity"))
 
 
 @query("""with t as (select unnest(['the', 'tion', 'der']) as w), d as (select doc_id, lower(text[61:]) as c, lower(text[1:60]) as t from documents)

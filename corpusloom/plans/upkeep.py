@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from corpusloom.functions import urls
@@ -13,17 +11,6 @@ from corpusloom.plans.common import registry, table
 QUERIES, query = registry()
 
 
-def ready_checkpoints(spark) -> str:
-    """The shared checkpoint folder of the session; only where none is set (tests) a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
 def _pages(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     key = F.regexp_replace("url", r"[?#].*$", "")
@@ -75,9 +62,9 @@ def second_pass(spark, sf_dir):
     return index.second_pass(p, p.where("page_id % 4 = 0"))
 
 
-@query("select page_id, url, row_number() over (order by contains(url, 'tionsh'), url, page_id) as place from pages where page_id % 5 = 1")
+@query("select page_id, url, row_number() over (order by contains(url, 'tionsh'), url, page_id) as place from pages")
 def light_first(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").where("page_id % 5 = 1").select("page_id", "url")
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
     return index.light_first(p, "tionsh").select("page_id", "url", F.col("place").cast("long").alias("place"))
 
 
@@ -123,14 +110,14 @@ def id_in(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
 
 
-@query("""with l(doc_id, src_ord) as (select doc_id, 0 from labels where toxic = 1 union all select doc_id, 1 from labels where quality = 0 union all select doc_id, 2 from documents where doc_id < 100)
+@query("""with l(doc_id, src_ord) as (select doc_id, 0 from labels where toxic = 1 union all select doc_id, 1 from labels where quality = 0 union all select doc_id, 2 from documents)
 select doc_id, min(src_ord)::bigint as src_ord from l group by doc_id""")
 def first_wins_union(spark, sf_dir):
     from corpusloom.operators.retrieval import prepended
 
     labels, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
     one = lambda d: d.select(F.lit(1).alias("query_id"), F.col("doc_id").alias("chunk_id"))
-    inner = prepended(one(labels.where("quality = 0")), one(docs.where("doc_id < 100"))).withColumnRenamed("src_ord", "inner_ord")
+    inner = prepended(one(labels.where("quality = 0")), one(docs)).withColumnRenamed("src_ord", "inner_ord")
     whole = prepended(one(labels.where("toxic = 1")), inner)
     return whole.select(F.col("chunk_id").alias("doc_id"), F.when(F.col("src_ord") == 0, 0).otherwise(F.col("inner_ord") + 1).cast("long").alias("src_ord"))
 

@@ -1,11 +1,15 @@
 """Operators over DataFrames on small tables."""
 
 import json
+import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from corpusloom.operators import chat, crawl, index, reports, retrieval
+from corpusloom.functions import rules
+from corpusloom.operators import catalogue, chat, crawl, index, reports, retrieval
+from corpusloom.operators.order import placed
 from corpusloom.sources import files
 from corpusloom.streaming import limiter
 
@@ -99,8 +103,54 @@ def test_coverage_report(spark):
     e = spark.createDataFrame([(i, i, [1.0, float(i)]) for i in range(6)], "chunk_id long, page_id long, embedding array<double>")
     asked = e.where("chunk_id < 2").select(F.col("chunk_id").alias("query_id"), "embedding")
     found = reports.coverage(asked, e, 2)
-    report = json.loads(reports.coverage_report(found, e, asked, 2).first()["value"])
-    assert report["question_count"] == 2 and report["page_count"] == 6 and sorted(report["pages_never_in_top_n"] + [int(k) for k in report["min_cosine_distance_by_page"]]) == list(range(6))
+    report = [tuple(r) for r in reports.coverage_report(found, e, asked, 2).collect()]
+    one = {part: value for part, key, value in report if not key}
+    assert one == {"top_n": "2", "question_count": "2", "page_count": "6"}
+    of = lambda part: {int(key): value for p, key, value in report if p == part and key}
+    never, least = of("pages_never_in_top_n"), of("min_cosine_distance_by_page")
+    assert sorted([*never, *least]) == list(range(6)) and all(float(d) >= 0 for d in least.values())
+    assert {q: len(json.loads(v)) for q, v in of("per_question").items()} == {0: 2, 1: 2}
+
+
+def test_places_are_those_of_the_whole_order(spark):
+    rows = spark.range(500).select((F.col("id") * 7 % 500).alias("n"), F.lit("x").alias("place2")).repartition(5)
+    assert all(r["place"] == r["n"] + 1 for r in placed(rows, F.col("n")).collect())
+    assert placed(rows.limit(0), F.col("n")).collect() == []
+
+
+def test_fallback_looks_at_each_entitys_own_chunks(spark):
+    chunks = [(i, f"https://example.edu/bologna/{'computer-engineering' if i >= 200 else 'computer-programming'}/{i}", "text") for i in range(210)]
+    d = spark.createDataFrame(chunks, "chunk_id long, source_url string, content string")
+    q = spark.createDataFrame([(1, "courses of computer engineering"), (2, "courses of computer programming"), (3, "hello")], "query_id long, question string")
+    got = {(r["query_id"], r["chunk_id"]) for r in catalogue.fallback_chunks(q, d).collect()}
+    assert got == {(1, 200 + i) for i in range(5)} | {(2, i) for i in range(5)}
+
+
+def test_lexical_points_and_words_by_brute_force(spark):
+    """Scores of all pairs, from the definition."""
+    r = random.Random(4)
+    words = ["campus", "address", "contact", "curriculum", "dean", "faculty", "lesson", "river", "stone", "cloud"]
+    chunks = [(i, " ".join(r.choice(words) for _ in range(4)), r.choice(words), f"https://example.edu/{r.choice(['catalogue', 'page', 'news'])}/{i}") for i in range(120)]
+    asked = [(1, "where is the campus address"), (2, "courses about river stone"), (3, "dean of the faculty"), (4, None), (5, "cloud river"), (6, "is it")]
+    d = spark.createDataFrame(chunks, "chunk_id long, content string, page_title string, source_url string")
+    q = spark.createDataFrame(asked, "query_id long, question string")
+    site, want = rules.Site(), []
+    for qid, question in asked:
+        terms = set(re.findall("[a-z]{4,}", question or ""))
+        if not terms:
+            continue
+        scored = []
+        for cid, content, title, url in chunks:
+            if "/news" in url:
+                continue
+            score = sum((t in content) + 2 * (t in title) + 2 * (t in url) for t in terms)
+            score += sum(w for name, pattern, w in retrieval.POINTS if re.search(rules.INTENTS[name], question) and re.search(pattern or site.catalogue, f"{url} {title} {content}"))
+            if score > 0:
+                scored.append((cid, score))
+        best = sorted(scored[:50], key=lambda x: (-x[1], x[0]))[:10]
+        want += [(qid, cid, score, k) for k, (cid, score) in enumerate(best, 1)]
+    got = retrieval.lexical(q, d, scanned=50, top=10).select("query_id", "chunk_id", "score", "rank").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_conversations(spark):
@@ -135,6 +185,6 @@ def test_files(spark, tmp_path):
     d = spark.createDataFrame([(1, "é"), (2, None)], "id long, t string")
     files.write_json_lines(d, str(tmp_path / "j"))
     assert sorted(map(tuple, files.json_lines(spark, str(tmp_path / "j"), "id long, t string").collect())) == [(1, "é"), (2, None)]
-    files.write_report(spark.createDataFrame([('{"a": 1}',)], "value string"), str(tmp_path / "r"))
-    assert json.loads(spark.read.text(str(tmp_path / "r")).first()["value"]) == {"a": 1}
+    files.write_report(spark.createDataFrame([("top_n", "", "2")], "part string, key string, value string"), str(tmp_path / "r"))
+    assert json.loads(spark.read.text(str(tmp_path / "r")).first()["value"]) == {"part": "top_n", "key": "", "value": "2"}
     assert files.alive(spark)["ok"] and files.has_function(spark, "abs") and files.batches(spark.range(9), "id", 3, 2).count() == 2
