@@ -25,6 +25,15 @@ def _widths(values: np.ndarray) -> np.ndarray:
     return np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, low) if high.any() else low
 
 
+def _and_next(fits: np.ndarray, n: int) -> None:
+    """Whether a place and the n - 1 after it fit; what lies beyond a block does."""
+    done = 1
+    while done < n:
+        step = min(done, n - done)
+        fits[:, :-step] &= fits[:, step:]
+        done += step
+
+
 def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """Words, and for each block the place of its first word (one more for the end)."""
     n = len(values)
@@ -34,15 +43,14 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
     flat = np.zeros(blocks * block, np.uint64)  # zeros after the end fill the last word
     flat[:n] = values
     width = _widths(flat).astype(np.int8).reshape(blocks, block)
-    place = np.arange(block, dtype=np.int16)
-    never, widest = np.int16(block + 1000), int(width.max())
+    widest = int(width.max())
     choice = np.full((blocks, block), _ESCAPE, np.int8)
     least = min((s for s in range(2, 16) if BITS[s] >= widest), default=15)  # narrower selectors are never better than it
     for s in range(least, -1, -1):
         fits = width <= BITS[s]
         if np.count_nonzero(fits) >= min(COUNTS[s], block):
-            until = np.minimum.accumulate(np.where(fits, never, place)[:, ::-1], axis=1)[:, ::-1] - place
-            choice[until >= COUNTS[s]] = s
+            _and_next(fits, min(int(COUNTS[s]), block))
+            np.copyto(choice, s, where=fits)
     ends = np.full(blocks, block)
     ends[-1] = n - (blocks - 1) * block
     begins = np.zeros((blocks, block), bool)
@@ -54,19 +62,21 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
         live = live[at[live] < ends[live]]
     start = np.flatnonzero(begins)
     selected = choice.reshape(-1)[start]
-    stop = (start // block + 1) * block
     size = np.where(selected == _ESCAPE, 2, 1)
     end = np.cumsum(size)
     words = np.zeros(end[-1], np.uint64)
     first = end - size
+    # a block's last word reaches beyond it: zeros follow each block
+    pad = int(COUNTS[np.clip(selected.min(), 2, 15)])
+    padded = np.zeros((blocks, block + pad), np.uint64)
+    padded[:, :block] = flat.reshape(blocks, block)
+    padded, at = padded.reshape(-1), start + start // block * pad
     for s in range(16):
         own = np.flatnonzero(selected == s)
         if len(own):
             word = np.full(len(own), s << 60, np.uint64)
             for k in range(COUNTS[s] if s > 1 else 0):
-                at_k = start[own] + k
-                inside = at_k < stop[own]
-                word |= np.where(inside, flat[np.where(inside, at_k, 0)], np.uint64(0)) << np.uint64(BITS[s] * k)
+                word |= padded[at[own] + k] << np.uint64(BITS[s] * k)
             words[first[own]] = word
     own = np.flatnonzero(selected == _ESCAPE)
     words[first[own]] = _ESCAPE_WORD

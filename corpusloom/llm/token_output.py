@@ -8,11 +8,11 @@ ascending document order; a page knows how many ids its shard holds before it, s
 for each shard is added up to give every document's place in the whole sequence.
 
 The ids are those of the tokenizers library at its defaults. Words between single spaces and line feeds are
-encoded once for each worker and kept in bounded tables: no part of such a text reaches over them. A text with
-other white space, or with one of the tokenizer's added tokens, is encoded by the library as a whole.
+encoded by it once for each worker and kept in bounded tables. A text with other white space, or with one of the
+tokenizer's added tokens, is encoded as a whole.
 
 Defined results: a null or empty text gives just the end id; a null id comes first; repeated rows are
-all written; an empty table gives no pages; further columns are ignored.
+all written; rows of one id stand in an order of their texts' hashes; an empty table gives no pages; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
@@ -32,115 +33,98 @@ from corpusloom.llm.simple8b import BLOCK, pack, unpack
 
 END_ID = 0
 PAGE_IDS = 1 << 20
-KEPT_WORDS = 500_000
+KEPT_WORDS = 800_000
 _HEAD = struct.Struct("<4sHHIIQ")  # magic, version, block size, documents, blocks, ids
 MAGIC, VERSION = b"TID8", 1
 
 _encoders: dict[str, "WordEncoder"] = {}
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letter that byte-level vocabularies write for each byte: itself if it prints in Latin-1,
-    else the next code point from 256."""
-    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(prints)]
-    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
-
-
-#: All that some definition of white space holds, but for space and line feed.
+#: All that some definition of white space holds, but for space and line feed; those of ASCII first.
 OTHER_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
-#: Letters and digits below are the same in every version of Unicode in use.
-SETTLED = "\u0250"
 
 
 class WordEncoder:
-    """Ids of a text as little-endian 32-bit integers, by way of tables of words.
+    """Ids of texts, by way of a table of words.
 
-    A word that is new goes through the tokenizer's stages one by one: its pattern cuts the word in
-    pre-tokens, and the library's model encodes those that are new as well. The first words of lines, and
-    words of rarer alphabets, are left to the library."""
+    Texts are cut before single spaces and on both sides of single line feeds, where a byte-level tokenizer cuts whatever stands
+    there: into words that follow a space, and words that a line feed begins (so does, for the time being, each text). All
+    texts of a batch are cut by Arrow's functions and each distinct word is looked up once. The library encodes all words of a batch that
+    are new as one text, whose ids fall apart into those of its words: a word's first id, and no other, begins with the
+    space; a line feed has an id of its own."""
 
     def __init__(self, path: str):
         import json
+        import re
 
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             stages = json.load(f)
         pre = stages["pre_tokenizer"] or {}
         byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"]
         self.by_words = byte_level and not any(stages[x] for x in ("normalizer", "truncation", "padding"))
-        self.kept_whole = ["  ", "\n\n", " \n", "\n ", *OTHER_SPACE, *(t["content"] for t in stages["added_tokens"])]
-        # Fixed value: the pattern of byte-level tokenizers.
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}  # of " word"
-        self.firsts: dict[str, bytes] = {}  # of "word" with no space before it
-        self.parts: dict[str, bytes] = {}  # of pre-tokens
-        self.space, self.feed = self.batch([" ", "\n"])
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def whole(self, text: str) -> bytes:
-        return self.batch([text])[0]
-
-    def part(self, text: str) -> bytes:
-        mapped = text.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-
-    @staticmethod
-    def unknown(words: set[str], table: dict[str, bytes]) -> list[str]:
-        new = [w for w in words if w not in table]
-        if len(table) + len(new) > KEPT_WORDS:
-            table.clear()
-            new = list(words)
-        return new
-
-    def learn(self, words: set[str]) -> None:
-        new = self.unknown(words, self.words)
-        others = [w for w in new if not w.isascii() and max(w) >= SETTLED]
-        self.words.update(zip(others, self.batch([" " + w for w in others])))
-        new = [w for w in new if w.isascii() or max(w) < SETTLED]
-        if len(self.parts) > KEPT_WORDS:
-            self.parts.clear()
-        if not new:
-            return
-        parts, known, data = self.pattern.findall(" " + " ".join(new)), self.parts, []
-        for x in parts:
-            if (ids := known.get(x)) is None:
-                ids = known[x] = self.part(x)
-            data.append(ids)
-        # words hold no white space: one part of each, and no other, begins with a space
-        starts = [k for k, x in enumerate(parts) if x[0] == " "]
-        join = b"".join
-        for w, a, b in zip(new, starts, [*starts[1:], len(parts)], strict=True):
-            self.words[w] = data[a] if b == a + 1 else join(data[a:b])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if not self.by_words or any(x in t for x in self.kept_whole) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        words: set[str] = set()
-        firsts: set[str] = set()
-        for lines in split:
-            for line in lines or ():
-                firsts.add(line[0])
-                words.update(line[1:])
-        words.discard("")
-        self.learn(words)
-        new = self.unknown(firsts, self.firsts)
-        self.firsts.update(zip(new, self.batch(new)))
-        known, known_firsts, join = self.words, self.firsts, b"".join
-        known[""] = self.space
-        others = iter(self.batch([t for t, lines in zip(texts, split) if lines is None]))
-        out = []
-        for lines in split:
-            if lines is None:
-                out.append(next(others))
-            else:
-                out.append(self.feed.join([known_firsts[line[0]] + join(map(known.__getitem__, line[1:])) for line in lines]))
+        kept = ["  ", "\n\n", " \n", "\n ", *OTHER_SPACE, *(t["content"] for t in stages["added_tokens"])]
+        self.kept_whole = "|".join(re.escape(x) for x in kept)
+        if self.by_words:
+            space, self.feed = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0], self.numbers("\n")[0]
+            vocabulary = self.tokenizer.get_vocab()
+            self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.begins[[i for token, i in vocabulary.items() if token[:1] == space]] = True
+            self.forget()
+
+    def numbers(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")  # ids only, no offsets
+
+    def forget(self) -> None:
+        """Begin with the words at which a text may end."""
+        self.places = {"": 0, "\n": 1}
+        ends = [self.numbers(" "), self.numbers("\n")]
+        self.held, self.sizes = np.concatenate(ends), np.array([len(e) for e in ends])
+
+    def learn(self, words: list[str]) -> None:
+        spaced, lines = [w for w in words if w[0] != "\n"], [w for w in words if w[0] == "\n"]
+        held, sizes = [self.held], [self.sizes]
+        for own, text in ((spaced, " " + " ".join(spaced)), (lines, "".join(lines))):
+            if own:
+                ids = self.numbers(text)
+                at = np.flatnonzero(self.begins[ids] if own is spaced else ids == self.feed)
+                self.places.update(zip(own, range(len(self.places), len(self.places) + len(own))))
+                held.append(ids)
+                sizes.append(np.diff(np.append(at, len(ids))))
+        self.held, self.sizes = np.concatenate(held), np.concatenate(sizes)
+        if len(self.sizes) != len(self.places):
+            raise ValueError("words and ids do not match")
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        whole = pc.match_substring_regex(texts, self.kept_whole) if self.by_words else pa.repeat(pa.scalar(True), len(texts))
+        plain = np.flatnonzero(~whole.to_numpy(zero_copy_only=False))
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
+        for k in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            out[k] = self.numbers(texts[k].as_py())
+        if not len(plain):
+            return out
+        spaced = pc.replace_substring(texts.take(pa.array(plain)), "\n", " \n")
+        parts = pc.split_pattern(pc.binary_join_element_wise("\n", spaced, ""), " ")
+        words = parts.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False)
+        if len(self.places) > KEPT_WORDS:
+            self.forget()
+        place = np.array([self.places.get(w, -1) for w in distinct.tolist()])
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            unknown = distinct[new].tolist()
+            self.learn(unknown)
+            place[new] = [self.places[w] for w in unknown]
+        begins, size = (np.cumsum(self.sizes) - self.sizes)[place], self.sizes[place]
+        at = words.indices.to_numpy()
+        count = size[at]
+        ends = np.cumsum(count)
+        ids = self.held[np.repeat(begins[at] - (ends - count), count) + np.arange(ends[-1])]
+        bounds = np.concatenate([[0], ends])[parts.offsets.to_numpy()]
+        for k, a, b in zip(plain.tolist(), bounds.tolist(), bounds[1:].tolist()):
+            out[k] = ids[a + 1 : b]  # without the line feed in front
         return out
 
 
@@ -151,12 +135,12 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def write_page(doc_ids: list[int | None], parts: list[bytes]) -> bytes:
-    ids = np.frombuffer(b"".join(parts), "<u4").astype(np.uint64)
+def write_page(doc_ids: list[int | None], parts: list[np.ndarray]) -> bytes:
+    ids = np.concatenate(parts).astype(np.uint64)
     words, offsets = pack(ids)
     own = np.array([-1 if i is None else i for i in doc_ids], "<i8")
     known = np.array([i is not None for i in doc_ids], np.uint8)
-    lengths = np.array([len(p) // 4 for p in parts], "<u4")
+    lengths = np.array([len(p) for p in parts], "<u4")
     head = _HEAD.pack(MAGIC, VERSION, BLOCK, len(parts), len(offsets) - 1, len(ids))
     return b"".join([head, own.tobytes(), lengths.tobytes(), known.tobytes(), offsets.astype("<u4").tobytes(), words.astype("<u8").tobytes()])
 
@@ -182,12 +166,12 @@ _PAGES = pa.schema([("shard", pa.int32()), ("page", pa.int32()), ("before", pa.i
 def encode_pages(docs: DataFrame, tokenizer: str, end_id: int = END_ID, page_ids: int = PAGE_IDS) -> DataFrame:
     """Pages of all documents in ascending order of doc_id."""
     ready_workers(docs.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, page, before = TaskContext.get().partitionId(), 0, 0
         owners: list[int | None] = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         held = 0
 
         def close():
@@ -197,18 +181,19 @@ def encode_pages(docs: DataFrame, tokenizer: str, end_id: int = END_ID, page_ids
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _PAGES)], schema=_PAGES)
 
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer).encode(texts)):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer).encode(batch.column("text"))):
                 owners.append(doc_id)
-                parts.append(ids + end)
-                held += len(ids) // 4 + 1
+                parts.append(np.append(ids, end))
+                held += len(ids) + 1
                 if held >= page_ids:
                     yield close()
         if parts:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, PAGES)
+    text = F.coalesce("text", F.lit(""))
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    # with the hash, rows that share an id (or have none) are no single range
+    return ordered.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").mapInArrow(write, PAGES)
 
 
 def write_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> None:
