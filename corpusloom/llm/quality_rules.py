@@ -40,7 +40,7 @@ def _windows(words: Column, n: int) -> Column:
 
 
 def measured(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, host, digest, the measures of the base rules and _lines (hash, words, without repeats)."""
+    """doc_id, host, digest, the measures of the base rules and _lines (hash and number of words of each)."""
     words, hashes, at = F.col("_words"), F.col("_hashes"), F.col("_at")
     rows = (
         docs.select("doc_id", F.col(host).alias("host"), text_of().alias("_text"))
