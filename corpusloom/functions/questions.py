@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from corpusloom.functions import rules
 
@@ -21,6 +21,7 @@ _ASKS = (
     re.compile(r"\bwho(?:'s|\s+is)\s+(.+?)(?:\s*[?.!]|$)", re.I),
 )
 _NO_NAME = {"the", "a", "an", "our", "this", "that", "what", "which"}
+_WORKLOAD, _STATUS = re.compile(r"\b\d+\s*\+\s*\d+\s*\+\s*\d+\b"), re.compile(r"\b(?:compulsory|elective)\b[\s:|]*(\d{1,2})\b", re.I)
 _OF_COURSE = re.compile(r"\b(?:ects|akts|credits?)\b(?:\s+(?:value|credits?|number))?\s+(?:of|for)\s+(?:the\s+)?(.+?)(?:\s+(?:course|lesson|class))?\s*[?.!]*$", re.I)
 
 
@@ -59,6 +60,85 @@ def credits_near(text: str | None, course: str | None, before: int = 900, after:
     return None
 
 
+def course_row(text: str | None, course: str | None) -> tuple[str, int] | None:
+    """The row of a course in a course table, and its credits: the line that names the course (or two of its words), wrapped once at
+    most, with workload and status; never a total. In a table without lines the row is looked for behind the course's name."""
+    name = " ".join((course or "").lower().split())
+    if not text or len(name) < 3:
+        return None
+    wanted = {w for w in re.findall(r"[a-z]{3,}", name)} - {"for", "of", "and"}
+    lines = [line.strip() for line in text.splitlines() if line.strip()]
+    for line, following in zip(lines, [*lines[1:], ""]):
+        low = line.lower()
+        if name not in low and sum(w in low for w in wanted) < min(2, max(1, len(wanted))):
+            continue
+        for row in (line, f"{line} {following}".strip()):
+            m = _STATUS.search(row)
+            if m and _WORKLOAD.search(row) and "total ects" not in row.lower():
+                return row, int(m.group(1))
+    flat = r"\s+".join(map(re.escape, name.split())) + r"[\s\S]{0,140}?\b\d+\+\d+\+\d+\b[\s\S]{0,60}?\b(?:compulsory|elective)\b[\s:|]{0,8}(\d{1,2})"
+    if (m := re.search(flat, text, re.I)) and "total ects" not in m.group(0).lower():
+        return m.group(0)[:500], int(m.group(1))
+    return None
+
+
+@F.pandas_udf(StructType([StructField("row", StringType()), StructField("credits", IntegerType())]))
+def course_rows(texts: pd.Series, courses: pd.Series) -> pd.DataFrame:
+    found = [course_row(t, c) or (None, None) for t, c in zip(texts, courses)]
+    return pd.DataFrame({"row": [r for r, _ in found], "credits": pd.array([n for _, n in found], dtype="Int32")})
+
+
+def direct_answer(question: Column, context: Column) -> Column:
+    """What a context's block about a course's credits says, where the question asks for them: course, value, status, row; else null."""
+    part = lambda name, rest: F.trim(F.regexp_extract(F.coalesce(context, F.lit("")), rf"(?i){name}:\s*({rest})", 1))
+    course, value = F.regexp_replace(part("Course anchor", r"[^\n]+"), r"^[ .]+|[ .]+$", ""), part("ECTS value", r"[0-9]{1,2}|NOT FOUND IN EXCERPT")
+    status = F.when(F.upper(value) == "NOT FOUND IN EXCERPT", "not_found").otherwise("ok")
+    row = F.substring(part(r"Unit row \(if available\)", r"[^\n]+"), 1, 500)
+    asks = F.contains(F.lower(F.coalesce(question, F.lit(""))), F.lit("ects"))
+    return F.when(asks & (course != "") & (value != ""), F.struct(course.alias("course"), value.alias("value"), status.alias("status"), row.alias("row")))
+
+
+def department_anchors(question: Column, most: int = 10) -> Column:
+    """Names around which a snippet about a department is cut: those of its path, and the label of the path, longest first."""
+    segment = rules.path_segment(question)
+    out = F.array().cast("array<string>")
+    for path, names in (*rules.PATHS, *rules.ENTITIES.items()):
+        known = {n for n in names if len(n) >= 4} | {" ".join(w.capitalize() for w in path.split("-"))}
+        once = {n.lower(): n for n in sorted(known)}
+        out = F.when(segment == path, F.array(*map(F.lit, sorted(once.values(), key=lambda n: (-len(n), n))[:most]))).otherwise(out)
+    return out
+
+
+# Headings of pages about fees.
+SCHOLARSHIP_ANCHORS = ("Scholarship", "Scholarships", "Tuition Fees and Scholarships", "Burs", "Burslar", "Ücret ve Burs", "Öğrenim Ücretleri ve Burslar")
+PAYMENT_ANCHORS = ("Payment", "Ödeme", "Taksit", "Payment Plan")
+
+
+def fee_anchors(question: Column) -> Column:
+    """Headings around which a snippet about fees is cut."""
+    some = lambda cond, terms: F.when(cond, F.array(*map(F.lit, terms))).otherwise(F.array().cast("array<string>"))
+    fee = rules.intent(question, "fee")
+    return F.concat(some(fee & rules.intent(question, "scholarship"), SCHOLARSHIP_ANCHORS), some(fee & rules.has(question, r"\bpayment|odeme|installment|taksit\b"), PAYMENT_ANCHORS))
+
+
+#: More ways to search for what a question asks for, by intent; the text is a parameter of the site.
+VARIANTS = {
+    "roster": "academic staff list of the department, faculty members, professors",
+    "leadership": "deans and rector of the university, faculty management",
+    "international": "international student admission, application, required documents",
+    "wide_fee": "tuition fees of all programs, fee schedule, price list",
+}
+
+
+def query_variants(composed_: Column, name: Column, variants: dict[str, str] | None = None) -> Column:
+    """The composed question first, then ways to search for a person it names, then a line for each intent that holds; each once,
+    whatever the case of its letters."""
+    lines = [F.when(rules.intent(composed_, n), F.lit(line)) for n, line in (VARIANTS if variants is None else variants).items()]
+    every = F.filter(F.concat(F.array(composed_), F.coalesce(person_variants(name), F.array().cast("array<string>")), F.array(*lines)), lambda v: v.isNotNull() & (F.trim(v) != ""))
+    low = F.transform(every, lambda v: F.lower(v))
+    return F.filter(every, lambda v, i: F.array_position(low, F.lower(v)) == i + 1)
+
+
 @F.pandas_udf(StringType())
 def person(questions: pd.Series) -> pd.Series:
     return questions.map(person_of)

@@ -96,6 +96,34 @@ def unit_tabs(url: Column, pages: tuple[str, ...], unit: str = "curSunit") -> Co
     return F.when(value.rlike("^[0-9]+$"), tabs).otherwise(F.array().cast("array<string>"))
 
 
+def catalogue_url(link: Column, base: Column, host_: str, marker: str, detail: str = "showpac") -> Column:
+    """A link resolved against its page, without fragment, if it leads to the catalogue: this host, and the marker in the path or the
+    detail's name anywhere in the address; else empty."""
+    link = F.trim(F.coalesce(link, F.lit("")))
+    usable = (link != "") & ~F.startswith(link, F.lit("#")) & ~F.startswith(F.lower(link), F.lit("javascript:"))
+    url = without_fragment(joined(base, link))
+    inside = F.contains(F.lower(path(url)), F.lit(marker)) | F.contains(F.lower(url), F.lit(detail))
+    return F.when(usable & url.rlike("(?i)^https?://") & (host(url) == host_) & inside, url).otherwise(F.lit(""))
+
+
+def mined(html: Column, base: Column, host_: str, marker: str, detail: str = "showpac", kind: str = "aspx") -> Column:
+    """Catalogue addresses that stand anywhere in a page's source, also in scripts: (url, is_detail), each once. Words that hold
+    the detail's name, and page names of the kind with a query, are resolved against the catalogue's folder; the start page is none."""
+    folder = F.lit(f"https://{host_}{marker}")
+    clean = F.replace(F.coalesce(html, F.lit("")), F.lit("&amp;"), F.lit("&"))
+    words = lambda inner: F.regexp_extract_all(clean, F.lit(rf"(?i)([^\s\"'<>]*{inner}[^\s\"'<>]*)"), F.lit(1))
+    details = F.filter(words(detail), lambda w: (F.length(w) >= 8) & ~w.rlike("(?i)^javascript"))
+    pages = F.filter(words(rf"\.{kind}"), lambda w: ~w.rlike(rf"(?i)(^|/)program\.{kind}") & ~F.contains(F.lower(w), F.lit(detail)) & (F.contains(w, F.lit("?")) | w.rlike("(?i)^https?:")))
+    found = lambda ws, is_detail: F.transform(ws, lambda w: F.struct(catalogue_url(w, folder, host_, marker, detail).alias("url"), F.lit(is_detail).alias("is_detail")))
+    return F.array_distinct(F.filter(F.concat(found(details, True), found(pages, False)), lambda x: x["url"] != ""))
+
+
+def skipped_label(label: Column, parts: tuple[str, ...]) -> Column:
+    """Whether a menu entry holds one of the words that lead nowhere."""
+    low = F.lower(F.coalesce(label, F.lit("")))
+    return F.exists(F.array(*[F.lit(p.lower()) for p in parts]), lambda p: F.contains(low, p))
+
+
 def client_ip(peer: Column, forwarded: Column, trusted: tuple[str, ...]) -> Column:
     """First forwarded address if the peer is a trusted proxy (by its first two octets), else the peer."""
     first = F.trim(F.substring_index(F.coalesce(forwarded, F.lit("")), ",", 1))
