@@ -102,7 +102,7 @@ def department_anchors(question: Column, most: int = 10) -> Column:
     """Names around which a snippet about a department is cut: those of its path, and the label of the path, longest first."""
     segment = rules.path_segment(question)
     out = F.array().cast("array<string>")
-    for path, names in (*rules.PATHS, *rules.ENTITIES.items()):
+    for path, names in rules.PATHS:
         known = {n for n in names if len(n) >= 4} | {" ".join(w.capitalize() for w in path.split("-"))}
         once = {n.lower(): n for n in sorted(known)}
         out = F.when(segment == path, F.array(*map(F.lit, sorted(once.values(), key=lambda n: (-len(n), n))[:most]))).otherwise(out)

@@ -36,20 +36,20 @@ _APPLY_TOPIC = _APPLY + r"|\b(qualif|prerequisite|documents?)\b|what\s+do\s+(i|w
 _NEEDS = r"\b(requirements?|diplomas?|exams?|entrance|tests?|scores?|sat\b|gce|act\b|ap\b|tr-y|yos|tawjihi|baccalaur|abitur|matura|transcripts?|national\s+high\s+school|how\s+to\s+get\s+in)\b|what\s+do\s+(i|we)\s+need"
 _PRICE = r"\b(tuition|ucret|fee|fees|how\s+much|price|prices|cost|payment|odeme)\b"
 
-# Evidence in contents, titles and addresses.
+# Evidence in contents, titles and addresses; alternatives that fold to the same letters stand once.
 FEE_HINT = r"fee|ucret|tuition|ogrenim|burs|scholarship|financial|pricing"
 FEE_EVIDENCE = r"tuition|ucret|ogrenim|program\s+fee|annual\s+fee|\busd\b|\btry\b|₺|\$\s*[\d,\.]+|vat|kdv|yillik|taksit|per\s+year|/year|scholarship|burs|financial\s+aid|odeme|payment\s+plan|pesin"
 SCHOLARSHIP_EVIDENCE = r"\bscholar(ship|ships)?\b|\bburs(lari?)?\b|discount|indirim|financial\s+aid"
 LOW_VALUE = r"event|etkinlik|kariyer|career|duyur|announce|haber|news|kongre|congress|life-sciences|mezun|alumni|ilan|job|kampus\s*gez|graduate-fair|e-bulten|ebulten|tubitak"
 ENTITY_NOISE = r"career|kariyer|event|etkinlik|news|haber|announcement|duyuru"
-GRADUATE_SOURCE = r"graduate|post-?grad|yuksek\s*lisans|master[’']?s?\s*program|phd|doktora|\btez\b|mba\s*admission"
+GRADUATE_SOURCE = r"graduate|post-?grad|yuksek\s*lisans|master[’'s]?\s*program|phd|doktora|/graduate/|/graduate-|\btez\b|mba\s*admission"
 HIGH_SIGNAL = r"academic-staff|message-from-head|head-of-department|message\s+from\s+head|from\s+the\s+head|ode-to-the-department|bolum-baskan|bolum\s*baskan|department\s+head\s+message"
 LOW_SIGNAL = r"commissions?\b|board-?of-?education|board_of_education|application[-\s]quotas|evaluation[-\s]schedule|quotas.*evaluation|have\s+been\s+announced|fall[-\s]semester.*20\d\d|academic[-\s]year.*announced|alumni[-_\s]videos|double[-\s]major|minor[-\s]program|accreditation[-\s]certificate"
 LEADERSHIP_CONTENT = r"dean\s+of|faculty\s+dean|\bdean\b|dekan|rector|rektor|dean'?s?\s+office|vice\s*rector|yardimci\s*rektor|fakulte|faculty\s+of"
 LEADER_CONTENT = r"head of department|message from head|department head|chair of|bolum baskan|dekan|mudur"
-SMALL_TALK = r"^[\s!?.`,;'\"]*((hi|hello|hey|yo|hiya|sup|hola|howdy)(\s+(there|everyone|all|guys|team))?|merhaba(\s+nasilsin)?|selam(\s+aleykum)?|good\s+(morning|afternoon|evening|night)(\s+there)?|how\s+are\s+you(\s+doing)?|what'?s\s+up|thanks?(\s+a\s+lot)?|thank\s+you(\s+so\s+much)?|thx|ty|tesekkurler?|sag\s*ol|ok|okay|tamam|bye|goodbye|see\s+you|gule\s+gule|nice|cool|great|awesome|perfect|alright)[\s!?.`,;'\"]*$"
-SMALL_TALK_NOT = r"\b(when|where|which|who|why|burs|scholar|tuition|fee|programs?|adres|address|basvuru|kampus|contact|iletisim|ucret|apply|application|deadline|calendar|course|exam|graduate|undergraduate)\b|\bwhat\s+(is|are|was|were|does|did|do|can|should|about|if)\b|\bhow\s+(do|can|i|to|much|many|long|about|apply|register)\b"
-OFF_TOPIC = r"\b(weather|forecast|hava\s*durumu|recipe|tarif|joke|fikra|espri|movie|film|music|muzik|song|sarki|game|oyun|football|futbol|basketball|basketbol|bitcoin|crypto|kripto|stock|borsa|diet|diyet|horoscope|burc|netflix|spotify|instagram|tiktok|write\s+me\s+a\s+(poem|story|code|essay)|translate|cevir|what\s+time|saat\s+kac)\b"
+SMALL_TALK = r"^[\s!?.`,;'\"]*((hi|hello|hey|yo|hiya|sup|hola|howdy)(\s+(there|everyone|all|guys|team|baby|bro|dude|man))?|merhaba(\s+nasilsin)?|selam(\s+aleykum)?|\bsa\b|\bslm\b|\bnaber\b|good\s+(morning|afternoon|evening|night)(\s+there)?|how\s+are\s+you(\s+doing)?|what'?s\s+up|\bwassup\b|you\s+ok\?|what'?s\s+good|yo\s+what'?s\s+good|thanks?(\s+a\s+lot)?|thank\s+you(\s+so\s+much)?|\bthx\b|\bty\b|tesekkurler?|sag\s*ol|\bok\b|okay|tamam|\bbye\b|goodbye|see\s+you|gule\s+gule|\bbb\b|nice|cool|great|awesome|perfect|alright)[\s!?.`,;'\"]*$"
+SMALL_TALK_NOT = r"\b(when|where|which|who|why|burs|scholar|tuition|fee|programs?|adres|address|basvuru|kampus|contact|iletisim|ucret|cret|apply|application|deadline|calendar|course|exam|graduate|undergraduate)\b|\bwhat\s+(is|are|was|were|does|did|do|can|should|about|if)\b|\bhow\s+(do|can|i|to|much|many|long|about|apply|register)\b"
+OFF_TOPIC = r"\b(weather|forecast|hava\s*durumu|recipe|tarif|joke|fikra|espri|movie|film|music|muzik|song|sarki|game|oyun|football|futbol|basketball|basketbol|bitcoin|crypto|kripto|stock|borsa|diet|diyet|horoscope|burc|netflix|spotify|instagram|tiktok|who\s+is\s+elon|who\s+is\s+trump|who\s+is\s+biden|write\s+me\s+a\s+(poem|story|code|essay)|translate|cevir|what\s+time|saat\s+kac)\b"
 OFF_TOPIC_NOT = r"\b(university|universite|campus|kampus|faculty|fakulte|program|department|bolum|student|ogrenci|admission|kayit|tuition|ucret|scholarship|burs)\b"
 
 # Names of departments in both languages (folded), the words that point to a path, in order.
@@ -60,16 +60,16 @@ ENTITIES = {
     "faculty-of-medicine": ("faculty of medicine", "medical school", "tip fakultesi", "hekimlik"),
 }
 PATHS = (
-    ("faculty-of-health-sciences", ("health sciences", "saglik bilimleri")),
+    ("faculty-of-health-sciences", ("faculty of health sciences", "health sciences", "health sciences faculty", "saglik bilimleri fakultesi", "saglik bilimleri")),
     ("faculty-of-medicine", ("faculty of medicine", "tip fakultesi", "hekimlik", "medical school", "doctor of medicine")),
     ("computer-programming", ("computer programming", "computer programmer", "bilgisayar programciligi", "programming")),
     ("computer-engineering", ("computer engineering", "bilgisayar muhendisligi", "muhendisligi bolum", "bolum bilgisayar")),
     ("electrical", ("electrical", "elektrik", "elektronik", "electronics")),
     ("mechanical", ("mechanical", "makine")),
-    ("civil", ("civil", "insaat")),
+    ("civil", ("civil", "insaat", "mimarlik insaat")),
     ("industrial", ("industrial", "endustri")),
     ("biomedical", ("biomedical", "biyomedikal", "biyom")),
-    ("software", ("software", "yazilim")),
+    ("software", ("software", "yazilim", "yazilim m")),
 )
 # Terms that boost a question's candidates, by what it asks about.
 STEM_TERMS = (

@@ -108,7 +108,7 @@ i as (select query_id, regexp_matches({_FOLD.format(x="coalesce(question, '')")}
 select query_id, chunk_id from i join c on query_id = chunk_id % 16 + 1 where (not fee or regexp_matches(head, 'fee|ucret|tuition|ogrenim|burs|scholarship|financial|pricing')
     or regexp_matches(body[1:80000], 'tuition|ucret|ogrenim|program\\s+fee|annual\\s+fee|\\busd\\b|\\btry\\b|₺|\\$\\s*[\\d,\\.]+|vat|kdv|yillik|taksit|per\\s+year|/year|scholarship|burs|financial\\s+aid|odeme|payment\\s+plan|pesin'))
   and (not scholarship or regexp_matches(whole, '\\bscholar(ship|ships)?\\b|\\bburs(lari?)?\\b|discount|indirim|financial\\s+aid'))
-  and (not undergraduate or not regexp_matches(head, 'graduate|post-?grad|yuksek\\s*lisans|master[’'']?s?\\s*program|phd|doktora|\\btez\\b|mba\\s*admission'))""")
+  and (not undergraduate or not regexp_matches(head, 'graduate|post-?grad|yuksek\\s*lisans|master[’''s]?\\s*program|phd|doktora|\\btez\\b|mba\\s*admission'))""")
 def grounded_candidates(spark, sf_dir):
     """Every chunk is a candidate of one question."""
     pairs = chunks(spark, sf_dir).withColumn("query_id", F.col("chunk_id") % 16 + 1).join(questions(spark), "query_id")
@@ -127,8 +127,9 @@ def list_order(spark, sf_dir):
     return composite.candidate_lists(asked_, lists).select("query_id", "chunk_id", F.col("src_ord").cast("long").alias("src_ord"))
 
 
-@query(f"""with {questions_sql()} select query_id, case query_id when 1 then 'bilgisayar muhendisligi|computer engineering' when 2 then 'faculty of medicine|medical school|tip fakultesi|hekimlik'
-  when 6 then 'bilgisayar programciligi|computer programming|computer programmer' when 7 then 'bilgisayar muhendisligi|computer engineering' when 9 then 'faculty of health sciences|saglik bilimleri fakultesi|health sciences' when 12 then 'electronics|electrical|elektronik|elektrik' end as department,
+@query(f"""with {questions_sql()} select query_id, case query_id when 1 then 'bilgisayar muhendisligi|computer engineering|muhendisligi bolum|bolum bilgisayar' when 2 then 'faculty of medicine|doctor of medicine|medical school|tip fakultesi|hekimlik'
+  when 6 then 'bilgisayar programciligi|computer programming|computer programmer|programming' when 7 then 'bilgisayar muhendisligi|computer engineering|muhendisligi bolum|bolum bilgisayar'
+  when 9 then 'faculty of health sciences|saglik bilimleri fakultesi|health sciences faculty|saglik bilimleri|health sciences' when 12 then 'electronics|electrical|elektronik|elektrik' end as department,
   case query_id when 8 then 'Scholarship|Scholarships|Tuition Fees and Scholarships|Burs|Burslar|Ücret ve Burs|Öğrenim Ücretleri ve Burslar' end as fee from questions""")
 def snippet_anchors(spark, sf_dir):
     joined = lambda c: F.expr(f"nullif(array_join({c}, '|'), '')")
