@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import ready_workers
 
 MARK = "▁"
-KEPT_PARTS = 500_000
+KEPT_PARTS = 250_000
 #: Kinds of pieces in a model file (fixed values of its format).
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 UNIGRAM, BPE = 1, 2
@@ -164,7 +164,7 @@ class Transducer:
         """Weight of the arc from piece a to piece b; a is empty at the start."""
         pair = (a, b)
         if (fits := self.pairs.get(pair)) is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 500_000:
                 self.pairs.clear()
             fits = self.pairs[pair] = a + b not in self.score and self.merged(a + b) == [a, b] if a else self.merged(b) == [b]
         return fits

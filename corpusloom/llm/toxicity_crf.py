@@ -44,7 +44,7 @@ TRAIN_WINDOW, COLUMNS = 64, 2048
 STEPS, RATE, DECAY = 120, 0.15, 2e-5
 WINDOW = 512
 SPAN, THRESHOLD = 0.5, 0.5
-KEPT_TOKENS = 400_000
+KEPT_TOKENS = 200_000
 _EDGES = b".,;:!?\"'()[]{}<>|#*$%&-_"
 
 
