@@ -84,14 +84,14 @@ def content_types(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", crawl.is_page(F.get(kinds, (F.col("page_id") % 4).cast("int"))).alias("is_page"))
 
 
-@query(f"""with s as (select page_id, '<a href="/oibs/bologna/progAbout.aspx?curSunit=' || page_id || '&amp;lang=en">x</a> onclick="open(''index.aspx?a=1'')" <a href="https://www.obs.example.edu/oibs/bologna/showPac.aspx?u=' || page_id || '#top">y</a> program.aspx?z=1 https://other.org/oibs/bologna/x.aspx?b=2 ' || html as h from pages)
-select page_id, 'https://obs.example.edu/oibs/bologna/index.aspx?a=1' as url, false as is_detail from s union all
-select page_id, 'https://obs.example.edu/oibs/bologna/progAbout.aspx?curSunit=' || page_id || '&lang=en', false from s union all
-select page_id, 'https://www.obs.example.edu/oibs/bologna/showPac.aspx?u=' || page_id, true from s""")
+@query(f"""with s as (select page_id, '<a href="/catalogue/progAbout.aspx?curSunit=' || page_id || '&amp;lang=en">x</a> onclick="open(''index.aspx?a=1'')" <a href="https://www.courses.example.edu/catalogue/showPac.aspx?u=' || page_id || '#top">y</a> program.aspx?z=1 https://other.org/catalogue/x.aspx?b=2 ' || html as h from pages)
+select page_id, 'https://courses.example.edu/catalogue/index.aspx?a=1' as url, false as is_detail from s union all
+select page_id, 'https://courses.example.edu/catalogue/progAbout.aspx?curSunit=' || page_id || '&lang=en', false from s union all
+select page_id, 'https://www.courses.example.edu/catalogue/showPac.aspx?u=' || page_id, true from s""")
 def mined_urls(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    source = F.concat(F.lit('<a href="/oibs/bologna/progAbout.aspx?curSunit='), "page_id", F.lit('&amp;lang=en">x</a> onclick="open(\'index.aspx?a=1\')" <a href="https://www.obs.example.edu/oibs/bologna/showPac.aspx?u='), "page_id", F.lit('#top">y</a> program.aspx?z=1 https://other.org/oibs/bologna/x.aspx?b=2 '), "html")
-    found = urls.mined(source, F.col("url"), "obs.example.edu", "/oibs/bologna/")
+    source = F.concat(F.lit('<a href="/catalogue/progAbout.aspx?curSunit='), "page_id", F.lit('&amp;lang=en">x</a> onclick="open(\'index.aspx?a=1\')" <a href="https://www.courses.example.edu/catalogue/showPac.aspx?u='), "page_id", F.lit('#top">y</a> program.aspx?z=1 https://other.org/catalogue/x.aspx?b=2 '), "html")
+    found = urls.mined(source, F.col("url"), "courses.example.edu", "/catalogue/")
     return p.select("page_id", F.explode(found).alias("x")).select("page_id", "x.url", "x.is_detail")
 
 

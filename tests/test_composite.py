@@ -34,10 +34,10 @@ def test_query_variants(spark):
 
 
 def test_catalogue_urls(spark):
-    base = "https://obs.example.edu/oibs/bologna/x.aspx"
-    links = {"progAbout.aspx?a=1&amp;b=2#t": "https://obs.example.edu/oibs/bologna/progAbout.aspx?a=1&b=2", "https://www.obs.example.edu/oibs/bologna/i": "https://www.obs.example.edu/oibs/bologna/i", "https://other.org/oibs/bologna/i": "", "javascript:x()": "", "#a": "", "/else/showPac.aspx": "https://obs.example.edu/else/showPac.aspx", "/else/p.aspx": "", "": ""}
+    base = "https://courses.example.edu/catalogue/x.aspx"
+    links = {"progAbout.aspx?a=1&amp;b=2#t": "https://courses.example.edu/catalogue/progAbout.aspx?a=1&b=2", "https://www.courses.example.edu/catalogue/i": "https://www.courses.example.edu/catalogue/i", "https://other.org/catalogue/i": "", "javascript:x()": "", "#a": "", "/else/showPac.aspx": "https://courses.example.edu/else/showPac.aspx", "/else/p.aspx": "", "": ""}
     d = spark.createDataFrame(list(enumerate(links)), "i long, link string")
-    got = d.orderBy("i").select(urls.catalogue_url(F.col("link"), F.lit(base), "obs.example.edu", "/oibs/bologna/").alias("u")).collect()
+    got = d.orderBy("i").select(urls.catalogue_url(F.col("link"), F.lit(base), "courses.example.edu", "/catalogue/").alias("u")).collect()
     assert [r["u"] for r in got] == list(links.values())
 
 
