@@ -137,3 +137,33 @@ m as (
 b as (select host, mean, mean - {u.QUANTILE} * sqrt(mean * (1 - mean) / (n + 1)) as low from m)
 select page_id, host, path, {rule} as rule, coalesce({verdict}, case when low > {u.MAX_BAD} then 'block' else 'allow' end) as verdict,
   round(mean, 6) as bad_rate, round(low, 6) as lower_bound from parsed join b using (host)"""
+
+
+def fill_in_middle() -> str:
+    digit = lambda k: f"('0x' || substr(h, {8 * k + 1}, 8))::bigint"
+    return rf"""
+with base as (
+  select doc_id, coalesce(text, '') as t, length(coalesce(text, ''))::bigint as n, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+cuts as (
+  select *, {digit(0)} % (n + 1) as a, {digit(1)} % (n + 1) as b,
+    case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or {digit(2)} % 100 >= 90 then 'plain' when {digit(3)} % 100 < 20 then 'spm' else 'psm' end as form from base),
+parts as (
+  select *, least(a, b) as lo, greatest(a, b) as hi, substring(t, 1, least(a, b)) as p, substring(t, least(a, b) + 1, greatest(a, b) - least(a, b)) as m, substring(t, greatest(a, b) + 1) as s from cuts)
+select doc_id, n, form, case when form <> 'plain' then lo end as prefix_chars, case when form <> 'plain' then hi - lo end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(t) as restored_sha256 from parts"""
+
+
+def decontamination() -> str:
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}')"
+    gram = "array_to_string(w[i:i + size - 1], ' ')"
+    return rf"""
+with items as (select coalesce(item_id::varchar, '') as item, {words} as w, least(10, len({words})) as size from benchmark),
+windows as (select distinct item, size, {gram} as g from (select *, unnest(range(1, len(w) - size + 2)) as i from items where size > 0)),
+docs as (select row_number() over () as row_id, doc_id, {words} as w from documents),
+places as (select row_id, size, i, {gram} as g from (select row_id, w, size, unnest(range(1, len(w) - size + 2)) as i from docs, (select distinct size from windows))),
+found as (select row_id, item, places.size, i from places join windows on places.size = windows.size and places.g = windows.g),
+hit as (select row_id, count(*)::bigint as n from (select distinct row_id, unnest(range(i, i + size)) as at from (select distinct row_id, size, i from found)) group by row_id),
+lists as (select row_id, count(*)::bigint as n, string_agg(item, ',' order by item) as items from (select distinct row_id, item from found) group by row_id)
+select doc_id, len(w)::bigint as n_words, coalesce(hit.n, 0)::bigint as n_hit, coalesce(lists.n, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, hit.n is not null as contaminated
+from docs left join hit using (row_id) left join lists using (row_id)"""

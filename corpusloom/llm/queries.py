@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann, jaccard_join, licenses, mixing, oracle, quality_cnn, quality_rules, sentencepiece_fst, token_output, toxicity_crf, url_filter
+from corpusloom.llm import ann, decontaminate, fill_in_middle, jaccard_join, licenses, mixing, oracle, quality_cnn, quality_rules, sentencepiece_fst, token_output, toxicity_crf, url_filter, whitening
 from corpusloom.llm.common import table
 
 
@@ -59,8 +59,26 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = (
+    op1_sentencepiece, op2_mixing, op3_token_output, op4_quality_rules, op5_license_scan, op6_jaccard_join, op7_quality_cnn, op8_toxicity_crf, op9_ann, op10_url_filter,
+    op11_whitening, op12_fill_in_middle, op13_decontamination,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_token_output, op4_quality_rules, op5_license_scan, op6_jaccard_join, op7_quality_cnn, op8_toxicity_crf, op9_ann, op10_url_filter)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -69,4 +87,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": oracle.quality(),
         "op5_license_scan": oracle.license_scan(),
         "op10_url_filter": oracle.url_judge(),
+        "op12_fill_in_middle": oracle.fill_in_middle(),
+        "op13_decontamination": oracle.decontamination(),
     }

@@ -27,19 +27,28 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_set(text: bytes | None, n: int) -> np.ndarray:
-    """Distinct shingles of n words, A-Z lower-cased; with fewer words the whole sequence is one; without
-    words none. bytes.lower() and bytes.split() know ASCII letters and the six ASCII spaces only."""
-    words = (text or b"").lower().split()
-    if not words:
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
+def gram_hashes(w: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of each run of size words; w: hashes of the words."""
+    if len(w) < size:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    size = min(n, len(w))
     h = w[: len(w) - size + 1].copy()
     for k in range(1, size):
         h *= _A
         h += w[k : len(w) - size + 1 + k]
     h ^= np.uint64(size * 0x51ED27)
-    h = _mixed(h)
+    return _mixed(h)
+
+
+def shingle_set(text: bytes | None, n: int) -> np.ndarray:
+    """Distinct shingles of n words, A-Z lower-cased; with fewer words the whole sequence is one; without
+    words none. bytes.lower() and bytes.split() know ASCII letters and the six ASCII spaces only."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = gram_hashes(word_hashes(words), min(n, len(words)))
     h.sort()
     return h[np.concatenate([[True], h[1:] != h[:-1]])]
