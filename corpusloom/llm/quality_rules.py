@@ -1,7 +1,8 @@
 """Quality rules: per-document base rules, then cross-document line frequency.
 
-Normalised lines are hashed, and for each host (the source of a document) the distinct texts
-that hold a line are counted, so that exact copies count once. Lines above the host's limit
+Normalised lines are hashed, and for each host (the source of a document) the distinct documents
+that hold a line are counted; on request (count_by="texts") the distinct texts, so that exact copies count once and do not
+condemn each other where duplicates have not been removed yet. Lines above the host's limit
 are removed; a document that keeps too few of its words is depleted and rejected.
 
 Built from DataFrame functions only. The text is read once: the measures and the line hashes of
@@ -10,8 +11,8 @@ with the frequent lines is a plain equi-join of two shuffled sides, which adapti
 splits where one line holds a large part of the rows.
 
 Defined results: a null text is an empty one (no words: base_failed); a null host is a host of its
-own; repeated rows are judged alike and all returned; an empty table gives an empty result; further
-columns are ignored.
+own; repeated rows are judged alike, all returned, and are one document; rows without an id are judged like any others,
+equal ones as repeated rows; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from corpusloom.llm.common import SPACE, WORD, stored, text_of, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-#: A line is frequent in a host if more distinct texts hold it than both.
+#: A line is frequent in a host if more of its documents (or texts) hold it than both.
 LINE_MIN_DOCS, LINE_MAX_SHARE = 20, 0.05
 #: A document is depleted if fewer words or a smaller share of them is left.
 LEFT_WORDS, LEFT_SHARE = 10, 0.2
@@ -75,24 +76,25 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def frequent_lines(lines: DataFrame, docs: DataFrame, min_docs: int = LINE_MIN_DOCS, max_share: float = LINE_MAX_SHARE) -> DataFrame:
-    """lines: host, digest, line; docs: host, digest. The lines of each host that too many of its texts hold."""
-    limits = docs.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), max_share * F.count_distinct("digest")).alias("limit"))
-    counts = lines.groupBy("host", "line").agg(F.count_distinct("digest").alias("docs")).where(F.col("docs") > min_docs)
+    """lines: host, unit, line; docs: host, unit (what is counted). The lines of each host that too many of its units hold."""
+    limits = docs.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), max_share * F.count_distinct("unit")).alias("limit"))
+    counts = lines.groupBy("host", "line").agg(F.count_distinct("unit").alias("docs")).where(F.col("docs") > min_docs)
     limits = limits.withColumnRenamed("host", "limit_host")
     return counts.join(limits, counts["host"].eqNullSafe(limits["limit_host"])).where("docs > limit").select("host", "line", "docs")
 
 
-def judge(docs: DataFrame, host: str = "source", min_docs: int = LINE_MIN_DOCS, max_share: float = LINE_MAX_SHARE) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", min_docs: int = LINE_MIN_DOCS, max_share: float = LINE_MAX_SHARE, count_by: str = "documents") -> DataFrame:
     """The measures, words_left (after frequent lines are removed), base_failed and kept of each row."""
+    units = {"documents": F.xxhash64("doc_id", "digest"), "texts": F.col("digest")}
     rows = stored(measured(docs, host), "quality-measures").withColumn("host_key", F.coalesce(F.concat(F.lit("h"), "host"), F.lit("n")))
     lines = rows.select("doc_id", "host_key", "digest", F.explode("_lines").alias("x")).select("doc_id", F.col("host_key").alias("host"), "digest", "x.line", "x.words")
-    frequent = frequent_lines(lines, rows.select(F.col("host_key").alias("host"), "digest"), min_docs, max_share).select("host", "line")
-    copies = rows.groupBy("doc_id", "host_key", "digest").agg(F.count("*").alias("copies")).withColumnRenamed("host_key", "host")
+    counted = lines.select("host", units[count_by].alias("unit"), "line")
+    frequent = frequent_lines(counted, rows.select(F.col("host_key").alias("host"), units[count_by].alias("unit")), min_docs, max_share).select("host", "line")
     found = lines.join(frequent, ["host", "line"]).groupBy("doc_id", "host", "digest").agg(F.sum("words").alias("all_words"))
-    removed = found.join(copies, ["doc_id", "host", "digest"]).select(
-        F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("digest").alias("_digest"), F.expr("all_words div copies").alias("removed")
-    )
+    removed = found.select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("digest").alias("_digest"), "all_words")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("host_key") == F.col("_host")) & (F.col("digest") == F.col("_digest"))
+    copies = rows.groupBy("doc_id", "host_key", "digest").agg(F.count("*").alias("copies"))
+    removed = copies.join(removed, same).select("_id", "_host", "_digest", F.expr("all_words div copies").alias("removed"))
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     depleted = F.coalesce(F.col("removed") > 0, F.lit(False)) & ((F.col("words_left") < LEFT_WORDS) | (F.col("words_left") < LEFT_SHARE * F.col("n_words")))

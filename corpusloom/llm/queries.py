@@ -30,7 +30,7 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    return quality_rules.judge(table(spark, sf_dir, "documents"), count_by="texts")  # the table still holds copies
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,10 +245,25 @@ def test_frequent_lines_deplete(spark, prose):
     rows = [(i, line + "\n" + " ".join(f"w{i}x{k}" for k in range(3)), "en", "h", 1) for i in range(40)]
     rows += [(100 + i, line + "\n" + prose(200) + f" end{i}", "en", "h", 1) for i in range(5)]
     rows += [(200 + i, "copied " * 3 + "text of ten words or more, copied very often here", "en", "k", 1) for i in range(50)]
-    got = {x["doc_id"]: x["kept"] for x in quality_rules.judge(docs(spark, rows)).collect()}
+    got = {x["doc_id"]: x["kept"] for x in quality_rules.judge(docs(spark, rows), count_by="texts").collect()}
     assert not any(got[i] for i in range(40)) and all(got[100 + i] for i in range(5)) and all(got[200 + i] for i in range(50))
 
 
+def test_frequent_lines_of_documents_and_of_rows_without_id(spark, prose):
+    """Copies condemn each other where documents are counted; rows without an id lose lines like any others."""
+    line = "this very line stands in all the documents of one host again"
+    tail = lambda i: line + "\n" + " ".join(f"w{i}x{k}" for k in range(3))
+    rows = [(i, tail(i), "en", "h", 1) for i in range(30)] + [(None, tail(100 + i), "en", "h", 1) for i in range(30)] + [(None, tail(100), "en", "h", 1)] * 2
+    rows += [(200 + i, "ten words that are the same in each of the copies, and some more", "en", "k", 1) for i in range(50)] + [(500, "one document whose row is repeated in the table many times over", "en", "r", 1)] * 50
+    for count_by, copies_stay in (("documents", False), ("texts", True)):
+        got = quality_rules.judge(docs(spark, rows), count_by=count_by).collect()
+        assert len(got) == len(rows)
+        assert all((x["words_left"], x["kept"]) == (3, False) for x in got if x["doc_id"] is None or x["doc_id"] < 30)
+        assert all(x["kept"] is copies_stay for x in got if x["doc_id"] and 200 <= x["doc_id"] < 500)
+        assert all(x["kept"] for x in got if x["doc_id"] == 500)
+    same_rows(quality_rules.judge(docs(spark, rows, clash=False), count_by="texts"), oracle.quality(), {"documents": docs(spark, rows, clash=False)})
+
+
 def test_licenses(spark):
     mit = licenses.KNOWN[0][1]
     variant = "Copyright (c) 2020 Somebody\n\n" + mit.upper().replace(",", " ,").replace("\n", "\n\n")
@@ -633,7 +648,7 @@ def test_sql_on_odd_rows(spark, data):
     d = docs(spark, data, clash=False)
     tables = {"documents": d}
     same_rows(mixing.mix(d), oracle.mixing(), tables)
-    same_rows(quality_rules.judge(d), oracle.quality(), tables)
+    same_rows(quality_rules.judge(d, count_by="texts"), oracle.quality(), tables)
     same_rows(licenses.scan(d), oracle.license_scan(), tables)
 
 
@@ -642,7 +657,7 @@ def test_sql_on_the_test_tables(spark):
     from corpusloom.llm import queries
 
     data = "/root/testdata/sf0.001"
-    tables = {t: spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "pages", "labels")}
+    tables = {t: spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "pages", "labels", "benchmark")}
     for name, sql in queries.oracle_sql().items():
         same_rows(queries.queries()[name](spark, data), sql, tables)
 
