@@ -110,8 +110,8 @@ def url_judge() -> str:
     rule = "case " + " ".join(f"when {fit(h, p)} then '{h}{p}'" for h, p, _ in order) + " end"
     verdict = "case " + " ".join(f"when {fit(h, p)} then '{v}'" for h, p, v in order) + " end"
     strength = lambda t: f"""
-  (select case when n is null then {u.MOST_STRENGTH} when v > 0 then least({u.MOST_STRENGTH}, greatest({u.LEAST_STRENGTH}, m * (1 - m) / v - 1)) else {u.MOST_STRENGTH} end from (
-    select n, m, q / n - m * m - m * (1 - m) * (k - 1) / n as v from (
+  (select case when n is null then {u.LEAST_STRENGTH} when v > 0 then least(most, greatest({u.LEAST_STRENGTH}, m * (1 - m) / v - 1)) else most end from (
+    select n, m, least({u.MOST_STRENGTH}, greatest({u.LEAST_STRENGTH}, n)) as most, q / n - m * m - m * (1 - m) * (k - 1) / n as v from (
       select sum(pages) as n, sum(bad)::double / sum(pages) as m, count(*) as k, sum((bad * bad)::double / pages) as q from {t} where pages > 0)))"""
     suffixes = ", ".join(f"'{x}'" for x in u.SUFFIXES)
     return rf"""
@@ -121,7 +121,7 @@ with parsed as (
 marks as (select doc_id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad from labels group by doc_id),
 hosts0 as (
   select host, count(marks.doc_id) as pages, coalesce(sum(bad), 0) as bad, regexp_replace(host, '^.*@|:[0-9]*$|\.$', '', 'g') as site
-  from parsed left join marks on marks.doc_id = try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) as bigint) group by host),
+  from parsed left join marks on marks.doc_id = try_cast(regexp_extract(path, '/([0-9]+)\z', 1) as bigint) group by host),
 named as (
   select *, regexp_matches(site, '^[0-9]+(\.[0-9]+){{3}}$') as number, array_to_string(string_split(site, '.')[-2:], '.') in ({suffixes}) as two,
     string_split(site, '.') as parts from hosts0),
@@ -130,7 +130,7 @@ hosts as (
     case when number then site when two then array_to_string(parts[-3:], '.') else array_to_string(parts[-2:], '.') end as domain from named),
 domains as (select domain, suffix, sum(pages) as pages, sum(bad) as bad from hosts group by domain, suffix),
 suffixes as (select suffix, sum(pages) as pages, sum(bad) as bad from domains group by suffix),
-s as (select {strength('suffixes')} as s1, {strength('domains')} as s2, {strength('hosts')} as s3, (select coalesce(sum(bad)::double / nullif(sum(pages), 0), 0.0) from hosts) as m0),
+s as (select {strength('suffixes')} as s1, {strength('domains')} as s2, {strength('hosts')} as s3, (select (coalesce(sum(bad), 0) + {u.TOP[0]}) / (coalesce(sum(pages), 0) + {sum(u.TOP)}) from hosts) as m0),
 m as (
   select h.host, (h.bad + s3 * ((d.bad + s2 * ((x.bad + s1 * m0) / (x.pages + s1))) / (d.pages + s2))) / (h.pages + s3) as mean, h.pages + s3 as n
   from hosts h join domains d on h.domain = d.domain join suffixes x on d.suffix = x.suffix, s),

@@ -333,6 +333,25 @@ def test_reputation_shrinks(spark):
     assert got["bad.x.com"]["lower_bound"] > 0.8 and got["new.x.com"]["bad_rate"] < 1 and got["new.x.com"]["lower_bound"] < got["bad.x.com"]["lower_bound"] and got["good.y.com"]["bad_rate"] < 0.1
 
 
+def test_labels_go_to_pages_that_end_in_the_id(spark):
+    urls = ["http://a.com/en/5", "http://b.com/en/5/more", "http://c.com/x?u=http://q/en/5", "http://d.com/5", "http://e.com/EN/5#top", "http://f.com/en/5?q=1", "http://g.com/en/x5", "http://h.com/en/5\n", "http://i.com/99999999999999999999", "http://5"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(5, 0, 1)], "doc_id long, quality int, toxic int")
+    assert {r["host"]: (r["pages"], r["bad"]) for r in url_filter.outcomes(pages, labels).collect()} == {h: (1, 1) for h in ("a.com", "d.com", "e.com", "f.com")}
+    same_rows(url_filter.judge(pages, labels), oracle.url_judge(), {"pages": pages, "labels": labels})
+
+
+def test_few_labels_do_not_block_other_hosts(spark):
+    rows = [(k, f"http://one.bad.com/{k}") for k in range(3)] + [(100 + k, f"http://h{k}.other.org/") for k in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    for labels in ([(0, 0, 0)], [(0, 0, 0), (1, 0, 0), (2, 0, 1)]):
+        marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        got = url_filter.judge(pages, marks).collect()
+        assert all(r["verdict"] == "allow" and r["bad_rate"] < 0.5 for r in got if r["page_id"] >= 100)
+        assert {r["verdict"] for r in got if r["page_id"] < 100} == {"block" if len(labels) == 3 else "allow"}
+        same_rows(url_filter.judge(pages, marks), oracle.url_judge(), {"pages": pages, "labels": marks})
+
+
 # near duplicates
 
 
