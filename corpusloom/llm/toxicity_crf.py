@@ -9,8 +9,9 @@ the largest marginal and 1 - product(1 - p * p): several tokens in doubt add up,
 every token of a long document leaves.
 
 Emissions depend on the token alone, so that each worker keeps them in a bounded table. Long documents are
-cut into windows that overlap by as many tokens as it takes for a neighbour's influence to fall below
-1e-9, which Birkhoff's contraction bounds by the transitions; windows are run side by side.
+cut into windows of WINDOW tokens that are run side by side. What a window tells its neighbours is exact: its product of
+transition and emission matrices (2 x 2) takes the forward message through it in one direction and the backward message in the
+other, so that marginals are those of the whole chain, however far an influence reaches.
 
 Training takes a bounded sample: PER_CLASS documents of each label outside the held-out fold, all of their tokens
 in windows of TRAIN_WINDOW. The same input gives the same field.
@@ -42,7 +43,8 @@ MARK_ODDS, MARK_DOCS, MARK_SHARE = 3.0, 4, 0.03
 #: Tokens of a training window, windows that are held at a time.
 TRAIN_WINDOW, COLUMNS = 64, 2048
 STEPS, RATE, DECAY = 120, 0.15, 2e-5
-WINDOW = 512
+#: Tokens of a window, windows side by side.
+WINDOW, GROUP = 512, 256
 SPAN, THRESHOLD = 0.5, 0.5
 KEPT_TOKENS = 200_000
 _EDGES = b".,;:!?\"'()[]{}<>|#*$%&-_"
@@ -68,26 +70,24 @@ class Field:
         get = self.weights.get
         return self.bias + sum([get(f, 0.0) for f in token_features(token)])
 
-    def overlap(self) -> int:
-        """Tokens after which the influence of a tag is below 1e-9."""
-        t = self.transitions
-        shrinks = math.tanh(abs(t[0, 0] + t[1, 1] - t[0, 1] - t[1, 0]) / 4)
-        return 1 if shrinks < 1e-9 else min(WINDOW, math.ceil(math.log(1e-9) / math.log(shrinks)) if shrinks < 1 else WINDOW)
 
-
-def forward_backward(odds: np.ndarray, a: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forward_backward(odds: np.ndarray, a: np.ndarray, live: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """odds: weight of the toxic tag over the other, places x windows; a: 2 x 2 transition weights. live: whether a
-    place is in its window. Marginals of the toxic tag, and of a toxic tag after a toxic one, after another,
+    place is in its window. before: ratio of the forward message of the window before (NaN: there is none); after: ratio of the
+    backward message at the last place (1 at a text's end). Marginals of the toxic tag, and of a toxic tag after a toxic one, after another,
     another after a toxic one (3 x places x windows, at each place but the first)."""
     n, m = odds.shape
     f = np.empty((n, m))  # forward ratio of toxic to other
     b = np.ones((n, m))  # backward ratio
     r = odds[0]
+    if before is not None:
+        r = np.where(np.isnan(before), r, r * (a[0, 1] + before * a[1, 1]) / (a[0, 0] + before * a[1, 0]))
     f[0] = r
     for t in range(1, n):
         r = odds[t] * (a[0, 1] + r * a[1, 1]) / (a[0, 0] + r * a[1, 0])
         f[t] = r
-    back = np.ones(m)
+    back = np.ones(m) if after is None else np.where(live[-1], after, 1.0)  # a window that ends before the last place ends its text
+    b[-1] = back
     for t in range(n - 2, -1, -1):
         o = odds[t + 1] * back
         back = np.where(live[t + 1], (a[1, 0] + o * a[1, 1]) / (a[0, 0] + o * a[0, 1]), 1.0)
@@ -100,6 +100,18 @@ def forward_backward(odds: np.ndarray, a: np.ndarray, live: np.ndarray) -> tuple
     return marginal, joint
 
 
+def passages(odds: np.ndarray, a: np.ndarray, live: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """windows x 2 x 2: what a window makes of the forward message that enters it, up to a factor.
+    first: whether a window begins its text, so that no transition leads to its first place."""
+    low = np.where(first, np.array([[1.0], [0.0]]), a[:, :1])  # weight of the other tag, by tag of the message that enters
+    high = odds[0] * np.where(first, np.array([[0.0], [1.0]]), a[:, 1:])
+    for t in range(1, len(odds)):
+        new = low * a[0, 0] + high * a[1, 0], odds[t] * (low * a[0, 1] + high * a[1, 1])
+        scale = np.maximum(*new).max(axis=0)
+        low, high = np.where(live[t], new[0] / scale, low), np.where(live[t], new[1] / scale, high)
+    return np.stack([low, high]).transpose(2, 0, 1)
+
+
 def weak_tags(texts: Iterable[list[bytes]], labels: list[int]) -> dict[bytes, bool]:
     """Features that mark a token as toxic."""
     counts = Counter(), Counter()
@@ -161,7 +173,7 @@ def train(texts: list[bytes], labels: list[int]) -> Field:
 
 class Tagger:
     def __init__(self, field: Field):
-        self.field, self.a, self.overlap = field, np.exp(field.transitions), field.overlap()
+        self.field, self.a = field, np.exp(field.transitions)
         self.known: dict[bytes, float] = {}
 
     def emissions(self, tokens: list[bytes]) -> np.ndarray:
@@ -180,23 +192,50 @@ class Tagger:
         scores = [self.emissions(t.split()) for t in texts]
         out = [np.zeros(len(s)) for s in scores]
         windows = [(k, begin) for k, s in enumerate(scores) for begin in range(0, len(s), WINDOW)]
-        size = lambda w: min(len(scores[w[0]]), w[1] + WINDOW + self.overlap) - max(0, w[1] - self.overlap)
-        windows.sort(key=size)
-        for i in range(0, len(windows), 256):
-            group = windows[i : i + 256]
-            n = size(group[-1])
-            odds, live = np.full((n, len(group)), -40.0), np.zeros((n, len(group)), bool)
+        windows.sort(key=lambda w: min(WINDOW, len(scores[w[0]]) - w[1]))
+        told = self.messages(scores, [w for w in windows if len(scores[w[0]]) > WINDOW])
+        for group, odds, live in self.laid_out(scores, windows):
+            before, after = np.array([told.get(w, (math.nan, 1.0)) for w in group]).T
+            found = forward_backward(odds, self.a, live, before, after)[0]
             for c, (k, begin) in enumerate(group):
-                part = scores[k][max(0, begin - self.overlap) : begin + WINDOW + self.overlap]
-                odds[: len(part), c] = part
-                live[: len(part), c] = True
-            found = forward_backward(np.exp(np.clip(odds, -40, 40)), self.a, live)[0]
-            for c, (k, begin) in enumerate(group):
-                skip = begin - max(0, begin - self.overlap)
                 core = out[k][begin : begin + WINDOW]
-                core[:] = found[skip : skip + len(core), c]
+                core[:] = found[: len(core), c]
         return out
 
+    @staticmethod
+    def laid_out(scores: list[np.ndarray], windows: list[tuple[int, int]]) -> Iterator[tuple[list[tuple[int, int]], np.ndarray, np.ndarray]]:
+        """Windows (text and first token, by length) in groups, with their odds and which places are theirs."""
+        for i in range(0, len(windows), GROUP):
+            group = windows[i : i + GROUP]
+            parts = [scores[k][begin : begin + WINDOW] for k, begin in group]
+            odds, live = np.full((len(parts[-1]), len(group)), -40.0), np.zeros((len(parts[-1]), len(group)), bool)
+            for c, part in enumerate(parts):
+                odds[: len(part), c] = part
+                live[: len(part), c] = True
+            yield group, np.exp(np.clip(odds, -40, 40)), live
+
+    def messages(self, scores: list[np.ndarray], windows: list[tuple[int, int]]) -> dict[tuple[int, int], tuple[float, float]]:
+        """Of each window of texts of several: ratio of the forward message that enters it (NaN for the first), and of the
+        backward message at its last place."""
+        ways = {}
+        for group, odds, live in self.laid_out(scores, windows):
+            ways.update(zip(group, passages(odds, self.a, live, np.array([begin == 0 for _, begin in group]))))
+        told = {}
+        for k in sorted({k for k, _ in windows}):
+            begins = range(0, len(scores[k]), WINDOW)
+            before, after, message = [math.nan], [1.0], np.ones(2)
+            for begin in begins[:-1]:
+                message = ways[k, begin] @ message
+                message /= message.max()
+                before.append(message[1] / message[0])
+            message = np.ones(2)
+            for begin in reversed(begins[1:]):
+                message = ways[k, begin].T @ message
+                message /= message.max()
+                after.append(message[1] / message[0])
+            told.update(((k, begin), pair) for begin, pair in zip(begins, zip(before, reversed(after))))
+        return told
+
     def scored(self, texts: list[bytes]) -> tuple[list[float], list[list[dict]]]:
         """Score and spans (start and end in code points) of each text."""
         scores, spans = [], []

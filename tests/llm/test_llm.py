@@ -550,6 +550,28 @@ def test_toxic_spans_and_windows():
     assert abs(cut - whole).max() < 1e-8
 
 
+def test_windows_of_sticky_fields_are_exact():
+    """Transitions under which a token tells what stands thousands of tokens away."""
+    field = toxicity_crf.Field({b"wsure": 9.0}, 0.0, np.array([[4.0, -6.0], [-6.0, 4.0]]))
+    lengths = (1, 511, 512, 513, 1024, 1025, 5001)
+    texts = [b" ".join([b"sure"] + [b"x"] * (n - 1)) for n in lengths] + [b" ".join([b"x"] * 3000 + [b"sure"] + [b"x"] * 2000), b""]
+    tagger = toxicity_crf.Tagger(field)
+    for text, got in zip(texts, tagger.marginals(texts)):
+        e = np.array([field.emission(t) for t in text.split()])
+        if len(e):
+            whole = toxicity_crf.forward_backward(np.exp(e)[:, None], tagger.a, np.ones((len(e), 1), bool))[0][:, 0]
+            assert abs(got - whole).max() < 1e-9
+    r = np.random.default_rng(3)
+    for a in (field.transitions, np.array([[0.0, 1.0], [-2.0, 0.5]])):
+        tagger = toxicity_crf.Tagger(toxicity_crf.Field({}, 0.0, a))
+        e = r.normal(0, 2, 4000)
+        tagger.known = {str(k).encode(): e[k] for k in range(4000)}
+        own = [r.choice(4000, n) for n in (3, 700, 512, 1536, 2000)]
+        for at, got in zip(own, tagger.marginals([b" ".join(str(k).encode() for k in ks) for ks in own])):
+            whole = toxicity_crf.forward_backward(np.exp(e[at])[:, None], tagger.a, np.ones((len(at), 1), bool))[0][:, 0]
+            assert abs(got - whole).max() < 1e-9
+
+
 def test_forward_backward_is_brute_force():
     r = np.random.default_rng(1)
     odds, a = np.exp(r.normal(0, 1, 6)), np.exp(r.normal(0, 1, (2, 2)))
