@@ -16,6 +16,9 @@ from corpusloom.workers import ship
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch (one more row may follow).
+BATCH_BYTES = 8 << 20
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -105,9 +108,9 @@ def held_out_column(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def ready_workers(spark: SparkSession, rows: int = 1000) -> None:
-    """Python workers get this package, and whole texts in batches of so many rows at most that long ones fit in memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:  # a plan reads this when it runs: a bound that is set stays
-        spark.conf.set(name, str(rows))
+def ready_workers(spark: SparkSession) -> None:
+    """Python workers get this package, and whole texts in batches of so many bytes that long ones fit in memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:  # a plan reads this when it runs: a lower bound that is set stays
+        spark.conf.set(name, str(BATCH_BYTES))
     ship(spark)
