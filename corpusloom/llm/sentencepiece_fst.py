@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import ready_workers
 
 MARK = "▁"
-KEPT_PARTS = 250_000
+KEPT_PARTS = 50_000
 #: Kinds of pieces in a model file (fixed values of its format).
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 UNIGRAM, BPE = 1, 2

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from xxhash import xxh64_intdigest
 
-KEPT_WORDS = 200_000
+KEPT_WORDS = 50_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))  # odd, bits evenly mixed
 
 

@@ -46,7 +46,7 @@ STEPS, RATE, DECAY = 120, 0.15, 2e-5
 #: Tokens of a window, windows side by side.
 WINDOW, GROUP = 512, 256
 SPAN, THRESHOLD = 0.5, 0.5
-KEPT_TOKENS = 200_000
+KEPT_TOKENS = 50_000
 _EDGES = b".,;:!?\"'()[]{}<>|#*$%&-_"
 
 
