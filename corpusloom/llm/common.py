@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 #: Bytes of an Arrow batch (one more row may follow).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _scratch: list[tuple[SparkSession, str]] = []
 
