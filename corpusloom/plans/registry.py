@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import wraps
 
-from corpusloom.plans import chat, composite, corpus, retrieval, scalars, upkeep
+from corpusloom.plans import assembly, chat, composite, corpus, retrieval, scalars, upkeep
 from corpusloom.workers import ship
 
-MODULES = (scalars, corpus, upkeep, retrieval, chat, composite)
+MODULES = (scalars, corpus, upkeep, retrieval, chat, composite, assembly)
 
 
 def _ready(run):
