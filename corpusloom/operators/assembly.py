@@ -135,9 +135,12 @@ def prepared(candidates: DataFrame, questions: DataFrame, tabs: DataFrame, site:
     content, distance, state (what the address tells of the asked entity's units; null: nothing); questions: query_id, question,
     name (of a person), course (whose credits are asked for); tabs: source_url, merged. query_id, origin and item: what a candidate
     would show, and whether it has the evidence that the question asks for and may be shown at all."""
-    rows = candidates.join(asked(questions), "query_id").join(tabs, "source_url", "left")
+    anchors = F.filter(F.concat(q.fee_anchors(F.col("question")), q.department_anchors(F.col("question"))), lambda a: F.length(a) >= 4)
+    told = asked(questions).withColumns({"_needles": table_needles(F.col("question")), "_anchors": F.when(F.col("is_.fee"), anchors), "_ects": F.contains(F.lower(F.coalesce("question", F.lit(""))), F.lit("ects"))})
+    rows = candidates.join(told, "query_id").join(tabs, "source_url", "left")
     i = lambda n: F.col(f"is_.{n}")
-    url, title, raw, question = F.coalesce("source_url", F.lit("")), F.coalesce("page_title", F.lit("")), F.coalesce("content", F.lit("")), F.coalesce("question", F.lit(""))
+    rows = rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("source_url", "page_title", "content")})
+    url, title, raw = F.col("source_url"), F.col("page_title"), F.col("content")
     catalogued, detail = rules.has(url, site.catalogue), rules.has(url, site.detail)
     curriculum = i("catalogue") & i("curriculum")
     on_tab = curriculum & rules.has(url, TAB)
@@ -153,22 +156,22 @@ def prepared(candidates: DataFrame, questions: DataFrame, tabs: DataFrame, site:
     grounded = ~i("fee") | rules.fee_grounded(url, title, raw)
     # what is shown: the first of these that applies
     held = lambda anchors: text.once(F.lower(raw), lambda low: F.get(F.filter(anchors, lambda a: F.contains(low, F.lower(a))), F.lit(0)))
-    of_fee = held(F.filter(F.concat(q.fee_anchors(question), q.department_anchors(question)), lambda a: F.length(a) >= 4))
-    abroad = held(F.array(*map(F.lit, INTERNATIONAL_ANCHORS)))
     named = F.col("name").isNotNull() & rules.name_in(raw, F.col("name"))
-    course = F.when(F.contains(F.lower("_body"), F.lower("course")), F.lower("course")).when(F.contains(F.lower(question), F.lit("ects")) & F.contains(F.lower("_body"), F.lit("course code")), "course code")
-    needle = F.coalesce(course, first_needle(F.col("_body"), table_needles(question)))
+    rows = rows.withColumns({"_named": named, "_of_fee": held(F.col("_anchors")), "_abroad": F.when(~i("fee") & i("international"), held(F.array(*map(F.lit, INTERNATIONAL_ANCHORS))))})
+    tabbed = F.col("_tab") & ~F.col("_named") & ~i("fee") & ~i("international")
+    course = F.when(F.contains(F.lower("_body"), F.lower("course")), F.lower("course")).when(F.col("_ects") & F.contains(F.lower("_body"), F.lit("course code")), "course code")
+    rows = rows.withColumns({"_tabbed": tabbed, "_needle": F.when(tabbed, F.coalesce(course, first_needle(F.col("_body"), F.col("_needles"))))})
     plain = lambda part: F.struct(part.alias("part"), F.lit(-1).alias("middle"))
     cut = lambda phrase: plain(text.snippet(raw, phrase, limits.snippet))
-    fixed = F.when(named, cut(F.col("name"))).when(i("fee") & of_fee.isNotNull(), cut(of_fee)).when(~i("fee") & i("international") & abroad.isNotNull(), cut(abroad))
+    phrase = F.when(F.col("_named"), F.col("name")).otherwise(F.coalesce("_of_fee", "_abroad"))
     begins = plain(F.substring(raw, 1, limits.snippet))
-    tabbed = F.col("_tab") & ~named & ~i("fee") & ~i("international")
     most = F.when(F.col("_whole"), limits.tab).otherwise(limits.course)
-    shown = F.when(tabbed, _around(F.col("_body"), needle, most)).otherwise(F.coalesce(fixed, begins))
+    rows = rows.withColumns({"_phrase": phrase, "_most": most})
+    shown = F.when(F.col("_tabbed"), _around(F.col("_body"), F.col("_needle"), F.col("_most"))).when(F.col("_phrase").isNotNull(), cut(F.col("_phrase"))).otherwise(begins)
     unit = F.when(curriculum & ~i("multi_shell") & F.col("_detail"), F.nullif(F.trim(urls.parameter(url, "curSunit")), F.lit("")))
     item = F.struct(
-        F.col("place").cast("int").alias("place"), F.col("chunk_id").cast("long").alias("chunk_id"), url.alias("url"), F.coalesce(F.nullif(title, F.lit("")), url).alias("title"), F.col("distance").cast("double").alias("distance"),
-        F.col("shown.part").alias("part"), F.col("shown.middle").alias("middle"), F.when(tabbed, most).alias("most"), F.col("_whole").alias("whole"), unit.alias("unit"), rules.has(url, TAB).alias("pins"), (F.col("_in") & F.col("_detail")).alias("detail"),
+        F.col("place").cast("int").alias("place"), F.col("chunk_id").cast("long").alias("chunk_id"), url.alias("url"), F.when(title != "", title).otherwise(url).alias("title"), F.col("distance").cast("double").alias("distance"),
+        F.col("shown.part").alias("part"), F.col("shown.middle").alias("middle"), F.when(F.col("_tabbed"), F.col("_most")).alias("most"), F.col("_whole").alias("whole"), unit.alias("unit"), rules.has(url, TAB).alias("pins"), (F.col("_in") & F.col("_detail")).alias("detail"),
         grounded.alias("grounded"), allowed.alias("allowed"),
     )
     return rows.withColumn("shown", shown).select("query_id", F.col("origin").cast("int").alias("origin"), item.alias("item"))
