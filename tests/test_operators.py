@@ -58,6 +58,18 @@ def test_nearest_matches_brute_force(spark):
     assert got == {(i, int(j)) for i in range(5) for j in np.argsort(d[i], kind="stable")[:10]}
 
 
+def test_nearest_leaves_odd_vectors_out(spark):
+    """Unequal lengths in one shard, null and non-finite entries, on both sides."""
+    nan, inf = float("nan"), float("inf")
+    good = [(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [1.0, 1.0, 0.0])]
+    odd = [(10, [1.0, 0.0, 0.0, 0.0, 0.0]), (11, [1.0]), (12, []), (13, None), (14, [1.0, None, 0.0]), (15, [nan, 0.0, 0.0]), (16, [inf, 0.0, 0.0])]
+    chunks = spark.createDataFrame(good + odd, "chunk_id long, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(i, 0, v) for i, v in good[:1] + odd], "query_id long, variant int, embedding array<double>").coalesce(1)
+    got = retrieval.nearest(asked, chunks, 5).orderBy("d", "chunk_id").collect()
+    assert [(h["query_id"], h["chunk_id"], round(h["d"], 6)) for h in got] == [(1, 1, 0.0), (1, 3, 0.292893), (1, 2, 1.0)]
+    assert retrieval.nearest(asked, chunks.where("chunk_id = 13"), 5).collect() == []
+
+
 def rows(spark, data):
     return spark.createDataFrame(data, "query_id long, question string, chunk_id long, content string, source_url string, page_title string, d_min double, ord int")
 
