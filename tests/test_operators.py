@@ -5,6 +5,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
@@ -70,6 +72,42 @@ def test_nearest_leaves_odd_vectors_out(spark):
     assert retrieval.nearest(asked, chunks.where("chunk_id = 13"), 5).collect() == []
 
 
+def brute_sums(terms, worth, k):
+    out = set()
+    for q in {q for q, _ in terms}:
+        sums = {}
+        for c, t, v in worth:
+            if (q, t) in terms:
+                sums[c] = sums.get(c, 0.0) + v
+        best = sorted((-round(s, 6), c) for c, s in sums.items())[:k]
+        out |= {(q, c, -s) for s, c in best}
+    return out
+
+
+@pytest.mark.parametrize("k", [1, 5, 1000])
+def test_best_sums_are_brute_force(spark, monkeypatch, k):
+    """A word of all questions and all chunks, rare words, ties, questions without a hit; several blocks and shards."""
+    monkeypatch.setattr(retrieval, "QUESTION_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "SHARD", 60)
+    r = np.random.default_rng(k)
+    worth = [(c, "the", 1.0 + c % 3 / 4) for c in range(300)] + [(int(c), f"w{w}", float(r.integers(1, 40)) / 8) for w in range(25) for c in r.choice(300, 4 + 3 * w, replace=False)]
+    terms = {(q, "the") for q in range(20)} | {(q, f"w{w}") for q in range(20) for w in r.choice(25, 3, replace=False)} | {(50, "nothing")}
+    found = retrieval.best_sums(spark.createDataFrame(sorted(terms), "query_id long, term string"), spark.createDataFrame(worth, "chunk_id long, term string, value double"), 300, k)
+    assert {tuple(x) for x in found.collect()} == brute_sums(terms, worth, k)
+    empty = spark.createDataFrame([], "chunk_id long, term string, value double")
+    assert retrieval.best_sums(spark.createDataFrame(sorted(terms), "query_id long, term string"), empty, 0, k).collect() == []
+
+
+def test_common_words_are_not_added_everywhere():
+    """Once the rare words have filled the best, a word that all chunks hold is added to those only."""
+    n = 10_000
+    ids = np.concatenate([np.arange(n), np.arange(0, n, 100)])
+    held = retrieval.Postings(ids, pa.array(["the"] * n + ["rare"] * (n // 100)), np.concatenate([np.full(n, 0.5), np.full(n // 100, 9.0)]))
+    got, sums, added = held.best(["the", "rare"], 20)
+    assert got.tolist() == list(range(0, 2000, 100)) and set(sums.tolist()) == {9.5} and added == 2 * (n // 100)
+    assert held.best(["the"], 3)[0].tolist() == [0, 1, 2] and held.best([], 3)[2] == 0
+
+
 def rows(spark, data):
     return spark.createDataFrame(data, "query_id long, question string, chunk_id long, content string, source_url string, page_title string, d_min double, ord int")
 
