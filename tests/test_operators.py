@@ -229,6 +229,55 @@ def test_limiter_does_not_count_rejected(spark, tmp_path):
     assert got == {0: True, 1: True, 2: False, 3: True, 4: True, 5: False, 6: True, 7: True, 100: True}
 
 
+def in_order(spark, tmp_path, batches, **how):
+    """Runs the limiter over one file after the other, each a micro-batch, and returns what it allows and the keys in its state."""
+    schema = "user_id long, event_id long, at long, path string"
+    source = tmp_path / "in"
+    source.mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(source))
+    for n, rows in enumerate(batches):
+        spark.createDataFrame([(*r, "/api/chat/x")[:4] for r in rows], schema).coalesce(1).write.parquet(str(tmp_path / f"b{n}"))
+        next((tmp_path / f"b{n}").glob("part-*")).rename(source / f"{n}.parquet")
+        found = limiter.run_to_table(spark, limiter.limited(stream, **how), str(tmp_path / "run"))
+    spark.conf.set(*limiter.STORE)
+    state = spark.read.format("statestore").option("path", str(tmp_path / "run/state")).option("stateVarName", "last").load()
+    return {r["event_id"]: r["allowed"] for r in found.collect()}, {r["key"]["user_id"] for r in state.collect()}
+
+
+def test_limiter_over_micro_batches(spark, tmp_path):
+    """A request of an earlier time in a later micro-batch is judged at the latest time of its key."""
+    before, second = spark.conf.get(limiter.STORE[0]), 1_000_000
+    try:
+        first = [(1, 0, 10 * second), (1, 1, 11 * second), (2, 2, 10 * second)]
+        late = [(1, 3, 9 * second), (1, 4, 12 * second + 500_000), (1, 5, 14 * second), (3, 6, 200 * second)]
+        after = [(3, 7, 400 * second), (1, 8, 13 * second), (1, 9, 13 * second), (2, 10, -5 * second)]
+        got, keys = in_order(spark, tmp_path, [first, late, after], limit=2, seconds=3)
+    finally:
+        spark.conf.set(limiter.STORE[0], before)
+    # 3: at 11 s, with two before it; 4: both still count; 5: none does; 8 and 9: at 14 s
+    assert got == {0: True, 1: True, 2: True, 3: False, 4: False, 5: True, 6: True, 7: True, 8: True, 9: False, 10: True}
+    assert keys == {1, 2, 3}
+
+
+def test_idle_keys_leave_the_state(spark, tmp_path):
+    before = spark.conf.get(limiter.STORE[0])
+    try:
+        got, keys = in_order(spark, tmp_path, [[(1, 0, 0), (1, 1, 0), (2, 2, 0)], [(3, 3, 0)], [(3, 4, 0), (1, 5, 0)]], limit=1, seconds=60, idle=0)
+    finally:
+        spark.conf.set(limiter.STORE[0], before)
+    assert got == {0: True, 1: False, 2: True, 3: True, 4: True, 5: True} and 2 not in keys
+
+
+def test_limiter_honours_a_prefix(spark, tmp_path):
+    before = spark.conf.get(limiter.STORE[0])
+    try:
+        rows = [(1, k, k, "/api/chat/complete" if k % 2 else "/static/x") for k in range(6)] + [(1, 9, 9, None)]
+        got, _ = in_order(spark, tmp_path, [rows], limit=2, seconds=60, prefix="/api/chat")
+    finally:
+        spark.conf.set(limiter.STORE[0], before)
+    assert got == {0: True, 1: True, 2: True, 3: True, 4: True, 5: False, 9: True}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "q.txt").write_text("first\n\n  second  \n")
     assert [r["question"] for r in files.questions(spark, str(tmp_path / "q.txt")).collect()] == ["first", "second"]
