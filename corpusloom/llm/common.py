@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,6 +110,14 @@ def held_out_column(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def released() -> None:
+    """Give memory that is free back to the system: a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def ready_workers(spark: SparkSession) -> None:
     """Python workers get this package, and whole texts in batches of so many bytes that long ones fit in memory."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -34,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import ready_workers
+from corpusloom.llm.common import ready_workers, released
 
 MARK = "▁"
-KEPT_PARTS = 50_000
+KEPT_PARTS = 200_000
 #: Kinds of pieces in a model file (fixed values of its format).
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 UNIGRAM, BPE = 1, 2
@@ -269,6 +269,13 @@ class Transducer:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
+    def forget(self) -> None:
+        """Parts and words that are kept go at the end of a task: a worker has other stages to run."""
+        self.parts.clear()
+        self.words.clear()
+        released()
+
+
 def machine(path: str) -> Transducer:
     """Compiled once for each worker process."""
     if path not in _machines:
@@ -317,6 +324,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
                 [batch.column("doc_id"), batch.column("source"), pa.array(n), pa.ListArray.from_arrays(ends, numbers), pa.array(same, pa.bool_())],
                 names=["doc_id", "source", "n_pieces", "piece_ids", "decoded_same"],
             )
+        m.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
     return rows.mapInArrow(run, "doc_id long, source string, n_pieces long, piece_ids array<int>, decoded_same boolean")
@@ -347,5 +355,6 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
                 [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.bool_())],
                 names=["doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", "decoded_crc32", "decoded_same"],
             )
+        m.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA)
