@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import ready_workers, released
 
 MARK = "▁"
-KEPT_PARTS = 200_000
+KEPT_PARTS = 250_000
 #: Kinds of pieces in a model file (fixed values of its format).
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 UNIGRAM, BPE = 1, 2
@@ -270,7 +270,7 @@ class Transducer:
 
 
     def forget(self) -> None:
-        """Parts and words that are kept go at the end of a task: a worker has other stages to run."""
+        """Parts and words that are kept go: a worker has other stages to run."""
         self.parts.clear()
         self.words.clear()
         released()
@@ -355,6 +355,5 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
                 [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.bool_())],
                 names=["doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", "decoded_crc32", "decoded_same"],
             )
-        m.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA)
