@@ -118,9 +118,9 @@ def released() -> None:
         trim(0)
 
 
-def ready_workers(spark: SparkSession) -> None:
+def ready_workers(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> None:
     """Python workers get this package, and whole texts in batches of so many bytes that long ones fit in memory."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:  # a plan reads this when it runs: a lower bound that is set stays
-        spark.conf.set(name, str(BATCH_BYTES))
+    if int(spark.conf.get(name).rstrip("b")) > batch_bytes:  # a plan reads this when it runs: a lower bound that is set stays
+        spark.conf.set(name, str(batch_bytes))
     ship(spark)

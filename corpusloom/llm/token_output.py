@@ -165,7 +165,7 @@ _PAGES = pa.schema([("shard", pa.int32()), ("page", pa.int32()), ("before", pa.i
 
 def encode_pages(docs: DataFrame, tokenizer: str, end_id: int = END_ID, page_ids: int = PAGE_IDS) -> DataFrame:
     """Pages of all documents in ascending order of doc_id."""
-    ready_workers(docs.sparkSession)
+    ready_workers(docs.sparkSession, 2 * BATCH_BYTES)  # more words of a batch are the same
     end = np.array([end_id], "<u4")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
