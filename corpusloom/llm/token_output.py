@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import scratch_path, ready_workers
+from corpusloom.llm.common import BATCH_BYTES, ready_workers, scratch_path
 from corpusloom.llm.simple8b import BLOCK, pack, unpack
 
 END_ID = 0
