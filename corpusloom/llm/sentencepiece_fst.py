@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import ready_workers, released
 
 MARK = "▁"
-KEPT_PARTS = 250_000
+KEPT_PARTS, KEPT_BESIDE = 600_000, 200_000
 #: Kinds of pieces in a model file (fixed values of its format).
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 UNIGRAM, BPE = 1, 2
@@ -220,7 +220,7 @@ class Transducer:
                 ids.extend(self.fallback(piece) if i is None else [i])
             found = np.array(ids, "<u4").tobytes()
             if len(part) <= 64:
-                if len(self.parts) > KEPT_PARTS:
+                if len(self.parts) > self.kept:
                     self.parts.clear()
                 self.parts[part] = found
         return found
@@ -256,7 +256,7 @@ class Transducer:
             if (ids := words.get(word)) is None:
                 ids = self.segment(MARK + word)
                 if len(word) <= 64:
-                    if len(words) > KEPT_PARTS:
+                    if len(words) > self.kept:
                         words.clear()
                     words[word] = ids
             out.append(ids)
@@ -269,6 +269,8 @@ class Transducer:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
+    kept = KEPT_PARTS
+
     def forget(self) -> None:
         """Parts and words that are kept go: a worker has other stages to run."""
         self.parts.clear()
@@ -313,6 +315,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(model)
+        m.kept = KEPT_BESIDE
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids = [m.encode(t) for t in texts]
@@ -325,6 +328,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
                 names=["doc_id", "source", "n_pieces", "piece_ids", "decoded_same"],
             )
         m.forget()
+        m.kept = KEPT_PARTS
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
     return rows.mapInArrow(run, "doc_id long, source string, n_pieces long, piece_ids array<int>, decoded_same boolean")
