@@ -149,7 +149,7 @@ def prepared(candidates: DataFrame, questions: DataFrame, tabs: DataFrame, site:
     # evidence: names of the entity and of its competitors, in what would be shown
     blob = text.fold(F.concat_ws("\n", title, "_body", url))
     names = text.once(blob, lambda low: F.struct(*[F.size(F.filter(of(i("entity")), lambda n: F.contains(low, n))).alias(k) for k, of in (("own", rules.aliases), ("other", rules.competitors))]))
-    rows = rows.withColumn("_names", names)
+    rows = rows.withColumn("_names", F.when(i("entity").isNotNull(), names))
     own, other, some = F.col("_names.own"), F.col("_names.other"), i("entity").isNotNull()
     of_entity = F.when(~F.col("_in"), False).when(F.col("_detail"), F.coalesce(F.col("state"), F.lit(True)) | (own > 0)).otherwise(own > 0)
     allowed = ~urls.blocked(url) & ~(i("undergraduate_only") & rules.has(F.concat_ws(" ", url, title), rules.GRADUATE_SOURCE)) & ~(some & (own == 0) & (other > 0)) & (~(i("catalogue") & some) | of_entity)
