@@ -44,7 +44,7 @@ LOW_VALUE = r"event|etkinlik|kariyer|career|duyur|announce|haber|news|kongre|con
 ENTITY_NOISE = r"career|kariyer|event|etkinlik|news|haber|announcement|duyuru"
 GRADUATE_SOURCE = r"graduate|post-?grad|yuksek\s*lisans|master[’'s]?\s*program|phd|doktora|/graduate/|/graduate-|\btez\b|mba\s*admission"
 HIGH_SIGNAL = r"academic-staff|message-from-head|head-of-department|message\s+from\s+head|from\s+the\s+head|ode-to-the-department|bolum-baskan|bolum\s*baskan|department\s+head\s+message"
-LOW_SIGNAL = r"commissions?\b|board-?of-?education|board_of_education|application[-\s]quotas|evaluation[-\s]schedule|quotas.*evaluation|have\s+been\s+announced|fall[-\s]semester.*20\d\d|academic[-\s]year.*announced|alumni[-_\s]videos|double[-\s]major|minor[-\s]program|accreditation[-\s]certificate"
+LOW_SIGNAL = r"commissions?\b|board-?of-?education|board_of_education|application[-\s]quotas|evaluation[-\s]schedule|quotas.*evaluation|have\s+been\s+announced|fall[-\s]semester.*20\d\d|academic[-\s]year.*announced|graduate\s+school\s+of\s+natural.*announc|klinik-arastirmalar|yogun-bakim|alumni[-_\s]videos|double[-\s]major|minor[-\s]program|accreditation[-\s]certificate"
 LEADERSHIP_CONTENT = r"dean\s+of|faculty\s+dean|\bdean\b|dekan|rector|rektor|dean'?s?\s+office|vice\s*rector|yardimci\s*rektor|fakulte|faculty\s+of"
 LEADER_CONTENT = r"head of department|message from head|department head|chair of|bolum baskan|dekan|mudur"
 SMALL_TALK = r"^[\s!?.`,;'\"]*((hi|hello|hey|yo|hiya|sup|hola|howdy)(\s+(there|everyone|all|guys|team|baby|bro|dude|man))?|merhaba(\s+nasilsin)?|selam(\s+aleykum)?|\bsa\b|\bslm\b|\bnaber\b|good\s+(morning|afternoon|evening|night)(\s+there)?|how\s+are\s+you(\s+doing)?|what'?s\s+up|\bwassup\b|you\s+ok\?|what'?s\s+good|yo\s+what'?s\s+good|thanks?(\s+a\s+lot)?|thank\s+you(\s+so\s+much)?|\bthx\b|\bty\b|tesekkurler?|sag\s*ol|\bok\b|okay|tamam|\bbye\b|goodbye|see\s+you|gule\s+gule|\bbb\b|nice|cool|great|awesome|perfect|alright)[\s!?.`,;'\"]*$"
@@ -85,14 +85,21 @@ LIST_TERMS = ("fakulte", "faculty", "department", "yuksekokul", "meslek yuksekok
 
 @dataclass(frozen=True)
 class Site:
-    """What is particular to one site: how it calls itself, names that stand for it, hosts, and the pattern of its
-    course catalogue's addresses."""
+    """What is particular to one site: how it calls itself, names that stand for it, hosts, patterns of its course
+    catalogue's addresses (the catalogue, a programme in it, its list and its matrix of courses), of headings that every
+    page of the catalogue has and of pages that only introduce a department, and addresses that an entity's courses
+    are looked for at first (entity, part of the address)."""
 
     name: str = "Example University"
     names: str = r"example\s+university"
     hosts: tuple[str, ...] = ("example.edu",)
     catalogue: str = r"/catalogue/|bologna|course"
     detail: str = r"showpac|cursunit=\d+|curunit=\d+"
+    course_list: str = r"progcourses\.aspx"
+    course_matrix: str = r"progcoursematrix\.aspx"
+    headings: str = r"information package|program learning outcomes|course structure"
+    intro: str = r"message from head of department|\babout \||faculty of engineering and natural sciences"
+    preferred: tuple[tuple[str, str], ...] = ()
 
 
 def has(text: Column, pattern: str) -> Column:

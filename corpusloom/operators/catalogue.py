@@ -11,14 +11,10 @@ from corpusloom.operators.order import placed
 
 
 def unit_state(pages: DataFrame, hints: DataFrame) -> DataFrame:
-    """pages: url, entity; hints: entity, unit, sub_unit. Adds state: true if the address names a unit and a sub-unit of the
-    entity (or just the unit), false if it names another, null if it names none or nothing is known of the entity."""
-    known = hints.groupBy(F.col("entity").alias("_entity")).agg(F.collect_set("unit").alias("_units"), F.collect_set("sub_unit").alias("_subs"))
-    unit, sub = urls.parameter(F.col("url"), "curUnit"), urls.parameter(F.col("url"), "curSunit")
-    one = lambda v, known_: F.when(v.isNull(), F.lit(None)).otherwise(F.array_contains(known_, v))
-    u, s = one(unit, F.col("_units")), one(sub, F.col("_subs"))
-    state = F.when(F.col("_entity").isNull() | (u.isNull() & s.isNull()), F.lit(None).cast("boolean")).otherwise(F.coalesce(u, F.lit(True)) & F.coalesce(s, F.lit(True)))
-    return pages.join(known, pages["entity"] == known["_entity"], "left").withColumn("state", state).drop("_entity", "_units", "_subs")
+    """pages: url, entity; hints: entity, unit, sub_unit. Adds state: true if the address names a unit or a sub-unit of the
+    entity, false if it names others only, null if it names none or nothing is known of the entity."""
+    known = retrieval.with_units(pages, hints, F.col("entity"))
+    return known.withColumn("state", retrieval.unit_match(F.col("url"), F.col("units"), F.col("sub_units"))).drop("units", "sub_units")
 
 
 def of_units(pages: DataFrame, hints: DataFrame) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions import vectors
+from corpusloom.functions import rules, vectors
 from corpusloom.operators import catalogue, retrieval as r
-from corpusloom.plans.common import ASKED_SQL, CHUNKS_SQL, asked, chunks, registry, table
+from corpusloom.plans.common import ASKED_SQL, CHUNKS_SQL, asked, chunks, fold_sql, registry, table
 
 QUERIES, query = registry()
 
@@ -100,6 +100,62 @@ def effective_ranking(spark, sf_dir):
     return ranked.select("query_id", "chunk_id", F.round("eff_d", 6).alias("eff_d"), F.col("rank").cast("long").alias("rank"))
 
 
+#: Questions of every kind that a term of the effective distance looks at; a document is a candidate of one of them, by its id.
+_TERM_QUESTIONS = (
+    "computer engineering courses", "computer engineering learning outcomes", "software jobs", "where is the campus", "who is Ann Lee", "international bachelor application",
+    "which lessons does medical school have", "tell me about health sciences", "tuition fee of software programs",
+)
+_TERM_URLS = (
+    "https://o.example.edu/bologna/progCourses.aspx?curUnit={u}&curSunit={s}", "https://o.example.edu/bologna/progCourseMatrix.aspx?curSunit={s}", "https://o.example.edu/bologna/index.aspx?curop=showPac&curUnit={u}&curSunit={s}",
+    "https://o.example.edu/bologna/info.aspx", "https://example.edu/news/{s}", "https://example.edu/academic-staff/{s}", "https://example.edu/graduate/{s}", "https://example.edu/commissions/{s}",
+)
+_TERM_TITLES = ("Information package", "Message from Head of Department", "Course Structure", "page", "About | it")
+_TERM_ENDS = (" Computer Engineering", " medical school", " Ann Lee", "")
+
+
+def _term_rows(spark, sf_dir):
+    """Documents as candidates: question, address, title and the words behind the text by the id."""
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), n.cast("int"))
+    unit, sub = pick(("31", "32"), F.expr("doc_id div 72 % 2")), pick(("7001", "7002", "9999"), F.expr("doc_id div 72 % 3"))
+    url = F.replace(F.replace(pick(_TERM_URLS, i % 8), F.lit("{u}"), unit), F.lit("{s}"), sub)
+    return d.select(
+        i.alias("chunk_id"), pick(_TERM_QUESTIONS, i % 9).alias("question"), url.alias("source_url"), pick(_TERM_TITLES, F.expr("doc_id div 8 % 5")).alias("page_title"),
+        F.concat(F.coalesce("text", F.lit("")), pick(_TERM_ENDS, F.expr("doc_id div 5 % 4"))).alias("content"), F.when(i % 7 > 0, F.col("n_chars") % 100 / 100).alias("real"), F.lit(0.6).alias("nominal"),
+        F.when(i % 9 == 4, "Ann Lee").alias("name"), (i % 13 == 0).alias("roster"),
+    )
+
+
+_TERM_SQL = f"""a as (select doc_id, doc_id % 9 as k, doc_id % 8 as u, (['31', '32'])[doc_id // 72 % 2 + 1] as unit, (['7001', '7002', '9999'])[doc_id // 72 % 3 + 1] as sub, doc_id // 8 % 5 as t,
+    ([{", ".join(f"'{x}'" for x in _TERM_TITLES)}])[doc_id // 8 % 5 + 1] as title, coalesce(text, '') || ([{", ".join(f"'{x}'" for x in _TERM_ENDS)}])[doc_id // 5 % 4 + 1] as content,
+    case when doc_id % 7 > 0 then n_chars % 100 / 100.0 else 0.6 end as d0, doc_id % 13 = 0 as roster from documents),
+b as (select *, k in (0, 1, 6) as asks, k in (0, 6) as lessons, k in (0, 1, 6, 7) as entity, {fold_sql("title || chr(10) || content")} as low, {fold_sql("content")} as body from a),
+c as (select *, (k in (0, 1) and (contains(low, 'computer engineering') or contains(low, 'bilgisayar muhendisligi')))::int + (k in (0, 1) and contains(low, 'computer engineering') and contains(low, 'bilgisayar muhendisligi'))::int
+    + (k = 6)::int * len(list_filter(['faculty of medicine', 'medical school', 'tip fakultesi', 'hekimlik'], lambda n: contains(low, n))) + (k = 7)::int * len(list_filter(['faculty of health sciences', 'health sciences', 'saglik bilimleri fakultesi'], lambda n: contains(low, n))) as own,
+    len(list_filter(['computer programming', 'computer programmer', 'bilgisayar programciligi', 'computer engineering', 'bilgisayar muhendisligi', 'faculty of health sciences', 'health sciences', 'saglik bilimleri fakultesi', 'faculty of medicine', 'medical school', 'tip fakultesi', 'hekimlik'], lambda n: contains(low, n))) as names_,
+    u < 4 or t = 2 as cat, u < 3 as detail, u < 4 or t = 2 or contains(body, 'course') or contains(body, 'bologna') or contains(body, '/catalogue/') as cat_any,
+    t in (0, 2) or contains(body, 'information package') or contains(body, 'program learning outcomes') or contains(body, 'course structure') as headed,
+    k in (0, 1) and ((u in (0, 2) and unit = '31') or (u in (0, 1, 2) and sub <> '9999')) as ours, k in (0, 1) and u < 3 as judged from b),
+e as (select *, d0 + case when k in (0, 1, 2) and u = 4 then 0.14 else 0 end + case when entity then least(0.04, 0.01 * (names_ - own)) - least(0.06, 0.02 * own) else 0 end + case when entity and u = 4 then 0.04 else 0 end
+    + case when asks and own > 0 and cat_any then -0.08 when asks and headed and not ours then 0.22 else 0 end as d1, k = 4 and contains(body, 'ann') and contains(body, 'lee') as named, u = 5 or t = 1 as high, u = 7 as less from c),
+f as (select *, case when not named then d1 when high then least(d1, 0.05) when less then d1 + 0.36 else least(d1, 0.12) end as d2 from e),
+g as (select *, case when roster then least(d2, 0.12) else d2 end as d3 from f)
+select doc_id as chunk_id, round(d3 + case when asks and u = 5 then 0.18 else 0 end + case when asks and not cat then 0.24 + case when t in (1, 4) then 0.2 else 0 end else 0 end
+  + case when asks and cat and detail then -0.1 + case when own = 0 and judged and not ours and not (u < 2 and lessons) then 0.24 else 0 end when asks and cat and t = 0 then 0.08 else 0 end
+  + case when not cat then 0 when k = 3 then 0.22 when asks and detail then -0.16 when asks then -0.1 else 0.03 end
+  + case when not judged then 0 when lessons and u < 2 then case when u = 0 and unit = '31' then -0.14 else 0 end + case when sub <> '9999' then -0.12 else -0.08 end
+      else case when u = 1 then 0 when unit = '31' then -0.2 else 0.5 end + case when sub <> '9999' then -0.14 else 0.34 end end
+  + case when k = 0 and u < 3 and sub = '7002' then -0.09 else 0 end + case when lessons and u = 0 then -0.22 when lessons and u = 1 then -0.16 else 0 end + case when k = 5 and u = 6 then 0.18 else 0 end, 6) + 0.0 as eff_d from g"""
+
+
+@query(f"with {_TERM_SQL}")
+def effective_terms(spark, sf_dir):
+    site = rules.Site(preferred=(("computer-engineering", "cursunit=7002"),))
+    hints = spark.createDataFrame([("computer-engineering", "31", "7001"), ("computer-engineering", "31", "7002")], "entity string, unit string, sub_unit string")
+    rows = r.with_units(_term_rows(spark, sf_dir), hints)
+    return rows.select("chunk_id", (F.round(r.effective_distance(site, F.col("units"), F.col("sub_units")), 6) + 0.0).alias("eff_d"))
+
+
 _LEX_BLOCK = "not regexp_matches(lower(source_url), '/news|/archive|/events|/event|/haber|/duyuru|/blog')"
 
 
@@ -178,12 +234,18 @@ def _unit_pages(spark, sf_dir):
 
 
 @query(f"""with {_UNIT_URLS}, x as (select *, regexp_extract(url, 'curUnit=([0-9]*)', 1) as u, nullif(regexp_extract(url, 'curSunit=([0-9]*)', 1), '') as s from p)
-select page_id, case entity when 'c' then null when 'a' then u in ('0', '1') and coalesce(s in ('0', '3'), true) else u = '2' and coalesce(s = '4', true) end as state from x""")
+select page_id, case entity when 'c' then null when 'a' then u in ('0', '1') or coalesce(s in ('0', '3'), false) else u = '2' or coalesce(s = '4', false) end as state from x""")
 def unit_states(spark, sf_dir):
     hints = spark.createDataFrame([("a", "0", "0"), ("a", "1", "3"), ("b", "2", "4")], "entity string, unit string, sub_unit string")
     return catalogue.unit_state(_unit_pages(spark, sf_dir), hints).select("page_id", "state")
 
 
+@query(f"""with {_UNIT_URLS} select page_id from p where coalesce(nullif(regexp_extract(url, 'curSunit=([0-9]*)', 1), ''), regexp_extract(url, 'curUnit=([0-9]*)', 1)) in ('0', '1', '3')""")
+def pages_of_units(spark, sf_dir):
+    hints = spark.createDataFrame([("0", "0"), ("1", "3")], "unit string, sub_unit string")
+    return catalogue.of_units(_unit_pages(spark, sf_dir), hints).select("page_id")
+
+
 @query(f"""with {_UNIT_URLS}, x as (select *, try_cast(nullif(regexp_extract(url, 'curSunit=([0-9]+)', 1), '') as bigint) as n from p where contains(url, 'curSunit'))
 select chunk_id, place from (select page_id as chunk_id, row_number() over (order by n is null, n, page_id) as place from x) where place <= 24""")
 def course_chunks(spark, sf_dir):

@@ -149,6 +149,42 @@ def test_effective_distance_terms(spark):
     assert value("computer engineering", "u", "t", "computer engineering", 0.5, 0.6, None, False) == 0.48
 
 
+def test_effective_distance_knows_units_and_course_pages(spark):
+    cols = "question string, source_url string, page_title string, content string, real double, nominal double, name string, roster boolean"
+    hints = spark.createDataFrame([("computer-engineering", "31", "7001")], "entity string, unit string, sub_unit string")
+    site = rules.Site(preferred=(("computer-engineering", "cursunit=7002"),))
+    base, own = "https://o.example.edu/bologna/", "computer engineering"
+    #: question, address, title, content and the terms that apply to a distance of 0.5
+    table = [
+        ("course list", "u/x", "About | it", "c", 0.24 + 0.20),
+        (f"{own} courses", "u/x", "Course structure", "c", 0.22 - 0.10),  # the title names the catalogue
+        (f"{own} courses", "u/x", "Information package", "c", 0.22 + 0.24),
+        ("course list", base + "info", "Information package", "c", 0.08 - 0.10),
+        (f"{own} outcomes of the syllabus", base + "x?curUnit=31&curSunit=7001", "t", "c", -0.10 - 0.16 - 0.20 - 0.14),
+        (f"{own} learning outcomes", base + "x?curUnit=9", "t", "c", -0.10 + 0.24 - 0.16 + 0.50),
+        (f"{own} learning outcomes", base + "x?curSunit=9", "t", own, -0.02 - 0.08 - 0.10 - 0.16 + 0.34),
+        (f"{own} learning outcomes", base + "x?curSunit=9", "Course structure", "c", 0.22 - 0.10 + 0.24 - 0.16 + 0.34),
+        (f"{own} learning outcomes", base + "x?curSunit=7001", "Course structure", "c", -0.10 - 0.16 - 0.14),
+        (f"{own} courses", base + "progCourses.aspx?curUnit=31&curSunit=7001", "t", "c", -0.10 - 0.16 - 0.14 - 0.12 - 0.22),
+        (f"{own} courses", base + "progCourses.aspx?curSunit=7002", "t", "c", -0.10 - 0.16 - 0.08 - 0.09 - 0.22),
+        (f"{own} courses", base + "progCourseMatrix.aspx?curSunit=9", "t", "c", -0.10 - 0.16 - 0.08 - 0.16),
+        ("medical school learning outcomes", base + "x?curUnit=9", "t", "c", -0.10 - 0.16),  # nothing is known of it
+        ("international application", "u/graduate/x", "t", "c", 0.18),
+        ("international application", "u/x", "t", "see /graduate/ too", 0.0),
+    ]
+    rows = retrieval.with_units(spark.createDataFrame([(*row[:4], 0.5, 0.6, None, False) for row in table], cols), hints)
+    found = {(r["question"], r["source_url"], r["page_title"], r["content"]): r["d"] for r in rows.withColumn("d", retrieval.effective_distance(site, F.col("units"), F.col("sub_units"))).collect()}
+    for *row, terms in table:
+        assert found[tuple(row)] == pytest.approx(0.5 + terms, abs=1e-8), row
+
+
+def test_unit_match_has_three_states(spark):
+    rows = [("u?curUnit=1", True), ("u?curSunit=5", True), ("u?curunit=1&cursunit=9", True), ("u?curUnit=2&curSunit=9", False), ("u?curUnit=", None), ("u", None)]
+    known = [F.array(F.lit("1")), F.array(F.lit("5"))]
+    found = spark.createDataFrame(rows, "url string, want boolean").select("url", "want", retrieval.unit_match(F.col("url"), *known).alias("got")).collect()
+    assert all(r["got"] == r["want"] for r in found), found
+
+
 def test_coverage_report(spark):
     e = spark.createDataFrame([(i, i, [1.0, float(i)]) for i in range(6)], "chunk_id long, page_id long, embedding array<double>")
     asked = e.where("chunk_id < 2").select(F.col("chunk_id").alias("query_id"), "embedding")
