@@ -96,6 +96,21 @@ def unit_tabs(url: Column, pages: tuple[str, ...], unit: str = "curSunit") -> Co
     return F.when(value.rlike("^[0-9]+$"), tabs).otherwise(F.array().cast("array<string>"))
 
 
+# Names of the tabs of a programme, the misspelt one too.
+PROGRAMME_TABS = (
+    "progAbout", "progGoalsObjectives", "progProfile", "progOfficials", "progDegree", "progAdmissionReq", "progAccessFurtherStudies", "progAccessFurhterStudies", "progGraduationReq",
+    "progRecogPriorLearning", "progQualifyReqReg", "progOccupationalProf", "progLearnOutcomes", "progCourses", "progCourseMatrix", "progTYYCMatrix", "progAcademicStaff", "progContact",
+)
+
+
+def programme_tabs(url: Column, folder: str, language: str = "en", detail: str = "showpac", unit: str = "curSunit", names: tuple[str, ...] = PROGRAMME_TABS) -> Column:
+    """Addresses of all tabs of a programme, of the address of its start page, which names a numeric unit; empty for other pages."""
+    root = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    value = F.trim(parameter(url, unit))
+    tabs = F.transform(F.array(*map(F.lit, names)), lambda n: F.concat(root, F.lit(folder), n, F.lit(f".aspx?lang={language}&{unit}="), value))
+    return F.when(F.contains(F.lower(url), F.lit(detail)) & value.rlike("^[0-9]+$"), tabs).otherwise(F.array().cast("array<string>"))
+
+
 def catalogue_url(link: Column, base: Column, host_: str, marker: str, detail: str = "showpac") -> Column:
     """A link resolved against its page, without fragment, if it leads to the catalogue: this host, and the marker in the path or the
     detail's name anywhere in the address; else empty."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import chat
 from corpusloom.streaming import limiter
-from corpusloom.plans.common import registry, table
+from corpusloom.plans.common import registry, said, table
 from corpusloom.scratch import ready_checkpoints
 
 QUERIES, query = registry()
@@ -78,11 +78,9 @@ def wrapped_context(spark, sf_dir):
 
 @query()
 def prompts_and_options(spark, sf_dir):
-    from corpusloom.plans.common import questions
-
-    q, c = F.coalesce("question", F.lit("")), F.repeat(F.lit("fact "), 900)
+    q, c = F.col("question"), F.repeat(F.lit("fact "), 900)
     o, v = chat.model_options(q, c), chat.visibility(q, c)
-    return questions(spark).select("query_id", chat.system_prompt(q, c).alias("system"), o["num_predict"].cast("long").alias("num_predict"), o["num_ctx"].cast("long").alias("num_ctx"), v["llm_user_turn_chars"].cast("long").alias("turn_chars"))
+    return said(spark, sf_dir).select("conv_id", "turn", chat.system_prompt(q, c).alias("system"), o["num_predict"].cast("long").alias("num_predict"), o["num_ctx"].cast("long").alias("num_ctx"), v["llm_user_turn_chars"].cast("long").alias("turn_chars"))
 
 
 @query()
@@ -137,9 +135,12 @@ def folded_replies(spark, sf_dir):
     return limiter.folded_replies(bodies.select("reply_id", F.concat(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), F.lit("\nnot json")).alias("body")))
 
 
-@query("with t(peer, forwarded) as (values ('10.0.3.4', '8.8.8.8, 1.1.1.1'), ('9.9.9.9', '8.8.8.8'), ('10.0.1.1', null)) select peer, case when peer like '10.0.%' and coalesce(trim(split_part(forwarded, ',', 1)), '') <> '' then trim(split_part(forwarded, ',', 1)) else peer end as client from t")
+@query("""with t as (select event_id, case when user_id % 3 = 0 then '10.0.' else '9.8.' end || user_id % 256 || '.' || event_id % 256 as peer, case event_id % 4 when 0 then null when 1 then ' 8.8.' || event_id % 9 || '.8 , 1.1.1.1' when 2 then '' else '7.7.7.' || event_id % 7 end as forwarded from events)
+select event_id, case when starts_with(peer, '10.0.') and event_id % 4 = 1 then '8.8.' || event_id % 9 || '.8' when starts_with(peer, '10.0.') and event_id % 4 = 3 then '7.7.7.' || event_id % 7 else peer end as client from t""")
 def client_addresses(spark, sf_dir):
     from corpusloom.functions import urls
 
-    rows = spark.createDataFrame([("10.0.3.4", "8.8.8.8, 1.1.1.1"), ("9.9.9.9", "8.8.8.8"), ("10.0.1.1", None)], "peer string, forwarded string")
-    return rows.select("peer", urls.client_ip(F.col("peer"), F.col("forwarded"), ("10.0",)).alias("client"))
+    e, u = F.col("event_id"), F.col("user_id")
+    peer = F.concat(F.when(u % 3 == 0, "10.0.").otherwise("9.8."), u % 256, F.lit("."), e % 256)
+    forwarded = F.when(e % 4 == 1, F.concat(F.lit(" 8.8."), e % 9, F.lit(".8 , 1.1.1.1"))).when(e % 4 == 2, "").when(e % 4 == 3, F.concat(F.lit("7.7.7."), e % 7))
+    return table(spark, sf_dir, "events").select("event_id", urls.client_ip(peer, forwarded, ("10.0",)).alias("client"))

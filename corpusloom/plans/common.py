@@ -30,6 +30,14 @@ QUESTIONS = (
 )
 
 
+#: More of them, for questions that are said in conversations.
+MORE_QUESTIONS = (
+    "compare both tracks of computer programming", "first year courses of civil engineering", "who is Jane Doe?", "head of the department of software", "annual payment for the mba", "what courses does the medical school offer",
+    "thanks a lot", "who is elon?", "burs ve ücret listesi", "summary of the mechanical program",
+)
+SAID = tuple(q or "" for _, q in QUESTIONS) + MORE_QUESTIONS
+
+
 def registry() -> tuple[dict, Callable]:
     found: dict[str, tuple[Callable, str | None]] = {}
 
@@ -56,6 +64,21 @@ def questions_sql() -> str:
     return f"questions as (select i::bigint as query_id, q as question from (values {rows}) v(i, q))"
 
 
+def said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users say in conversations, with one of the questions in front; every third turn is the question alone."""
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    n = F.col("conv_id") * 5 + F.col("turn")
+    phrase = F.get(F.array(*map(F.lit, SAID)), (n % len(SAID)).cast("int"))
+    return c.select("conv_id", "turn", F.when(n % 3 == 0, phrase).otherwise(F.concat(phrase, F.lit(" "), F.coalesce("text", F.lit("")))).alias("question"))
+
+
+_SAID_VALUES = ", ".join("'" + q.replace("'", "''") + "'" for q in SAID)
+#: The same: k is the number of the question (from 0), alone whether nothing follows it, low the folded text, padded its words.
+SAID_SQL = rf"""spoken as (select conv_id, turn, (conv_id * 5 + turn) % {len(SAID)} as k, (conv_id * 5 + turn) % 3 = 0 as alone,
+  ([{_SAID_VALUES}])[(conv_id * 5 + turn) % {len(SAID)} + 1] || case when (conv_id * 5 + turn) % 3 = 0 then '' else ' ' || coalesce(text, '') end as question from conversations where role = 'user'),
+said as (select *, lower(translate(question, '{text.FOLD_FROM}', '{text.FOLD_TO}')) as low, ' ' || regexp_replace(lower(translate(question, '{text.FOLD_FROM}', '{text.FOLD_TO}')), '[^\p{{L}}\p{{N}}_]+', ' ', 'g') || ' ' as padded from spoken)"""
+
+
 def fold_sql(x: str) -> str:
     return f"lower(translate({x}, '{text.FOLD_FROM}', '{text.FOLD_TO}'))"
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import html, questions as q, urls, vectors
 from corpusloom.operators import composite, crawl, retrieval
-from corpusloom.plans.common import ASKED_SQL, CHUNKS_SQL, asked, chunks, questions, questions_sql, registry, table
+from corpusloom.plans.common import ASKED_SQL, CHUNKS_SQL, SAID_SQL, asked, chunks, questions, questions_sql, registry, said, table
+from corpusloom.plans.scalars import SEGMENT, says
 
 QUERIES, query = registry()
 
@@ -127,15 +128,17 @@ def list_order(spark, sf_dir):
     return composite.candidate_lists(asked_, lists).select("query_id", "chunk_id", F.col("src_ord").cast("long").alias("src_ord"))
 
 
-@query(f"""with {questions_sql()} select query_id, case query_id when 1 then 'bilgisayar muhendisligi|computer engineering|muhendisligi bolum|bolum bilgisayar' when 2 then 'faculty of medicine|doctor of medicine|medical school|tip fakultesi|hekimlik'
-  when 6 then 'bilgisayar programciligi|computer programming|computer programmer|programming' when 7 then 'bilgisayar muhendisligi|computer engineering|muhendisligi bolum|bolum bilgisayar'
-  when 9 then 'faculty of health sciences|saglik bilimleri fakultesi|health sciences faculty|saglik bilimleri|health sciences' when 12 then 'electronics|electrical|elektronik|elektrik' end as department,
-  case query_id when 8 then 'Scholarship|Scholarships|Tuition Fees and Scholarships|Burs|Burslar|Ücret ve Burs|Öğrenim Ücretleri ve Burslar' end as fee from questions""")
+@query(f"""with {SAID_SQL}, s as (select *, {SEGMENT} as segment, {says("fee")} as fee, {says("scholarship")} as scholarship, contains(padded, ' payment ') as payment from said)
+select conv_id, turn, case segment when 'computer-engineering' then 'bilgisayar muhendisligi|computer engineering|muhendisligi bolum|bolum bilgisayar' when 'faculty-of-medicine' then 'faculty of medicine|doctor of medicine|medical school|tip fakultesi|hekimlik'
+  when 'computer-programming' then 'bilgisayar programciligi|computer programming|computer programmer|programming' when 'faculty-of-health-sciences' then 'faculty of health sciences|saglik bilimleri fakultesi|health sciences faculty|saglik bilimleri|health sciences'
+  when 'electrical' then 'electronics|electrical|elektronik|elektrik' when 'mechanical' then 'mechanical|makine' when 'civil' then 'mimarlik insaat|insaat|civil' when 'software' then 'yazilim m|software|yazilim' end as department,
+  nullif(array_to_string(case when fee and scholarship then ['Scholarship', 'Scholarships', 'Tuition Fees and Scholarships', 'Burs', 'Burslar', 'Ücret ve Burs', 'Öğrenim Ücretleri ve Burslar'] else [] end
+    || case when fee and payment then ['Payment', 'Ödeme', 'Taksit', 'Payment Plan'] else [] end, '|'), '') as fee from s""")
 def snippet_anchors(spark, sf_dir):
     joined = lambda c: F.expr(f"nullif(array_join({c}, '|'), '')")
-    rows = questions(spark).select("query_id", q.department_anchors(F.col("question")).alias("d"), q.fee_anchors(F.col("question")).alias("f"))
+    rows = said(spark, sf_dir).select("conv_id", "turn", q.department_anchors(F.col("question")).alias("d"), q.fee_anchors(F.col("question")).alias("f"))
     # the label of the path equals one of its names but for the case of letters
-    return rows.select("query_id", joined("transform(d, x -> lower(x))").alias("department"), joined("f").alias("fee"))
+    return rows.select("conv_id", "turn", joined("transform(d, x -> lower(x))").alias("department"), joined("f").alias("fee"))
 
 
 @query("""with c as (select doc_id, 'Course anchor: C' || doc_id || '. ' || chr(10) || 'ECTS value: ' || case when doc_id % 3 = 0 then 'NOT FOUND IN EXCERPT' else (doc_id % 9)::varchar end || chr(10) || 'Unit row (if available): row ' || doc_id as c,
@@ -183,6 +186,6 @@ def chosen_snippets(spark, sf_dir):
 
 @query()
 def question_variants(spark, sf_dir):
-    rows = questions(spark).withColumn("name", q.person(F.col("question")))  # a step of its own: no Python inside array functions
+    rows = said(spark, sf_dir).withColumn("name", q.person(F.col("question")))  # a step of its own: no Python inside array functions
     variants = q.query_variants(q.composed(F.col("question"), F.array().cast("array<string>")), F.col("name"))
-    return rows.select("query_id", F.posexplode(variants).alias("variant", "question"))
+    return rows.select("conv_id", "turn", F.posexplode(variants).alias("variant", "question"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import chunking, html, questions as q, rules, text, urls, vectors
-from corpusloom.plans.common import fold_sql, questions, registry, table
+from corpusloom.plans.common import SAID_SQL, fold_sql, registry, said, table
 
 QUERIES, query = registry()
 
@@ -35,12 +35,14 @@ def snippet_around_phrase(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text"), F.lit("tion"), 200).alias("snippet"))
 
 
-@query("""select query_id::bigint as query_id, keywords from (values (1, 'teachers computer engineering'), (2, 'much tuition medicine'), (3, 'campus address'),
-  (4, 'international students application requirements'), (5, 'foreign students apply documents need'), (6, 'ects programming semester'), (7, 'bilgisayar mühendisliği ders programı dönem'),
-  (8, 'list fees scholarships'), (9, 'dean health sciences'), (10, 'hello'), (11, 'weather forecast'), (12, 'everything electrical engineering'), (13, 'admission international applicants'),
-  (14, 'merhaba'), (15, 'iletişim ulaşım bilgileri nerede'), (16, '')) v(query_id, keywords)""")
+_STOP = ", ".join(f"'{w}'" for w in text.KEYWORD_STOP)
+
+
+@query(f"""with {SAID_SQL}, w as (select conv_id, turn, unnest(ws) as w, generate_subscripts(ws, 1) as i from (select conv_id, turn, regexp_extract_all(lower(replace(question, 'İ', 'i')), '[a-zğüşıöç]{{4,}}') as ws from said)),
+f as (select conv_id, turn, w, min(i) as i from w where w not in ({_STOP}) group by all), n as (select *, row_number() over (partition by conv_id, turn order by i) as n from f)
+select s.conv_id, s.turn, coalesce(string_agg(w, ' ' order by i), '') as keywords from said s left join n on n.conv_id = s.conv_id and n.turn = s.turn and n <= 5 group by s.conv_id, s.turn""")
 def keyword_extraction(spark, sf_dir):
-    return questions(spark).select("query_id", F.array_join(text.keywords(F.coalesce("question", F.lit(""))), " ").alias("keywords"))
+    return said(spark, sf_dir).select("conv_id", "turn", F.array_join(text.keywords(F.col("question")), " ").alias("keywords"))
 
 
 @query("""with q as (select unnest(['that', 'tion', 'ing ', 'heit']) as term), c as (select doc_id, count(*) as n from documents, q where contains(lower(text), term) group by doc_id)
@@ -93,13 +95,32 @@ def url_parts(spark, sf_dir):
     )
 
 
-@query("""with t(url) as (values ('https://obs.example.edu/x?lang=en&curSunit=6166'), ('https://obs.example.edu/x?cursunit=12'), ('https://obs.example.edu/x?lang=tr')),
-v as (select url, case when regexp_matches(url, '(?i)[?&]curSunit=') then regexp_extract(url, '(?i)[?&]curSunit=([^&#]*)', 1) end as unit, lower(case when regexp_matches(url, '(?i)[?&]lang=') then regexp_extract(url, '(?i)[?&]lang=([^&#]*)', 1) end) as lang from t)
-select url, unit, lang is null or lang = '' or lang = 'en' as preferred, case when unit is null then '' else 'https://obs.example.edu/courses.aspx?curSunit=' || unit || ' https://obs.example.edu/about.aspx?curSunit=' || unit end as tabs from v""")
+_UNIT_PAGES = """v as (select page_id, url || case when contains(url, '?') then '&' else '?' end || case page_id % 4 when 0 then 'lang=en&curSunit=' || page_id when 1 then 'curop=showPac&cursunit=' || page_id when 2 then 'lang=tr' else 'curOp=showPac&curUnit=3&curSunit=x' || page_id end as address from (select page_id, regexp_replace(url, '#.*$', '') as url from pages))"""
+
+
+def _unit_addresses(spark, sf_dir):
+    """Addresses of the pages with parameters of a course catalogue behind."""
+    p = table(spark, sf_dir, "pages").select("page_id", urls.without_fragment(F.col("url")).alias("url"))
+    i, n = F.col("page_id") % 4, F.col("page_id").cast("string")
+    tail = F.when(i == 0, F.concat(F.lit("lang=en&curSunit="), n)).when(i == 1, F.concat(F.lit("curop=showPac&cursunit="), n)).when(i == 2, "lang=tr").otherwise(F.concat(F.lit("curOp=showPac&curUnit=3&curSunit=x"), n))
+    return p.select("page_id", F.concat("url", F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), tail).alias("address"))
+
+
+@query(f"""with {_UNIT_PAGES} select page_id, case page_id % 4 when 2 then null when 3 then 'x' || page_id else page_id::varchar end as unit, page_id % 4 <> 2 as preferred,
+  case when page_id % 4 < 2 then regexp_extract(address, '^[a-z]+://[^/?#]*') || '/courses.aspx?curSunit=' || page_id || ' ' || regexp_extract(address, '^[a-z]+://[^/?#]*') || '/about.aspx?curSunit=' || page_id else '' end as tabs from v""")
 def catalogue_urls(spark, sf_dir):
-    rows = spark.createDataFrame([("https://obs.example.edu/x?lang=en&curSunit=6166",), ("https://obs.example.edu/x?cursunit=12",), ("https://obs.example.edu/x?lang=tr",)], "url string")
-    u = F.col("url")
-    return rows.select("url", urls.parameter(u, "curSunit").alias("unit"), urls.preferred_language(u, "en").alias("preferred"), F.array_join(urls.unit_tabs(u, ("/courses.aspx", "/about.aspx")), " ").alias("tabs"))
+    u = F.col("address")
+    return _unit_addresses(spark, sf_dir).select("page_id", urls.parameter(u, "curSunit").alias("unit"), urls.preferred_language(u, "en").alias("preferred"), F.array_join(urls.unit_tabs(u, ("/courses.aspx", "/about.aspx")), " ").alias("tabs"))
+
+
+# Every programme has eighteen tabs; the SQL names the first and the last of them and counts the rest.
+@query(f"""with {_UNIT_PAGES} select page_id, case when page_id % 4 = 1 then 18 else 0 end::bigint as n_tabs,
+  case when page_id % 4 = 1 then regexp_extract(address, '^[a-z]+://[^/?#]*') || '/oibs/bologna/progAbout.aspx?lang=en&curSunit=' || page_id end as first_tab,
+  case when page_id % 4 = 1 then regexp_extract(address, '^[a-z]+://[^/?#]*') || '/oibs/bologna/progContact.aspx?lang=en&curSunit=' || page_id end as last_tab from v""")
+def programme_tabs(spark, sf_dir):
+    rows = _unit_addresses(spark, sf_dir).withColumn("tabs", urls.programme_tabs(F.col("address"), "/oibs/bologna/"))
+    at = lambda i: F.try_element_at("tabs", F.lit(i))
+    return rows.select("page_id", F.size("tabs").cast("long").alias("n_tabs"), at(1).alias("first_tab"), at(-1).alias("last_tab"))
 
 
 _ENT = "x"
@@ -134,45 +155,98 @@ def page_chunks(spark, sf_dir):
     return c.select("page_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5(F.col("content").cast("binary")).alias("key"), F.length("content").cast("long").alias("n_chars"))
 
 
-# What each of the fixed questions asks for, worked out by hand: the SQL knows no pattern of the engine.
-_ASKS_FOR = """asks_for(query_id, names) as (values (1, ['stem', 'roster']), (2, ['fee']), (3, ['location']), (4, []), (5, []), (6, ['stem', 'catalogue', 'curriculum']),
-  (7, ['department', 'stem', 'catalogue', 'curriculum']), (8, ['fee', 'broad_fee', 'scholarship']), (9, ['leadership', 'department_leader']), (10, []), (11, []), (12, ['stem', 'overview']),
-  (13, ['graduate']), (14, []), (15, ['location']), (16, []))"""
+# What is said for each intent: words of the questions, and parts of words that may stand in any text. A blank is the edge of a word.
+_SAYS = {
+    "department": ("depart", "faculty", "faculties", "fakult", "bolum", "school ", "schools ", "muhendis", "yuksekokul", "anabilim"),
+    "stem": (" computer ", "software", "electrical", "mechanical", "civil", "chemical", "industrial", "biomedical", " engineering ", " engineer ", "programming", "bilgisayar", "yazilim", "elektrik", "makine", "insaat"),
+    "location": (" where is ", " location ", " address ", " contact ", " reach ", " transport ", " nerede ", " konum ", " adres ", " iletisim ", " ulasim "),
+    "catalogue": (" course ", " courses ", " curriculum ", " lesson ", " lessons ", " module ", " modules ", " ects ", " ders ", " dersler ", " mufredat ", " akts "),
+    "roster": (" teacher ", " teachers ", " prof ", " faculty ", " professor ", " professors ", " lecturer ", "ogretim", " hocalar"),
+    "leadership": (" dean ", " deans ", " dekan ", " rector ", " rektor ", " provost "),
+    "fee": (" price ", " prices ", " fee ", " fees ", " tuition ", " ucret ", " ucreti ", " ucretler ", " scholarship ", " burs ", " how much ", " cost ", " costs ", " annual ", " payment "),
+    "broad_fee": (" all ", " every ", " tum ", " butun ", " hepsi ", " ucret listesi ", " fee list "),
+    "graduate": (" graduate ", " postgraduate ", " mba ", " ma ", " msc ", " phd ", " doktora ", " tez "),
+    "scholarship": (" scholar ", " scholarship ", " scholarships ", " burs ", " burslar "),
+    "curriculum": (" lesson ", " lessons ", " course ", " courses ", "curriculum", "module", " ects ", "syllabus", "mufredat", "ders", " semester ", " donem "),
+    "multi_shell": (" compare ", " comparison ", " vs ", " versus ", " difference ", " fark ", " both track ", " both tracks "),
+    "first_year": ("first year", "freshman", " 1st year ", "year 1 ", "birinci sinif"),
+    "department_leader": ("head", "chair", "director", "dean", "baskan", "dekan", "mudur"),
+    "overview": (" everything ", " write all ", " overview ", " summary ", " summarize "),
+    "abroad": (" international ", " foreign ", " overseas ", " yabanci "),
+    "apply": (" apply ", " application ", " admission ", " admissions ", " requirement ", " requirements ", " eligible ", " criteria "),
+    "documents": (" document ", " documents "),
+    "price": (" tuition ", " fee ", " fees ", " how much ", " price ", " cost ", " payment ", " ucret "),
+    "needs": (" requirement ", " requirements ", " diploma ", " exam ", " exams ", " test ", " tests ", " score ", " scores ", " sat ", " act ", " ap "),
+}
+
+
+def says(name: str) -> str:
+    words = ", ".join(f"'{w}'" for w in _SAYS[name])
+    return f"len(list_filter([{words}], lambda w: contains(padded, w))) > 0"
+
+
+_INTERNATIONAL = f"({says('abroad')} and ({says('apply')} or {says('documents')}) and not ({says('price')} and not {says('apply')}))"
+
+
+@query(f"with {SAID_SQL} select conv_id, turn, " + ", ".join(f"{says(n)} as {n}" for n in rules.INTENTS) + " from said")
+def intents(spark, sf_dir):
+    return said(spark, sf_dir).select("conv_id", "turn", *[rules.intent(F.col("question"), n).alias(n) for n in rules.INTENTS])
 
 
-@query(f"with {_ASKS_FOR} select query_id::bigint as query_id, " + ", ".join(f"list_contains(names, '{n}') as {n}" for n in rules.INTENTS) + " from asks_for")
-def intents(spark, sf_dir):
-    return questions(spark).select("query_id", *[rules.intent(F.col("question"), n).alias(n) for n in rules.INTENTS])
+_ENTITY = """case when contains(low, 'computer programming') then 'computer-programming' when contains(low, 'computer engineering') or contains(low, 'bilgisayar muhendisligi') then 'computer-engineering'
+  when contains(low, 'health sciences') then 'faculty-of-health-sciences' when contains(low, 'medical school') then 'faculty-of-medicine' end"""
+# The eleventh question and the one about a person off the topic are so only in short messages; greetings and thanks only alone.
+_GATE = """case when alone and k in (9, 13, 22) then 'small_talk' when k in (10, 23) and length(trim(question)) <= 300 then 'off_topic' else 'retrieve' end"""
 
 
-@query("""select query_id::bigint as query_id, entity, international, requirements, undergraduate_only, gate from (values
-  (1, 'computer-engineering', false, false, false, 'retrieve'), (2, null, false, false, false, 'retrieve'), (3, null, false, false, false, 'retrieve'), (4, null, true, true, true, 'retrieve'),
-  (5, null, true, false, true, 'retrieve'), (6, null, false, false, false, 'retrieve'), (7, 'computer-engineering', false, false, false, 'retrieve'), (8, null, false, false, false, 'retrieve'),
-  (9, 'faculty-of-health-sciences', false, false, false, 'retrieve'), (10, null, false, false, false, 'small_talk'), (11, null, false, false, false, 'off_topic'), (12, null, false, false, false, 'retrieve'),
-  (13, null, true, false, false, 'retrieve'), (14, null, false, false, false, 'small_talk'), (15, null, false, false, false, 'retrieve'), (16, null, false, false, false, 'retrieve'))
-  v(query_id, entity, international, requirements, undergraduate_only, gate)""")
+@query(f"""with {SAID_SQL} select conv_id, turn, {_ENTITY} as entity, {_INTERNATIONAL} as international, {_INTERNATIONAL} and {says("needs")} as requirements,
+  {_INTERNATIONAL} and not {says("graduate")} as undergraduate_only, {_GATE} as gate from said""")
 def entities_and_gates(spark, sf_dir):
     c = F.col("question")
     i = lambda n: rules.intent(c, n).alias(n)
-    return questions(spark).select("query_id", rules.entity(c).alias("entity"), i("international"), i("requirements"), i("undergraduate_only"), rules.gate(c).alias("gate"))
+    return said(spark, sf_dir).select("conv_id", "turn", rules.entity(c).alias("entity"), i("international"), i("requirements"), i("undergraduate_only"), rules.gate(c).alias("gate"))
 
 
-@query()
-def question_details(spark, sf_dir):
+SEGMENT = f"""coalesce({_ENTITY}, case when contains(padded, ' medicine ') and {says("price")} then 'faculty-of-medicine' when contains(low, 'programming') then 'computer-programming' when contains(low, 'electrical') or contains(low, 'elektr') then 'electrical'
+  when contains(low, 'mechanical') or contains(low, 'makine') then 'mechanical' when contains(low, 'civil') or contains(low, 'insaat') then 'civil' when contains(low, 'industrial') then 'industrial' when contains(low, 'biomedical') then 'biomedical' when contains(low, 'software') or contains(low, 'yazilim') then 'software' end)"""
+_STEM = f"""case when not {says("stem")} then '' when contains(low, 'computer programming') then 'computer programming|bilgisayar programciligi|associate degree|on lisans'
+  when k in (0, 6) then 'bilgisayar muhendisligi|computer engineering' when k = 11 then 'electrical|elektrik|electronics|elektronik' when k = 17 then 'civil|insaat' when k = 19 then 'bilgisayar muhendisligi|computer engineering' when k = 25 then 'mechanical|makine'
+  else 'muhendisligi|engineering|faculty of engineering|muhendislik' end"""
+
+
+@query(f"""with {SAID_SQL} select conv_id, turn, {SEGMENT} as segment, {_STEM} as stem_terms, {says("fee")} and ({says("broad_fee")} or {SEGMENT} is null) as wide_fee, case k when 5 then 4 end::bigint as semester from said""")
+def question_paths(spark, sf_dir):
     c = F.col("question")
-    return questions(spark).select(
-        "query_id", q.person(c).alias("person"), q.course(c).alias("course"), text.semester(c).cast("long").alias("semester"), rules.path_segment(c).alias("segment"),
-        F.array_join(rules.stem_terms(c), "|").alias("stem_terms"), q.composed(c, F.array().cast("array<string>")).alias("composed"), rules.intent(c, "wide_fee").alias("wide_fee"),
-    )
+    return said(spark, sf_dir).select("conv_id", "turn", rules.path_segment(c).alias("segment"), F.array_join(rules.stem_terms(c), "|").alias("stem_terms"), rules.intent(c, "wide_fee").alias("wide_fee"), text.semester(c).cast("long").alias("semester"))
 
 
-_ROWS = ("CSE 220 Web Programming 3+0+0 Compulsory 6 Face To Face", "CSE 101 Algebra 4+0+0 Elective 5", "MED 300 Anatomy 2+2+2 7 hours", "no number")
+@query(f"""with {SAID_SQL} select conv_id, turn, case when trim(question) = '' then '' else trim(question) || chr(10) || 'Example University' || coalesce(chr(10) || case
+  when {says("location")} then 'campus address contact communication and transportation' when {says("catalogue")} then 'course catalogue curriculum program structure ECTS courses'
+  when {_INTERNATIONAL} and {says("needs")} then 'international students application requirements diploma exam scores' when {_INTERNATIONAL} then 'international students admission application how to apply deadlines'
+  when {says("fee")} and ({says("broad_fee")} or {SEGMENT} is null) then 'tuition fees of all programs academic year fee schedule' when {says("fee")} then 'tuition fee scholarship payment of the department'
+  when {says("roster")} then 'department academic staff list faculty members professors' when {says("leadership")} then 'faculty deans rector leadership management board'
+  when {says("stem")} then 'faculty of engineering departments' when {says("department")} then 'faculties departments schools programs' end, '') end as composed from said""")
+def composed_questions(spark, sf_dir):
+    return said(spark, sf_dir).select("conv_id", "turn", q.composed(F.col("question"), F.array().cast("array<string>")).alias("composed"))
 
 
-@query("with r(row) as (values " + ", ".join(f"('{r}')" for r in _ROWS) + r"""), c as (select row, trim(regexp_replace(regexp_replace(row, '\b\d+\s*\+\s*\d+\s*\+\s*\d+\b', ' ', 'g'), '\s+', ' ', 'g')) as r from r)
-select row, coalesce(nullif(regexp_extract(r, '(?i)\b(?:compulsory|elective)\b\s+(\d{1,2})\b', 1), ''), regexp_extract_all(r, '\b(\d{1,2})\b', 1)[-1])::int as ects from c""")
+# A person's name ends at the question mark behind it, a course's at the end of the question.
+@query(f"""with {SAID_SQL} select conv_id, turn, case k when 18 then 'Jane Doe' end as person,
+  case when k = 5 then lower(regexp_replace(regexp_replace(array_to_string(list_filter(string_split_regex(question, '[ \\n\\t]+'), lambda w: w <> ''), ' ')[21:], '[ ?.!]+$', ''), ' (course|lesson|class)$', '')) end as course from said""")
+def question_details(spark, sf_dir):
+    c = F.col("question")
+    return said(spark, sf_dir).select("conv_id", "turn", q.person(c).alias("person"), q.course(c).alias("course"))
+
+
+# Rows of a course table made of a document's first word and its length; what they are worth follows from the form.
+@query("""select doc_id, case doc_id % 4 when 3 then 7 else n_chars % 30 end::int as ects from documents""")
 def ects_of_rows(spark, sf_dir):
-    return spark.createDataFrame([(r,) for r in _ROWS], "row string").select("row", text.ects_of_row(F.col("row")).alias("ects"))
+    d, word, n, i = table(spark, sf_dir, "documents"), F.regexp_extract(F.coalesce("text", F.lit("")), r"^(\p{L}*)", 1), F.col("n_chars") % 30, F.col("doc_id") % 4
+    row = (
+        F.when(i == 0, F.concat(F.lit("CSE 220 "), word, F.lit(" 3+0+0 Compulsory "), n, F.lit(" Face To Face"))).when(i == 1, F.concat(F.lit("CSE 101 "), word, F.lit("\n4 + 0 + 0  Elective  "), n, F.lit(" 12 weeks")))
+        .when(i == 2, F.concat(F.lit("MED 300 "), word, F.lit(" 2+2+2 "), n, F.lit(" hours"))).otherwise(F.concat(word, F.lit(" 2019 4+0+2 7")))
+    )
+    return d.select("doc_id", text.ects_of_row(row).alias("ects"))
 
 
 @query(f"""select doc_id, regexp_matches({fold_sql("coalesce(text, '')")}, 'tuition|ucret|ogrenim|program\\s+fee|annual\\s+fee|\\busd\\b|\\btry\\b|₺|\\$\\s*[\\d,\\.]+|vat|kdv|yillik|taksit|per\\s+year|/year|scholarship|burs|financial\\s+aid|odeme|payment\\s+plan|pesin') as fee, contains({fold_sql("text")}, 'idiot') as folded_hit,

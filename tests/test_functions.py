@@ -69,6 +69,10 @@ def test_joined_urls(spark, link, want):
 def test_unit_tabs(spark):
     assert of(spark, lambda u: urls.unit_tabs(u, ("/c.aspx",)), "https://h.org/shell?cursunit=6166") == ["https://h.org/c.aspx?curSunit=6166"]
     assert of(spark, lambda u: urls.unit_tabs(u, ("/c.aspx",)), "https://h.org/other") == []
+    tabs = of(spark, lambda u: urls.programme_tabs(u, "/cat/"), "https://h.org/cat/index.aspx?lang=tr&curOp=showPac&curUnit=09&CURSUNIT=6166")
+    assert len(tabs) == len(set(tabs)) == 18 and "https://h.org/cat/progCourses.aspx?lang=en&curSunit=6166" in tabs and tabs[-1].startswith("https://h.org/cat/progContact.aspx?")
+    for other in ("https://h.org/cat/index.aspx?curSunit=6166", "https://h.org/cat/index.aspx?curOp=showPac&curSunit=x1", "https://h.org/cat/index.aspx?curOp=showPac", ""):
+        assert of(spark, lambda u: urls.programme_tabs(u, "/cat/"), other) == []
 
 
 def test_html_records():
