@@ -37,10 +37,12 @@ def _bucket(word: str) -> int:
     return int(hashlib.md5(word.encode()).hexdigest()[:7], 16) % DIMENSION
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def hashed_embedding(texts: pd.Series) -> pd.Series:
-    """Counts of words of four letters or more by the hash of the word, of length 1. A model takes its place behind
-    a function of the same signature. One pass over each text, where an expression would take one for each bucket."""
+def hashing_model():
+    """A model that needs no file: list of texts -> list of vectors, as hashed_embedding gives them."""
+    return _hashed
+
+
+def _hashed(texts) -> list[np.ndarray]:
     known: dict[str, int] = {}
     out = []
     for text in texts:
@@ -52,4 +54,11 @@ def hashed_embedding(texts: pd.Series) -> pd.Series:
             counts[place] += 1
         n = np.sqrt(counts @ counts)
         out.append(counts / n if n else counts)
-    return pd.Series(out)
+    return out
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def hashed_embedding(texts: pd.Series) -> pd.Series:
+    """Counts of words of four letters or more by the hash of the word, of length 1. A model takes its place behind
+    a function of the same signature. One pass over each text, where an expression would take one for each bucket."""
+    return pd.Series(_hashed(texts))

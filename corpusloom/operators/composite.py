@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from corpusloom.functions import questions as q
 from corpusloom.functions import rules, text, urls
@@ -166,3 +169,54 @@ class Breaker:
             except Exception:
                 self.left, self.next = self.left - 1, self.clock() + self.wait
         return None if self.model is None else self.model(*args)
+
+
+class Served:
+    """A model behind a breaker, with the vectors of the texts asked for last (at most so many characters and texts)."""
+
+    def __init__(self, breaker: Breaker, texts: int, chars: int):
+        self.breaker, self.texts, self.chars, self.held, self.kept = breaker, texts, chars, 0, OrderedDict()
+
+    def __call__(self, batch: list[str]) -> list:
+        out = {t: self.kept[t] for t in dict.fromkeys(batch) if t in self.kept}
+        for t in out:
+            self.kept.move_to_end(t)
+        new = [t for t in dict.fromkeys(batch) if t not in out]
+        for at in range(0, len(new), 256):
+            part = new[at : at + 256]
+            found = self.breaker(part)
+            for t, v in zip(part, [None] * len(part) if found is None else found):
+                out[t] = v
+                if v is not None and len(t) <= self.chars:
+                    self.kept[t] = v
+                    self.held += len(t)
+            while len(self.kept) > self.texts or self.held > self.chars:
+                self.held -= len(self.kept.popitem(last=False)[0])
+        return [out[t] for t in batch]
+
+
+#: One model of each name for each worker process, whatever the number of its tasks.
+_SERVED: dict[str, Served] = {}
+
+
+def served(name: str, load: Callable[[], Callable], wait: float = 300.0, attempts: int = 3, texts: int = 20_000, chars: int = 1 << 24) -> Served:
+    if name not in _SERVED:
+        _SERVED[name] = Served(Breaker(load, wait, attempts), texts, chars)
+    return _SERVED[name]
+
+
+def embedder(name: str, load: Callable[[], Callable], failures=None, **options) -> Callable[[Column], Column]:
+    """A column function for embedded_once: load() gives a model (list of texts -> list of vectors) in each worker process when first
+    asked for. While it fails to load the vectors are null, and the accumulator `failures` counts the attempts; tasks go on.
+    options are those of served()."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def embed(batch: pd.Series) -> pd.Series:
+        model = served(name, load, **options)
+        before = model.breaker.left
+        found = model(batch.fillna("").tolist())
+        if failures is not None and model.breaker.left < before:
+            failures.add(before - model.breaker.left)
+        return pd.Series([None if v is None else [float(x) for x in v] for v in found], dtype=object)
+
+    return embed

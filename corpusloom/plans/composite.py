@@ -153,11 +153,13 @@ def direct_answers(spark, sf_dir):
     return d.select("doc_id", answer.alias("a")).select("doc_id", "a.course", "a.status", "a.row")
 
 
-@query("""with w as (select doc_id, md5(text) as key from documents) select key, count(*) as n from w group by key""")
+@query("""with w as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{4,}')) as w from documents), b as (select doc_id, ('0x' || md5(w)[1:7])::bigint % 64 as bucket, count(*)::double as n from w group by all),
+s as (select *, sqrt(sum(n * n) over (partition by doc_id)) as norm from b) select d.doc_id, bucket, round(n / norm, 6) as weight from documents d left join s using (doc_id)""")
 def embedded_once(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = composite.embedded_once(d, "text", vectors.hashed_embedding)
-    return rows.where("size(embedding) > 0").groupBy(F.md5(F.col("text").cast("binary")).alias("key")).agg(F.count("*").alias("n"))
+    rows = composite.embedded_once(d, "text", composite.embedder("hashing", vectors.hashing_model))
+    cells = F.filter(F.transform("embedding", lambda v, i: F.struct(i.cast("long").alias("bucket"), F.round(v, 6).alias("weight"), v.alias("v"))), lambda c: c["v"] > 0)
+    return rows.select("doc_id", F.explode_outer(cells).alias("c")).select("doc_id", "c.bucket", "c.weight")
 
 
 @query(f"""with {CHUNKS_SQL}, {ASKED_SQL}, q as (select query_id, list_distinct(regexp_extract_all(lower(question), '[a-zğüşıöç]{{4,}}')) as terms from asked), t as (select query_id, unnest(terms) as w from q),

@@ -159,6 +159,32 @@ def crawl_levels(spark, sf_dir):
     return crawl.reached(edges, seeds, 4).select("url", F.col("level").cast("long").alias("level"))
 
 
+def _crawl_sql(budget: int, depth: int) -> str:
+    """The levels of a crawl, each as its candidates, their order and those visited before the budget is spent."""
+    out = []
+    for i in range(depth + 1):
+        before = " union all ".join(f"select a, n, page from v{j}" for j in range(i)) or "select 0 as a, 0 as n, false as page where false"
+        named = f"select b as a, min(v.n * 1000 + p) as key from v{i - 1} v join edges e on e.a = v.a where v.page and b not in (select a from ({before})) group by b" if i else "select a, a as key from (values (2), (5), (4)) s(a)"
+        out.append(f"""c{i} as ({named}), o{i} as (select c.a, key, coalesce(page, false) as page, row_number() over (order by key) as m from c{i} c left join fetches using (a)),
+v{i} as (select a, {i} as level, m + (select coalesce(max(n), 0) from ({before})) as n, page from (
+  select *, coalesce(sum(page::int) over (order by m rows between unbounded preceding and 1 preceding), 0) + (select count(*) from ({before}) where page) as spent from o{i}) where spent < {budget})""")
+    return ", ".join(out)
+
+
+@query(f"""with edges as (select distinct user_id as a, length(event_type) as p, (user_id * 7 + length(event_type)) % 150 as b from events),
+fetches as (select distinct user_id as a, user_id % 4 <> 0 and user_id % 7 <> 3 and not (user_id % 3 = 1 and starts_with(user_id::varchar, '1')) as page from events),
+{_crawl_sql(12, 5)} select 'https://h' || a % 3 || '.example.org/u/' || a as url, level::bigint as level, n::bigint as place, page from ({" union all ".join(f"select * from v{i}" for i in range(6))})""")
+def crawl_with_budget(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    address = lambda n: F.concat(F.lit("https://h"), n % 3, F.lit(".example.org/u/"), n)
+    links = e.select(address(F.col("user_id")).alias("url"), F.length("event_type").alias("place"), address((F.col("user_id") * 7 + F.length("event_type")) % 150).alias("link")).distinct()
+    answers = e.select(address(F.col("user_id")).alias("url"), (F.col("user_id") % 4 != 0).alias("ok"), F.when(F.col("user_id") % 7 == 3, "application/pdf").otherwise("text/html; charset=utf-8").alias("content_type")).distinct()
+    rules = spark.createDataFrame([("h1.example.org", "/u/1")], "host string, prefix string")
+    seeds = spark.createDataFrame([(2,), (5,), (4,)], "n long").select(address(F.col("n")).alias("url"), F.col("n").alias("place"))
+    rows = crawl.visited(links, seeds, crawl.fetchable(answers, rules), 5, 12)
+    return rows.select("url", F.col("level").cast("long").alias("level"), "place", "page")
+
+
 @query("""with d as (select distinct lang as shell, 'u' || doc_id as url, text as body from documents), n as (select *, row_number() over (partition by shell order by url) as n from d)
 select shell, md5(string_agg(body[1:8000], chr(10) || chr(10) order by url)) as merged from n where n <= 12 group by shell""")
 def merged_details(spark, sf_dir):

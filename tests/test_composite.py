@@ -90,6 +90,35 @@ def test_breaker():
     assert [gone(1) for _ in range(9)] == [None] * 9 and gone.left == 0
 
 
+def test_served_model_keeps_the_last_texts():
+    asked = []
+
+    def model(texts):
+        asked.extend(texts)
+        return [[float(len(t))] for t in texts]
+
+    one = composite.Served(composite.Breaker(lambda: model), texts=2, chars=10)
+    assert one(["a", "bb", "a"]) == [[1.0], [2.0], [1.0]] and asked == ["a", "bb"]
+    assert one(["a", "ccc"]) == [[1.0], [3.0]] and list(one.kept) == ["a", "ccc"] and one.held == 4
+    assert one(["d" * 11, "bb"]) == [[11.0], [2.0]] and list(one.kept) == ["ccc", "bb"]
+    assert one(["e" * 9]) == [[9.0]] and list(one.kept) == ["e" * 9] and one.held == 9
+    assert one([]) == []
+
+
+def test_embedder_in_workers(spark):
+    rows = spark.createDataFrame([(i, None if i == 3 else f"text {i % 4}") for i in range(40)], "id int, text string").repartition(3)
+    found = {r["id"]: r["embedding"] for r in composite.embedded_once(rows, "text", composite.embedder("lengths", lambda: lambda ts: [[len(t)] for t in ts])).collect()}
+    assert len(found) == 40 and found[3] == [0.0] and found[4] == [6.0]
+
+    def broken():
+        raise OSError("no model here")
+
+    failures = spark.sparkContext.accumulator(0)
+    lost = composite.embedded_once(rows, "text", composite.embedder("broken", broken, failures, wait=0.0, attempts=2)).collect()
+    assert len(lost) == 40 and all(r["embedding"] is None for r in lost)
+    assert failures.value >= 1  # each worker process tries, twice at most
+
+
 def test_enriched_keeps_what_is_better(spark):
     pages = spark.createDataFrame([("a", "old", 1), ("b", None, 2), ("c", "kept", 3)], "url string, title string, n int")
     found = spark.createDataFrame([("a", "new"), ("b", " "), ("c", None), ("d", "other")], "url string, title string")

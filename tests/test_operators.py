@@ -48,6 +48,37 @@ def test_crawl(spark, tmp_path):
     assert crawl.reached(links, spark.createDataFrame([("a",)], "url string"), 5, 2).count() == 2
 
 
+@pytest.mark.parametrize("most", [0, 1, 7, 20])
+def test_crawl_visits_in_the_order_of_a_queue(spark, most):
+    from collections import deque
+
+    r = random.Random(most)
+    links = sorted({(f"p{r.randrange(40)}", at, f"p{r.randrange(60)}") for at in range(4) for _ in range(40)})
+    links = [(u, i, to) for i, (u, _, to) in enumerate(links)]
+    pages = {f"p{n}" for n in range(60) if n % 3}
+    seeds = ["p1", "p2", "p3", "p1"]
+    queue, seen, want, got = deque((u, 0) for u in seeds), set(), [], 0
+    while queue and (not most or got < most):
+        url, level = queue.popleft()
+        if url in seen:
+            continue
+        seen.add(url)
+        want.append((url, level, len(want) + 1, url in pages))
+        if url in pages:
+            got += 1
+            if level < 3:
+                queue.extend((to, level + 1) for u, _, to in links if u == url)
+    fetches = spark.createDataFrame([(u, True) for u in pages], "url string, page boolean")
+    rows = crawl.visited(spark.createDataFrame(links, "url string, place long, link string"), spark.createDataFrame(list(zip(seeds, range(4))), "url string, place int"), fetches, 3, most)
+    assert sorted(map(tuple, rows.collect()), key=lambda x: x[2]) == want
+
+
+def test_fetchable_passes_all_gates(spark):
+    answers = spark.createDataFrame([("https://a.org/x", True, "text/html"), ("https://a.org/no/x", True, "text/html"), ("https://a.org/y", False, "text/html"), ("https://a.org/z", True, "image/png"), ("https://a.org/q", None, None), ("https://b.org/no/x", True, "application/xhtml+xml")], "url string, ok boolean, content_type string")
+    rules_ = spark.createDataFrame([("a.org", "/no/")], "host string, prefix string")
+    assert {r["url"] for r in crawl.fetchable(answers, rules_).collect()} == {"https://a.org/x", "https://b.org/no/x"}
+
+
 def test_nearest_matches_brute_force(spark):
     r = np.random.default_rng(0)
     x, q = r.normal(size=(300, 8)), r.normal(size=(5, 8))
