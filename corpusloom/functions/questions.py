@@ -43,21 +43,40 @@ def course_of(question: str | None) -> str | None:
     return m.group(1).strip().lower() if m else None
 
 
+# A number next to the label, that is no workload (3+0+0) and no total: behind it, before it.
+_BEHIND = r"(?<!total )\b(?:ects|akts)\b[^0-9]{0,%d}(\d{1,2})(?!\s*\+)\b"
+_AHEAD = r"(?<![\d+])\b(\d{1,2})(?!\s*\+)\b[^a-z0-9]{0,%d}\b(?:ects|akts)\b"
+
+
+def _labelled(text: str, gap: int) -> int | None:
+    for form in (_BEHIND, _AHEAD):
+        if m := re.search(form % gap, text, re.I):
+            return int(m.group(1))
+    return None
+
+
 def credits_near(text: str | None, course: str | None, before: int = 900, after: int = 1800) -> int | None:
-    """Credits next to a course's name: in its row (the number after the status), else after a label ECTS that is no
-    total, within a window around the name."""
-    if not text or not course or (at := text.lower().find(course.lower())) < 0:
+    """Credits next to a course's name (or the longest of its words that is there), within a window around it: in its row (three
+    lines) the number after the status, else one behind or before the label ECTS; else the first label within 260 characters of
+    the name; else any in the window."""
+    name = (course or "").strip().lower()
+    if not text or len(name) < 3:
+        return None
+    low = text.lower()
+    words = sorted((w for w in name.split() if len(w) >= 4), key=len, reverse=True)[:2]
+    at = next((i for i in map(low.find, (name, *words)) if i >= 0), -1)
+    if at < 0:
         return None
     window = text[max(0, at - before) : at + after]
-    place = window.lower().find(course.lower())
-    rows = window[place:].split("\n")
-    row = re.sub(r"\b\d+\s*\+\s*\d+\s*\+\s*\d+\b", " ", " ".join(rows[:3]))
-    if m := re.search(r"\b(?:compulsory|elective)\b\s+(\d{1,2})\b", row, re.I):
+    lines = [line for line in map(str.strip, window.splitlines()) if line]
+    first = next((i for i, line in enumerate(lines) if name in line.lower()), None)
+    row = " ".join(lines if first is None else lines[first : first + 3])
+    if first is not None and (m := re.search(r"\b(?:compulsory|elective)\b\s+(\d{1,2})\b", _WORKLOAD.sub(" ", row), re.I)):
         return int(m.group(1))
-    for m in re.finditer(r"(total\s+)?\b(?:ects|akts)\b\D{0,12}?(\d{1,2})\b", window[place:], re.I):
-        if not m.group(1):
-            return int(m.group(2))
-    return None
+    found = _labelled(row, 12)
+    if found is None and (m := re.search(re.escape(name) + r"[\s\S]{0,260}?" + _BEHIND % 20, window, re.I)):
+        found = int(m.group(1))
+    return _labelled(window, 20) if found is None else found
 
 
 def course_row(text: str | None, course: str | None) -> tuple[str, int] | None:

@@ -121,14 +121,19 @@ def catalogue_url(link: Column, base: Column, host_: str, marker: str, detail: s
     return F.when(usable & url.rlike("(?i)^https?://") & (host(url) == host_) & inside, url).otherwise(F.lit(""))
 
 
-def mined(html: Column, base: Column, host_: str, marker: str, detail: str = "showpac", kind: str = "aspx") -> Column:
+def mined(html: Column, base: Column, host_: str, marker: str, detail: str = "showpac", kind: str = "aspx", chooser: str = "unitSelection") -> Column:
     """Catalogue addresses that stand anywhere in a page's source, also in scripts: (url, is_detail), each once. Words that hold
-    the detail's name, and page names of the kind with a query, are resolved against the catalogue's folder; the start page is none."""
+    the detail's name, whole addresses of pages of the kind, names of such pages with a query (behind quotes, brackets or an equals
+    sign too) and words that name the page where units are chosen, resolved against the catalogue's folder; the start page is none."""
     folder = F.lit(f"https://{host_}{marker}")
     clean = F.replace(F.coalesce(html, F.lit("")), F.lit("&amp;"), F.lit("&"))
-    words = lambda inner: F.regexp_extract_all(clean, F.lit(rf"(?i)([^\s\"'<>]*{inner}[^\s\"'<>]*)"), F.lit(1))
-    details = F.filter(words(detail), lambda w: (F.length(w) >= 8) & ~w.rlike("(?i)^javascript"))
-    pages = F.filter(words(rf"\.{kind}"), lambda w: ~w.rlike(rf"(?i)(^|/)program\.{kind}") & ~F.contains(F.lower(w), F.lit(detail)) & (F.contains(w, F.lit("?")) | w.rlike("(?i)^https?:")))
+    words = lambda text, pattern: F.regexp_extract_all(text, F.lit(rf"(?i)({pattern})"), F.lit(1))
+    any_ = r"[^\s\"'<>]*"
+    details = F.filter(words(clean, any_ + detail + any_), lambda w: (F.length(w) >= 8) & ~w.rlike("(?i)^javascript"))
+    whole = words(clean, rf"https?://{any_}\.{kind}{any_}")
+    rest = F.regexp_replace(clean, rf"(?i)https?://{any_}", " ")
+    names = words(rest, rf"(?<![A-Za-z0-9_./-])/*(?:[A-Za-z0-9_.-]+/)*[A-Za-z][A-Za-z0-9_-]*\.{kind}\?[^\s\"'<>)]+")
+    pages = F.filter(F.concat(whole, names, words(rest, rf"[^\s\"'<>(=]*{chooser}\.{kind}{any_}")), lambda w: ~w.rlike(rf"(?i)(^|/)program\.{kind}") & ~F.contains(F.lower(w), F.lit(detail)))
     found = lambda ws, is_detail: F.transform(ws, lambda w: F.struct(catalogue_url(w, folder, host_, marker, detail).alias("url"), F.lit(is_detail).alias("is_detail")))
     return F.array_distinct(F.filter(F.concat(found(details, True), found(pages, False)), lambda x: x["url"] != ""))
 

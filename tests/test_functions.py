@@ -114,6 +114,22 @@ def test_credits(spark):
     table = "CSE 220 Web Programming 3+0+0 Compulsory 6 Face To Face\nCSE 221 Networks 3+0+0 Compulsory 5\nTotal ECTS 30"
     assert questions.credits_near(table, "web programming") == 6 and questions.credits_near(table, "chemistry") is None
     assert questions.credits_near("Web Programming\n\n\n\nTotal ECTS 30", "web programming") is None
+    near = questions.credits_near
+    assert near("Algebra 6 ECTS", "algebra") == 6 and near("Algebra 3+0+0 5 (ECTS)", "algebra") == 5 and near("Algebra 3+0+4 ECTS", "algebra") is None
+    assert near("Algebra " + "x " * 100 + "\n\n" + "y\n" * 4 + "ECTS: 7", "algebra") == 7 and near("ECTS - 4\n" * 1 + "a\nb\nc\nAlgebra", "algebra") == 4
+    assert near("Introduction to Algebra ECTS 8", "linear algebra") == 8 and near("ECTS 3+0 then", "ects") is None and near("", "a") is None and near(None, None) is None
+    assert near("Algebra " + "x" * 3000 + " ECTS 5", "algebra") is None
+
+
+def test_addresses_are_found_wherever_they_stand(spark):
+    base, root = "https://courses.example.edu/catalogue/index.aspx?lang=en", "https://courses.example.edu/catalogue/"
+    mined = lambda source: {r["url"].removeprefix(root): r["is_detail"] for r in of(spark, lambda h: urls.mined(h, F.lit(base), "courses.example.edu", "/catalogue/"), source)}
+    assert mined("foo progCourses.aspx?lang=en&amp;curSunit=62 bar progAbout.aspx?curSunit=6") == {"progCourses.aspx?lang=en&curSunit=62": False, "progAbout.aspx?curSunit=6": False}
+    assert mined("x https://courses.example.edu/catalogue/progCourses.aspx?u=9 https://courses.example.edu/catalogue/OtherTool.aspx") == {"progCourses.aspx?u=9": False, "OtherTool.aspx": False}
+    assert mined("program.aspx?x=1 https://courses.example.edu/catalogue/program.aspx?x=1 https://other.org/catalogue/x.aspx?b=2 /elsewhere/x.aspx?a=1") == {}
+    assert mined("<a href=facNewType.aspx?u=1>x</a> onclick=go(dynConPage.aspx?u=2) '/catalogue/unitSelection.aspx' unitSelection.aspx?type=lis") == {"facNewType.aspx?u=1": False, "dynConPage.aspx?u=2": False, "unitSelection.aspx": False, "unitSelection.aspx?type=lis": False}
+    assert mined("go('index.aspx?curOp=showPac&amp;u=1') //courses.example.edu/catalogue/index.aspx?curOp=SHOWPAC&u=2 showPac javascript:showPac(1)") == {"index.aspx?curOp=showPac&u=1": True, "index.aspx?curOp=SHOWPAC&u=2": True}
+    assert mined("") == {} and mined(None) == {}
     assert questions.course_of("What is the semester and ECTS of Web Programming?") == "web programming"
 
 
