@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from corpusloom.functions import urls
+from corpusloom.functions import chunking, urls
 from corpusloom.operators import index
 from corpusloom.plans.common import registry, table
+from corpusloom.scratch import ready_checkpoints
+from corpusloom.streaming import upkeep
 
 QUERIES, query = registry()
 
@@ -141,3 +145,16 @@ def fallback_lookup(spark, sf_dir):
     x = li.where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.sum("l_quantity"), 4).alias("x"))
     y = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(-F.sum("l_quantity"), 4).alias("y"))
     return o.select("o_orderkey").join(x, "o_orderkey", "left").join(y, "o_orderkey", "left").select("o_orderkey", F.coalesce("x", "y", F.lit(0.0)).alias("amount"))
+
+
+# All documents come first; then every one again, of which a tenth has changed: version 2 stands at their chunks alone.
+@query("""with d as (select doc_id, case when doc_id % 10 = 0 then 2 else 1 end::bigint as version, trim(regexp_replace(case when doc_id % 10 = 0 then 'Changed. ' else '' end || coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as c from documents)
+select 'd' || doc_id as url, version, i::bigint as chunk_index, trim(c[i * 580 + 1:i * 580 + 700]) as chunk from (select doc_id, version, c, unnest(range(0, (greatest(0, ceil((length(c) - 700) / 580.0)) + 1)::bigint)) as i from d where c <> '') where trim(c[i * 580 + 1:i * 580 + 700]) <> ''""")
+def chunks_kept_current(spark, sf_dir):
+    root = f"{ready_checkpoints(spark).rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
+    for version in (1, 2):
+        prefix = F.when(F.lit(version == 2) & (F.col("doc_id") % 10 == 0), "Changed. ").otherwise("")
+        pages = stream.select(F.concat(F.lit("d"), "doc_id").alias("url"), F.concat(prefix, F.coalesce("text", F.lit(""))).alias("content"), F.lit(version).cast("long").alias("version"))
+        upkeep.followed(pages, f"{root}/table", f"{root}/state{version}", chunking.fixed_windows, 16).awaitTermination()
+    return upkeep.chunk_rows(spark, f"{root}/table").select("url", "version", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk")
