@@ -5,6 +5,7 @@ Turkish letters), so that word boundaries mean the same in every engine."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -102,9 +103,9 @@ class Site:
     preferred: tuple[tuple[str, str], ...] = ()
 
 
-def has(text: Column, pattern: str) -> Column:
-    """Whether a pattern of this module occurs in the folded text."""
-    return fold(F.coalesce(text, F.lit(""))).rlike(pattern)
+def has(text: Column, pattern: str, low: Callable[[Column], Column] = fold) -> Column:
+    """Whether a pattern of this module occurs in the folded text (or what else low makes of it)."""
+    return low(F.coalesce(text, F.lit(""))).rlike(pattern)
 
 
 def intent(question: Column, name: str) -> Column:
@@ -196,10 +197,10 @@ def gate(message: Column, site: Site = Site()) -> Column:
     return F.when(small_talk(message), "small_talk").when(off_topic(message, site), "off_topic").otherwise("retrieve")
 
 
-def fee_grounded(url: Column, title: Column, content: Column) -> Column:
+def fee_grounded(url: Column, title: Column, content: Column, low: Callable[[Column], Column] = fold) -> Column:
     head = F.concat_ws("\n", F.coalesce(url, F.lit("")), F.coalesce(title, F.lit("")))
     whole = F.substring(F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(content, F.lit(""))), 1, 80_000)
-    return has(head, FEE_HINT) | has(whole, FEE_EVIDENCE)
+    return has(head, FEE_HINT, low) | has(whole, FEE_EVIDENCE, low)
 
 
 def name_in(content: Column, name: Column) -> Column:

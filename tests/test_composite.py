@@ -130,3 +130,9 @@ def test_enriched_has_a_row_for_each_fetch(spark):
     found = spark.createDataFrame([("a", "one"), ("a", " "), ("a", "two")], "url string, title string")
     got = sorted(tuple(r) for r in composite.enriched(pages, found, ("title",)).collect())
     assert got == [("a", "", 2), ("a", "old", 1), ("a", "one", 1), ("a", "one", 2), ("a", "two", 1), ("a", "two", 2), ("b", "kept", 3)]
+
+
+def test_evidence_is_not_found_in_folded_words(spark):
+    rows = [(1, "what is the tuition fee", "eine bürste"), (2, "what is the tuition fee", "burs"), (3, "scholarship fee", "die bürs"), (4, "scholarship fee", "BURS")]
+    rows = spark.createDataFrame([(*r, "u", "t") for r in rows], "query_id long, question string, content string, source_url string, page_title string")
+    assert {r["query_id"] for r in composite.grounded(rows).collect()} == {2, 4}
