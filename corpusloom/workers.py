@@ -8,11 +8,17 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Bytes of an Arrow batch (one more row may follow): with long texts 10,000 rows of them are too many for a worker.
+BATCH_BYTES = 4 << 20
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Once for each application: operators with Python functions need it on clusters that do not install the package."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:  # a lower bound that is set stays
+        spark.conf.set(name, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         package = Path(__file__).resolve().parent

@@ -372,3 +372,12 @@ def test_hints_of_entities_meet_candidates_without_a_shuffle(spark):
     found = retrieval.with_units(rows, hints)
     assert "Exchange hashpartitioning(_key" not in found._jdf.queryExecution().executedPlan().toString() and "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
     assert {(tuple(r["units"]), tuple(r["sub_units"])) for r in found.collect()} == {(("31",), ("7001",))}
+
+
+def test_queries_send_small_batches_to_workers(spark):
+    from corpusloom import workers
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, str(1 << 28))
+    workers.ship(spark)
+    assert int(spark.conf.get(name)) == workers.BATCH_BYTES and retrieval.CELLS * 8 <= workers.BATCH_BYTES
