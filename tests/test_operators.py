@@ -381,3 +381,9 @@ def test_queries_send_small_batches_to_workers(spark):
     spark.conf.set(name, str(1 << 28))
     workers.ship(spark)
     assert int(spark.conf.get(name)) == workers.BATCH_BYTES and retrieval.CELLS * 8 <= workers.BATCH_BYTES
+
+
+def test_words_of_a_chunk_are_counted_in_one_pass(spark):
+    rows = spark.createDataFrame([(1, "Über über İki the THE the ab", "The End"), (2, None, "only title"), (3, "x", None)], "chunk_id long, content string, page_title string")
+    got = {r["chunk_id"]: (r["size"], {w["term"]: (w["tf"], w["more"]) for w in r["words"]}) for r in retrieval._counted(rows, "content", "page_title").collect()}
+    assert got == {1: (6, {"über": (2, 0), "iki": (1, 0), "the": (3, 1), "end": (0, 1)}), 2: (0, {"only": (0, 1), "title": (0, 1)}), 3: (0, {})}
