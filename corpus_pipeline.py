@@ -62,5 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, mark = table(spark, sf_dir, "documents"), scratch_mark()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", "zstd")
-        cleared(mark, keep=docs)  # a stage's own tables, and its predecessor's result
+        cleared(mark, docs)  # a stage's own tables, and its predecessor's result
     return STAGES[-1][1](spark, docs, sf_dir)

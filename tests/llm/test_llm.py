@@ -720,3 +720,15 @@ def test_sql_of_urls(spark):
     for rows in ([(1, 0, 0), (2, 1, 0), (3, 0, 1), (4, 1, 0), (None, 0, 0), (2, None, None)], []):
         labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
         same_rows(url_filter.judge(pages, labels), oracle.url_judge(), {"pages": pages, "labels": labels})
+
+
+def test_a_join_leaves_only_what_its_result_reads(spark):
+    from corpusloom.llm import common
+
+    rows = [(i, " ".join(f"w{(i // 40) * 1000 + k}" for k in range(60)) + f" end{i}", "en", "a", 1) for i in range(120)] + [(500 + i, f"alone{i} text{i} of{i} its{i} own{i}", "en", "a", 1) for i in range(10)]
+    mark = common.scratch_mark()
+    found = jaccard_join.classes(docs(spark, rows), n=3, percent=90)
+    left = {path.rsplit("/", 1)[1] for _, path in common._scratch[mark:]}
+    assert left == {"join-classed", "edges"} and len(common._scratch) - mark == 2
+    got = {r["doc_id"]: r["component_id"] for r in found.collect()}
+    assert all(got[i] == i // 40 * 40 for i in range(120)) and all(got[500 + i] == 500 + i for i in range(10))
