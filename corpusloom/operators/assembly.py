@@ -2,8 +2,10 @@
 
 Questions are rows; their candidates, page blocks and course tabs meet them by equi-joins on query_id and address. Everything that
 does not depend on what was taken before (intents, evidence, which part of a text would be shown) is worked out in columns first.
-What does depend on it is a fold over a question's candidates in order, one expression over an array of a few hundred items
-at most; its state holds the characters used, how often each address was taken, the chunks and tabs taken and the pinned unit."""
+What does depend on it is a fold over a question's candidates in order, one expression over an array of items that tell how much
+a candidate would show, but hold no texts; its state holds the characters used, how often each address was taken, the chunks and
+tabs taken and the pinned unit. Texts are cut for what was taken only. A whole tab is looked through once for each question that
+meets it, however many of its chunks are candidates."""
 
 from __future__ import annotations
 
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import questions as q
 from corpusloom.functions import rules, text, urls
 from corpusloom.operators.retrieval import SNIPPET_CHARS
+from corpusloom.scratch import stored
 
 # Lists of candidates in their order, the distance that stands in for a measured one, how many of each
 # question's count (none: all that are given), the intent that a list needs, the one that rules it out.
@@ -130,25 +133,55 @@ def _window(x: Column, size: Column) -> Column:
     return F.substring(x["part"], F.when(x["middle"] >= 0, start).otherwise(0) + 1, size)
 
 
-def prepared(candidates: DataFrame, questions: DataFrame, tabs: DataFrame, site: rules.Site = rules.Site(), limits: Limits = Limits()) -> DataFrame:
+def _told(questions: DataFrame) -> DataFrame:
+    """questions with what is looked for in candidates: intents, entity, needles of course tables and anchors."""
+    anchors = F.filter(F.concat(q.fee_anchors(F.col("question")), q.department_anchors(F.col("question"))), lambda a: F.length(a) >= 4)
+    return asked(questions).withColumns({"_needles": table_needles(F.col("question")), "_anchors": F.when(F.col("is_.fee"), anchors), "_ects": F.contains(F.lower(F.coalesce("question", F.lit(""))), F.lit("ects"))})
+
+
+def _table_part(body: Column, most: Column | int) -> Column:
+    """What can be shown of a table of courses: around the course that is asked for, else around the first needle."""
+    course = F.when(F.contains(F.lower(body), F.lower("course")), F.lower("course")).when(F.col("_ects") & F.contains(F.lower(body), F.lit("course code")), "course code")
+    needle = F.coalesce(course, first_needle(body, F.col("_needles")))
+    return text.once(needle, lambda n: _around(body, n, F.lit(most)))
+
+
+def whole_tabs(candidates: DataFrame, questions: DataFrame, tabs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Tabs that questions about a curriculum meet, each once for a question: query_id, source_url, held (names of entities in the
+    tab), part and middle (what it would show), n (characters of that)."""
+    told = _told(questions).where(F.col("is_.catalogue") & F.col("is_.curriculum"))
+    met = candidates.where(rules.has(F.col("source_url"), TAB)).select("query_id", "source_url").join(told.select("query_id"), "query_id", "left_semi").distinct()
+    names = F.array(*[F.lit(n) for of in rules.ENTITIES.values() for n in of])
+    long = tabs.where(F.length(F.trim("merged")) >= limits.least_tab)
+    rows = long.join(met, "source_url").join(told, "query_id")
+    held = F.when(F.col("is_.entity").isNotNull(), text.once(text.fold(F.col("merged")), lambda low: F.filter(names, lambda n: F.contains(low, n))))
+    rows = rows.select("query_id", "source_url", held.alias("held"), _table_part(F.col("merged"), limits.tab).alias("x"))
+    return rows.select("query_id", "source_url", "held", F.col("x.part").alias("part"), F.col("x.middle").alias("middle"), F.length("x.part").alias("n"))
+
+
+def _mark() -> Column:
+    """What tells the texts of a question's candidates apart: with it and the question goes what is shown."""
+    return F.xxhash64("source_url", "content")
+
+
+def prepared(candidates: DataFrame, questions: DataFrame, whole: DataFrame, site: rules.Site = rules.Site(), limits: Limits = Limits()) -> DataFrame:
     """candidates: query_id, origin (0: pinned tabs, 1: in order, 2: pool to fill up from), place, chunk_id, source_url, page_title,
     content, distance, state (what the address tells of the asked entity's units; null: nothing); questions: query_id, question,
-    name (of a person), course (whose credits are asked for); tabs: source_url, merged. query_id, origin and item: what a candidate
-    would show, and whether it has the evidence that the question asks for and may be shown at all."""
-    anchors = F.filter(F.concat(q.fee_anchors(F.col("question")), q.department_anchors(F.col("question"))), lambda a: F.length(a) >= 4)
-    told = asked(questions).withColumns({"_needles": table_needles(F.col("question")), "_anchors": F.when(F.col("is_.fee"), anchors), "_ects": F.contains(F.lower(F.coalesce("question", F.lit(""))), F.lit("ects"))})
-    rows = candidates.join(told, "query_id").join(tabs, "source_url", "left")
+    name (of a person), course (whose credits are asked for); whole as whole_tabs() gives it. query_id, origin, mark, item: how much a candidate would show, and whether it has the evidence that the question asks for and may be shown at all; part
+    and middle: what it would show."""
+    met = whole.select("query_id", "source_url", F.lit(True).alias("_whole"), "held", F.col("part").alias("_part"), F.col("middle").alias("_middle"), F.col("n").alias("_n"))
+    rows = candidates.withColumn("mark", _mark()).join(_told(questions), "query_id").join(met, ["query_id", "source_url"], "left").withColumn("_whole", F.col("_whole").isNotNull())
     i = lambda n: F.col(f"is_.{n}")
     rows = rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("source_url", "page_title", "content")})
     url, title, raw = F.col("source_url"), F.col("page_title"), F.col("content")
     catalogued, detail = rules.has(url, site.catalogue), rules.has(url, site.detail)
     curriculum = i("catalogue") & i("curriculum")
     on_tab = curriculum & rules.has(url, TAB)
-    whole = on_tab & (F.length(F.trim(F.coalesce("merged", F.lit("")))) >= limits.least_tab)
-    rows = rows.withColumns({"_body": F.when(whole, F.col("merged")).otherwise(raw), "_whole": whole, "_tab": on_tab, "_detail": detail, "_in": catalogued})
+    rows = rows.withColumns({"_tab": on_tab, "_detail": detail, "_in": catalogued})
     # evidence: names of the entity and of its competitors, in what would be shown
-    blob = text.fold(F.concat_ws("\n", title, "_body", url))
-    names = text.once(blob, lambda low: F.struct(*[F.size(F.filter(of(i("entity")), lambda n: F.contains(low, n))).alias(k) for k, of in (("own", rules.aliases), ("other", rules.competitors))]))
+    blob = text.fold(F.concat_ws("\n", title, F.when(F.col("_whole"), "").otherwise(raw), url))
+    found = lambda low, n: F.contains(low, n) | F.coalesce(F.array_contains("held", n), F.lit(False))
+    names = text.once(blob, lambda low: F.struct(*[F.size(F.filter(of(i("entity")), lambda n: found(low, n))).alias(k) for k, of in (("own", rules.aliases), ("other", rules.competitors))]))
     rows = rows.withColumn("_names", F.when(i("entity").isNotNull(), names))
     own, other, some = F.col("_names.own"), F.col("_names.other"), i("entity").isNotNull()
     of_entity = F.when(~F.col("_in"), False).when(F.col("_detail"), F.coalesce(F.col("state"), F.lit(True)) | (own > 0)).otherwise(own > 0)
@@ -159,26 +192,29 @@ def prepared(candidates: DataFrame, questions: DataFrame, tabs: DataFrame, site:
     named = F.col("name").isNotNull() & rules.name_in(raw, F.col("name"))
     rows = rows.withColumns({"_named": named, "_of_fee": held(F.col("_anchors")), "_abroad": F.when(~i("fee") & i("international"), held(F.array(*map(F.lit, INTERNATIONAL_ANCHORS))))})
     tabbed = F.col("_tab") & ~F.col("_named") & ~i("fee") & ~i("international")
-    course = F.when(F.contains(F.lower("_body"), F.lower("course")), F.lower("course")).when(F.col("_ects") & F.contains(F.lower("_body"), F.lit("course code")), "course code")
-    rows = rows.withColumns({"_tabbed": tabbed, "_needle": F.when(tabbed, F.coalesce(course, first_needle(F.col("_body"), F.col("_needles"))))})
+    rows = rows.withColumn("_tabbed", tabbed)
     plain = lambda part: F.struct(part.alias("part"), F.lit(-1).alias("middle"))
     cut = lambda phrase: plain(text.snippet(raw, phrase, limits.snippet))
     phrase = F.when(F.col("_named"), F.col("name")).otherwise(F.coalesce("_of_fee", "_abroad"))
     begins = plain(F.substring(raw, 1, limits.snippet))
     most = F.when(F.col("_whole"), limits.tab).otherwise(limits.course)
-    rows = rows.withColumns({"_phrase": phrase, "_most": most})
-    shown = F.when(F.col("_tabbed"), _around(F.col("_body"), F.col("_needle"), F.col("_most"))).when(F.col("_phrase").isNotNull(), cut(F.col("_phrase"))).otherwise(begins)
+    rows = rows.withColumns({"_phrase": phrase, "_most": most, "_tab_whole": F.col("_tabbed") & F.col("_whole")})
+    shown = F.when(F.col("_tabbed"), _table_part(raw, limits.course)).when(F.col("_phrase").isNotNull(), cut(F.col("_phrase"))).otherwise(begins)
+    rows = rows.withColumn("shown", F.when(~F.col("_tab_whole"), shown))  # none where a whole tab is shown
     unit = F.when(curriculum & ~i("multi_shell") & F.col("_detail"), F.nullif(F.trim(urls.parameter(url, "curSunit")), F.lit("")))
     item = F.struct(
         F.col("place").cast("int").alias("place"), F.col("chunk_id").cast("long").alias("chunk_id"), url.alias("url"), F.when(title != "", title).otherwise(url).alias("title"), F.col("distance").cast("double").alias("distance"),
-        F.col("shown.part").alias("part"), F.col("shown.middle").alias("middle"), F.when(F.col("_tabbed"), F.col("_most")).alias("most"), F.col("_whole").alias("whole"), unit.alias("unit"), rules.has(url, TAB).alias("pins"), (F.col("_in") & F.col("_detail")).alias("detail"),
-        grounded.alias("grounded"), allowed.alias("allowed"),
+        F.when(F.col("_tab_whole"), F.col("_n")).otherwise(F.length("shown.part")).alias("n"), F.when(F.col("_tabbed"), F.col("_most")).alias("most"), F.col("_whole").alias("whole"), unit.alias("unit"), rules.has(url, TAB).alias("pins"), (F.col("_in") & F.col("_detail")).alias("detail"),
+        F.coalesce(grounded, F.lit(False)).alias("grounded"), F.coalesce(allowed, F.lit(False)).alias("allowed"), F.col("mark"),
+    )
+    return rows.select(
+        "query_id", F.col("origin").cast("int").alias("origin"), "mark", item.alias("item"),
+        *[F.when(F.col("_tab_whole"), F.col(f"_{c}")).otherwise(F.col(f"shown.{c}")).alias(c) for c in ("part", "middle")],
     )
-    return rows.withColumn("shown", shown).select("query_id", F.col("origin").cast("int").alias("origin"), item.alias("item"))
 
 
 _SOURCE = "struct<url:string,title:string,distance:double>"
-_STATE = f"struct<used:int,pin:string,urls:array<string>,ids:array<bigint>,tabs:array<string>,parts:array<string>,sources:array<{_SOURCE}>,detail:boolean>"
+_STATE = f"struct<used:int,pin:string,urls:array<string>,ids:array<bigint>,tabs:array<string>,taken:array<struct<mark:bigint,title:string,size:int>>,sources:array<{_SOURCE}>,detail:boolean>"
 
 
 def _taken(acc: Column, x: Column, budget: Column, per_url: Column, skipped: Column, limits: Limits) -> Column:
@@ -187,15 +223,15 @@ def _taken(acc: Column, x: Column, budget: Column, per_url: Column, skipped: Col
     open_ = (left > 0) & x["grounded"] & ~F.array_contains(acc["ids"], x["chunk_id"])
     pin = F.when(open_ & x["pins"], F.coalesce(acc["pin"], x["unit"])).otherwise(acc["pin"])
     same = x["unit"].isNull() | acc["pin"].isNull() | (x["unit"] == acc["pin"])
-    size = F.least(F.length(x["part"]), F.when(x["most"].isNull(), F.length(x["part"])).otherwise(F.least(x["most"], F.greatest(F.lit(limits.least_course), left - limits.reserve))))
+    size = F.least(x["n"], F.when(x["most"].isNull(), x["n"]).otherwise(F.least(x["most"], F.greatest(F.lit(limits.least_course), left - limits.reserve))))
     often = F.size(F.filter(acc["urls"], lambda u: u == x["url"]))
     fits = open_ & x["allowed"] & same & ~F.array_contains(skipped, x["url"]) & (often < per_url) & ~(x["whole"] & F.array_contains(acc["tabs"], x["url"])) & (size <= left)
     source = F.struct(x["url"].alias("url"), F.substring(x["title"], 1, 200).alias("title"), F.round(x["distance"], 4).alias("distance"))
     more = lambda name, value: F.concat(acc[name], F.array(value))
-    state = lambda used, urls_, ids, tabs, parts, sources, detail: F.struct(used.alias("used"), pin.alias("pin"), urls_.alias("urls"), ids.alias("ids"), tabs.alias("tabs"), parts.alias("parts"), sources.alias("sources"), detail.alias("detail")).cast(_STATE)
-    part = F.concat(F.lit("["), x["title"], F.lit("]\n"), _window(x, size))
-    yes = state(acc["used"] + size, more("urls", x["url"]), more("ids", x["chunk_id"]), F.when(x["whole"], more("tabs", x["url"])).otherwise(acc["tabs"]), more("parts", part), more("sources", source), acc["detail"] | x["detail"])
-    no = state(*[acc[n] for n in ("used", "urls", "ids", "tabs", "parts", "sources", "detail")])
+    state = lambda used, urls_, ids, tabs, taken, sources, detail: F.struct(used.alias("used"), pin.alias("pin"), urls_.alias("urls"), ids.alias("ids"), tabs.alias("tabs"), taken.alias("taken"), sources.alias("sources"), detail.alias("detail")).cast(_STATE)
+    one = F.struct(x["mark"].alias("mark"), x["title"].alias("title"), size.cast("int").alias("size"))
+    yes = state(acc["used"] + size, more("urls", x["url"]), more("ids", x["chunk_id"]), F.when(x["whole"], more("tabs", x["url"])).otherwise(acc["tabs"]), more("taken", one), more("sources", source), acc["detail"] | x["detail"])
+    no = state(*[acc[n] for n in ("used", "urls", "ids", "tabs", "taken", "sources", "detail")])
     return F.when(fits, yes).otherwise(no)
 
 
@@ -207,7 +243,7 @@ def contexts(questions: DataFrame, candidates: DataFrame, blocks: DataFrame, tab
     """One row for each question: query_id, context, sources (url, title, distance), context_chars (of chunks), chunk_ids, alone (the
     block that is the whole context, if any).
 
-    questions, candidates and tabs as prepared() takes them; blocks: query_id, kind (of BLOCKS), block, sources; fallback: query_id, place,
+    questions and candidates as prepared() takes them; tabs: source_url, merged; blocks: query_id, kind (of BLOCKS), block, sources; fallback: query_id, place,
     chunk_id, source_url, page_title, content, distance (course pages for questions that found none of their own).
 
     A roster (for questions about staff that name no person and no fees), else the pages of the management (no fees), else those
@@ -217,7 +253,10 @@ def contexts(questions: DataFrame, candidates: DataFrame, blocks: DataFrame, tab
     left. Course questions without a source that shows a programme's details get the fallback. Blocks go in front."""
     own = asked(questions).select("query_id", "is_", "name")
     kinds = blocks.where(F.length(F.coalesce("block", F.lit(""))) > 0).groupBy("query_id").agg(*[F.min(F.when(F.col("kind") == k, F.struct("block", F.col("sources").cast(f"array<{_SOURCE}>").alias("sources")))).alias(k) for k in BLOCKS])
-    items = prepared(candidates, questions, tabs, site, limits).groupBy("query_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("origin") == n, F.col("item")))).alias(name) for n, name in enumerate(("pinned", "ordered", "pool"))])
+    whole = stored(whole_tabs(candidates, questions, tabs, limits), "tabs")
+    told = prepared(candidates, questions, whole, site, limits).select("query_id", "origin", "item")
+    told = told.where((F.col("origin") == 2) | (F.col("item.grounded") & (F.col("item.allowed") | F.col("item.pins"))))  # others change nothing
+    items = told.groupBy("query_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("origin") == n, F.col("item")))).alias(name) for n, name in enumerate(("pinned", "ordered", "pool"))])
     last = fallback.where(F.length(F.coalesce("content", F.lit(""))) > 0).select(
         "query_id",
         F.struct(F.col("place").cast("int").alias("place"), F.col("chunk_id").cast("long").alias("chunk_id"), F.col("source_url").alias("url"), F.coalesce(F.nullif(F.col("page_title"), F.lit("")), F.col("source_url")).alias("title"), F.substring("content", 1, limits.snippet).alias("part"), F.col("distance").cast("double").alias("distance"),
@@ -238,7 +277,7 @@ def contexts(questions: DataFrame, candidates: DataFrame, blocks: DataFrame, tab
         "head": F.when(F.length("course_row.block") <= budget, F.col("course_row.block")),
     })
     strings = F.array().cast("array<string>")
-    first = F.struct(F.coalesce(F.length("head"), F.lit(0)).alias("used"), F.lit(None).cast("string").alias("pin"), strings.alias("urls"), F.array().cast("array<bigint>").alias("ids"), strings.alias("tabs"), F.when(has("head"), F.array("head")).otherwise(strings).alias("parts"), none.alias("sources"), F.lit(False).alias("detail")).cast(_STATE)
+    first = F.struct(F.coalesce(F.length("head"), F.lit(0)).alias("used"), F.lit(None).cast("string").alias("pin"), strings.alias("urls"), F.array().cast("array<bigint>").alias("ids"), strings.alias("tabs"), F.array().alias("taken"), none.alias("sources"), F.lit(False).alias("detail")).cast(_STATE)
     step = lambda acc, x: _taken(acc, x, F.col("budget"), F.col("per_url"), F.col("skipped"), limits)
     empty = lambda name, kind: F.coalesce(F.col(name), F.array().cast(kind))
     kind = rows.schema["ordered"].dataType
@@ -248,11 +287,19 @@ def contexts(questions: DataFrame, candidates: DataFrame, blocks: DataFrame, tab
     nearest = F.transform(F.array_sort(F.transform(pool, lambda x: F.struct(x["distance"].alias("d"), x["chunk_id"].alias("id"), x.alias("x")))), lambda y: y["x"])
     rows = rows.withColumn("a", F.aggregate(nearest, F.col("a"), step))
     # course questions that found nothing of a programme
-    bare = i("catalogue") & ((F.size("a.parts") == 0) | ~F.col("a.detail"))
+    bare = i("catalogue") & ~F.col("a.detail")
     late = F.filter(empty("last", rows.schema["last"].dataType), lambda x: x["unit"].isNull() | F.col("a.pin").isNull() | (x["unit"] == F.col("a.pin")))
     late = F.when(bare, late).otherwise(F.slice(late, 1, 0))
-    rows = rows.withColumn("late", late)
-    parts = F.concat("a.parts", F.transform("late", lambda x: F.concat(F.lit("["), x["title"], F.lit("]\n"), x["part"])))
+    rows = rows.withColumn("late", late).drop("pinned", "ordered", "pool", "last")
+    # texts of what was taken: few rows, so that those of the candidates stay where they are
+    rows = stored(rows, "taken")
+    taken = rows.select("query_id", F.posexplode("a.taken").alias("at", "x")).select("query_id", F.col("x.mark").alias("mark"), "at", F.col("x.title").alias("title"), F.col("x.size").alias("size"))
+    few = candidates.withColumn("_m", _mark()).join(taken.select("query_id", F.col("mark").alias("_m")), ["query_id", "_m"], "left_semi").drop("_m")
+    shown = prepared(few, questions, whole, site, limits).select("query_id", "mark", F.struct("part", "middle").alias("x"))
+    cut = shown.join(taken, ["query_id", "mark"]).select("query_id", F.struct("at", F.concat(F.lit("["), "title", F.lit("]\n"), _window(F.col("x"), F.col("size"))).alias("part")).alias("p"))
+    rows = rows.join(cut.groupBy("query_id").agg(F.array_sort(F.collect_set("p")).alias("parts")), "query_id", "left")
+    head = F.when(has("head"), F.array("head")).otherwise(strings)
+    parts = F.concat(head, F.coalesce(F.transform("parts", lambda p: p["part"]), strings), F.transform("late", lambda x: F.concat(F.lit("["), x["title"], F.lit("]\n"), x["part"])))
     shown = F.concat("a.sources", F.transform("late", lambda x: F.struct(x["url"].alias("url"), F.substring(x["title"], 1, 200).alias("title"), F.round(F.coalesce(x["distance"], F.lit(0.9999)), 4).alias("distance"))))
     without = lambda s, of: F.filter(s, lambda x: ~F.array_contains(of, F.coalesce(x["url"], F.lit(""))))
     in_front = [F.col(f"{k}.block") for k in ("person", "roster", "location", "requirements", "international", "scholarship")]

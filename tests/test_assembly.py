@@ -148,3 +148,31 @@ def test_lists_in_their_order(spark):
     assert got[2] == [(600, 0.05), (300, 0.3)] and 3 not in got
     with pytest.raises(ValueError):
         a.ordered_lists(questions, {})
+
+
+def test_a_whole_tab_is_looked_through_once_for_each_question(spark):
+    url, tab = SHELL.format("progCourses", 1), "x" * 600 + " Medical School " + "course code"
+    questions = spark.createDataFrame([(1, COURSES + " of computer engineering", None, None), (2, COURSES, None, None), (3, PLAIN, None, None)], QUESTION)
+    candidates = spark.createDataFrame([(*chunk(q, 10 * q + k, "of computer engineering" if k == 0 else "none", url), None)[:9] for q in (1, 2, 3) for k in range(8)], CANDIDATE)
+    whole = a.whole_tabs(candidates, questions, spark.createDataFrame([(url, tab), ("https://o.example.edu/catalogue/courses.aspx", None)], TAB))
+    assert sorted((r.query_id, r.held, r.n, r.middle > 0) for r in whole.collect()) == [(1, ["medical school"], len(tab), True), (2, None, len(tab), True)]
+    told = a.prepared(candidates, questions, whole)
+    assert not {"part", "content", "merged"} & set(told.schema["item"].dataType.names)  # what meets in the fold holds no texts
+    rows = told.select("query_id", "item.chunk_id", "item.n", "item.whole", "item.allowed", "part").collect()
+    assert {(r.query_id, r.n, r.whole, r.allowed, r.part == tab) for r in rows if r.query_id < 3} == {(1, len(tab), True, False, True), (2, len(tab), True, True, True)}  # of another entity only
+    assert {(r.n, r.whole) for r in rows if r.query_id == 3} == {(23, False), (4, False)}
+
+
+def test_tabs_are_collected_up_to_the_cut(spark):
+    from corpusloom.operators.retrieval import merged_tabs
+
+    pages = {
+        "blanks": [(0, 1, "  ab  "), (0, 2, "    "), (0, 3, None), (0, 4, "c"), (1, 0, "d" * 9)], "first": [(0, 1, None), (0, 2, "    "), (0, 3, "abcdefgh")], "null": [(0, 1, None)], "at": [(0, 1, "abc" + " " * 9), (0, 2, None), (0, 3, "z")],
+        "tie": [(0, 1, "b"), (0, 1, "a")], "end": [(0, 1, "ab   ")], "long": [(0, k, "xy ") for k in range(500)],
+    }
+    rows = spark.createDataFrame([(u, *r) for u, rs in pages.items() for r in rs], "source_url string, chunk_index int, chunk_id long, content string")
+    for most in (1, 2, 5, 6, 9, 12, 40):
+        got = {r.source_url: r.merged for r in merged_tabs(rows, most).collect()}
+        assert got == {u: "\n".join(c for *_, c in sorted(rs, key=lambda r: (r[0], r[1], r[2] or "")) if c is not None).strip(" ")[:most] for u, rs in pages.items()}
+    found = merged_tabs(rows.where("source_url = 'long'"), 40)
+    assert "Window" in found._jdf.queryExecution().executedPlan().toString()  # chunks behind the cut are left before they are collected
