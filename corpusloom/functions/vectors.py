@@ -42,16 +42,23 @@ def hashing_model():
     return _hashed
 
 
+_LONG = re.compile("[a-z]{4,}")
+
+
+class _Places(dict):
+    """Buckets of words, each worked out once."""
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = _bucket(word)
+        return place
+
+
 def _hashed(texts) -> list[np.ndarray]:
-    known: dict[str, int] = {}
+    place = _Places().__getitem__
     out = []
     for text in texts:
-        counts = np.zeros(DIMENSION)
-        for word in re.findall("[a-z]{4,}", (text or "").lower()):
-            place = known.get(word)
-            if place is None:
-                place = known[word] = _bucket(word)
-            counts[place] += 1
+        own = np.array(list(map(place, _LONG.findall((text or "").lower()))), np.intp)
+        counts = np.bincount(own, minlength=DIMENSION).astype(float)
         n = np.sqrt(counts @ counts)
         out.append(counts / n if n else counts)
     return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import rules, vectors
 from corpusloom.operators import catalogue, retrieval as r
 from corpusloom.plans.common import ASKED_SQL, CHUNKS_SQL, asked, chunks, fold_sql, registry, table
+from corpusloom.scratch import stored
 
 QUERIES, query = registry()
 
@@ -79,12 +80,13 @@ def hybrid_merge(spark, sf_dir):
 
 def _candidates(spark, sf_dir, pool: int = 40):
     """Questions, embedded by hashing, with their nearest documents."""
-    q = asked(spark, sf_dir)
-    c = chunks(spark, sf_dir).withColumn("embedding", vectors.hashed_embedding(F.col("content")))
+    q, c = asked(spark, sf_dir), chunks(spark, sf_dir)
+    # stored: the vectors, which several steps look at, and the candidates, whose size then tells how texts are to meet them
+    e = stored(c.select("chunk_id", vectors.hashed_embedding(F.col("content")).alias("embedding")), "embedded")
     v = q.select("query_id", F.lit(0).alias("variant"), vectors.hashed_embedding(F.col("question")).alias("embedding"))
-    hits = r.min_merged(r.without_blocked(r.nearest(v, c, pool), c))
-    texts = r.full_text(q, chunks(spark, sf_dir))
-    return r.fetched(r.hybrid(hits, texts, pool), c).join(q, "query_id")
+    hits = r.min_merged(r.without_blocked(r.nearest(v, e, pool), c))
+    found = stored(r.hybrid(hits, r.full_text(q, c), pool), "candidates")
+    return r.fetched(found, c).join(q, "query_id")
 
 
 @query()

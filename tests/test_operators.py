@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -387,3 +388,39 @@ def test_words_of_a_chunk_are_counted_in_one_pass(spark):
     rows = spark.createDataFrame([(1, "Über über İki the THE the ab", "The End"), (2, None, "only title"), (3, "x", None)], "chunk_id long, content string, page_title string")
     got = {r["chunk_id"]: (r["size"], {w["term"]: (w["tf"], w["more"]) for w in r["words"]}) for r in retrieval._counted(rows, "content", "page_title").collect()}
     assert got == {1: (6, {"über": (2, 0), "iki": (1, 0), "the": (3, 1), "end": (0, 1)}), 2: (0, {"only": (0, 1), "title": (0, 1)}), 3: (0, {})}
+
+
+def test_candidates_embed_every_text_once(spark, tmp_path, monkeypatch):
+    from pyspark.sql.types import ArrayType, DoubleType
+
+    from corpusloom.functions import vectors
+    from corpusloom.plans import retrieval as plans
+
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    rows = [(i, f"tuition of course number {i}", "en", "s") for i in range(40)] + [(40, None, "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "what tuition has the course"), (2, "number"), (3, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def told(texts: pd.Series) -> pd.Series:
+        import uuid
+
+        (seen / uuid.uuid4().hex).write_text(str(sum("tuition of" in (x or "") for x in texts)))
+        return pd.Series(vectors._hashed(texts))
+
+    want = sorted(map(tuple, plans.effective_ranking(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(vectors, "hashed_embedding", told)
+    assert sorted(map(tuple, plans.effective_ranking(spark, str(tmp_path)).collect())) == want and want
+    assert sum(int(p.read_text()) for p in seen.iterdir()) == 40
+
+
+def test_workers_count_asked_words_only(spark, monkeypatch):
+    chunks = spark.createDataFrame([(1, "tuition tuition fee İstanbul", "fee news"), (2, "campus", "Tuition"), (3, None, None), (4, "the fee", "")], "chunk_id long, content string, page_title string")
+    questions = spark.createDataFrame([(1, "tuition in istanbul"), (2, "fee news"), (3, None)], "query_id long, question string")
+    told = {r.chunk_id: (r["size"], sorted(map(tuple, r.words))) for r in retrieval._counted(chunks, "content", "page_title", asked=frozenset({"tuition", "news"})).collect()}
+    assert told == {1: (4, [("news", 0, 1), ("tuition", 2, 0)]), 2: (1, [("tuition", 0, 1)]), 3: (0, []), 4: (2, [])}
+    rows = lambda: [sorted(map(tuple, f(questions, chunks.drop(*drop)).collect())) for f, drop in ((retrieval.full_text, ()), (retrieval.bm25, ("page_title",)))]
+    found = rows()
+    monkeypatch.setattr(retrieval, "TERM_BLOCK", 2)  # more terms than workers hold: all words are counted
+    assert retrieval._few(spark.createDataFrame([("a",), ("b",), ("c",)], "term string")) is None and rows() == found and found[0] and found[1]
