@@ -197,10 +197,12 @@ def gate(message: Column, site: Site = Site()) -> Column:
     return F.when(small_talk(message), "small_talk").when(off_topic(message, site), "off_topic").otherwise("retrieve")
 
 
-def fee_grounded(url: Column, title: Column, content: Column, low: Callable[[Column], Column] = fold) -> Column:
+def fee_grounded(url: Column, title: Column, content: Column, low: Callable[[Column], Column] = fold, most: int | None = None) -> Column:
+    """Whether the address or title names fees, or the whole text has evidence of them (of its first `most` characters, where a caller
+    says so)."""
     head = F.concat_ws("\n", F.coalesce(url, F.lit("")), F.coalesce(title, F.lit("")))
-    whole = F.substring(F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(content, F.lit(""))), 1, 80_000)
-    return has(head, FEE_HINT, low) | has(whole, FEE_EVIDENCE, low)
+    body = F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(content, F.lit("")))
+    return has(head, FEE_HINT, low) | has(body if most is None else F.substring(body, 1, most), FEE_EVIDENCE, low)
 
 
 def name_in(content: Column, name: Column) -> Column:

@@ -107,7 +107,7 @@ def kept_links(spark, sf_dir):
 i as (select query_id, regexp_matches({_FOLD.format(x="coalesce(question, '')")}, '\\b(price|prices|fee|fees|tuition|ucret|ucreti|ucretler|scholarship|burs|how\\s+much|what\\s+.*\\s+cost|costs?|annual|yillik|ogrenim|payment|odeme)\\b') as fee,
   regexp_matches({_FOLD.format(x="coalesce(question, '')")}, '\\bscholar(ship|ships)?\\b|\\bburs(lar[ıi]?)?\\b') as scholarship, query_id in (4, 5) as undergraduate from questions)
 select query_id, chunk_id from i join c on query_id = chunk_id % 16 + 1 where (not fee or regexp_matches(head, 'fee|ucret|tuition|ogrenim|burs|scholarship|financial|pricing')
-    or regexp_matches(body[1:80000], 'tuition|ucret|ogrenim|program\\s+fee|annual\\s+fee|\\busd\\b|\\btry\\b|₺|\\$\\s*[\\d,\\.]+|vat|kdv|yillik|taksit|per\\s+year|/year|scholarship|burs|financial\\s+aid|odeme|payment\\s+plan|pesin'))
+    or regexp_matches(body, 'tuition|ucret|ogrenim|program\\s+fee|annual\\s+fee|\\busd\\b|\\btry\\b|₺|\\$\\s*[\\d,\\.]+|vat|kdv|yillik|taksit|per\\s+year|/year|scholarship|burs|financial\\s+aid|odeme|payment\\s+plan|pesin'))
   and (not scholarship or regexp_matches(whole, '\\bscholar(ship|ships)?\\b|\\bburs(lari?)?\\b|discount|indirim|financial\\s+aid'))
   and (not undergraduate or not regexp_matches(head, 'graduate|post-?grad|yuksek\\s*lisans|master[’''s]?\\s*program|phd|doktora|\\btez\\b|mba\\s*admission'))""")
 def grounded_candidates(spark, sf_dir):

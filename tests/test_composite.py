@@ -136,3 +136,10 @@ def test_evidence_is_not_found_in_folded_words(spark):
     rows = [(1, "what is the tuition fee", "eine bürste"), (2, "what is the tuition fee", "burs"), (3, "scholarship fee", "die bürs"), (4, "scholarship fee", "BURS")]
     rows = spark.createDataFrame([(*r, "u", "t") for r in rows], "query_id long, question string, content string, source_url string, page_title string")
     assert {r["query_id"] for r in composite.grounded(rows).collect()} == {2, 4}
+
+
+def test_evidence_is_looked_for_in_whole_texts(spark):
+    long = "word " * 20_000
+    rows = [(1, "what is the tuition fee", long + "tuition"), (2, "what is the tuition fee", long), (3, "what is the tuition fee", "tuition " + long)]
+    rows = spark.createDataFrame([(*r, "u", "t") for r in rows], "query_id long, question string, content string, source_url string, page_title string")
+    assert {r["query_id"] for r in composite.grounded(rows).collect()} == {1, 3}
