@@ -168,7 +168,7 @@ sc as (select query_id, chunk_id, sum((case when contains(c, w) then 1 else 0 en
 f as (select * from (select *, row_number() over (partition by query_id order by chunk_id) as n from sc where score > 0) where n <= 60)
 select query_id, count(*) as found from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from f) where rank <= 12 group by query_id""")
 def page_fallback_ranks(spark, sf_dir):
-    return retrieval.lexical(asked(spark, sf_dir), chunks(spark, sf_dir), 60, 12).groupBy("query_id").agg(F.count("*").alias("found"))
+    return retrieval.lexical(asked(spark, sf_dir), chunks(spark, sf_dir), top=12).groupBy("query_id").agg(F.count("*").alias("found"))
 
 
 @query()

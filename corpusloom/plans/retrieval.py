@@ -164,7 +164,7 @@ _LEX_BLOCK = "not regexp_matches(lower(source_url), '/news|/archive|/events|/eve
 @query(f"""with {CHUNKS_SQL}, {ASKED_SQL}, q as (select query_id, list_distinct({_WORDS.format(x="question", n=4)}) as terms from asked),
 t as (select query_id, unnest(terms) as w from q), c as (select chunk_id, lower(content) as c, lower(page_title) as t, lower(source_url) as u from chunks where {_LEX_BLOCK}),
 sc as (select query_id, chunk_id, sum((case when contains(c, w) then 1 else 0 end) + (case when contains(c.t, w) then 2 else 0 end) + (case when contains(u, w) then 2 else 0 end))::bigint as score from t, c group by query_id, chunk_id),
-f as (select * from (select *, row_number() over (partition by query_id order by chunk_id) as n from sc where score > 0) where n <= 200)
+f as (select * from sc where score > 0)
 select query_id, chunk_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from f) where rank <= 40""")
 def lexical_fallback(spark, sf_dir):
     found = r.lexical(asked(spark, sf_dir), chunks(spark, sf_dir))

@@ -271,6 +271,19 @@ def test_lexical_points_and_words_by_brute_force(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_lexical_ranks_all_positive_chunks(spark):
+    """The best chunk is the last of 300; another one's rows, in several parts of the table, count together."""
+    chunks = [(i, "campus", "t", f"https://example.edu/page/{i}") for i in range(300)]
+    chunks[299] = (299, "campus of the river", "river", "https://example.edu/page/299")
+    chunks += [(298, "river", "t", "u")] * 3
+    d = spark.createDataFrame(chunks, "chunk_id long, content string, page_title string, source_url string").repartition(7)
+    q = spark.createDataFrame([(1, "campus river")], "query_id long, question string")
+    got = retrieval.lexical(q, d, top=3).select("query_id", "chunk_id", "score", "rank").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[3]) == [(1, 298, 4, 1), (1, 299, 4, 2), (1, 0, 1, 3)]
+    got = retrieval.lexical(q, d, scanned=2, top=3).select("chunk_id", "score").collect()
+    assert sorted(map(tuple, got)) == [(0, 1), (1, 1)]
+
+
 def test_conversations(spark):
     turns = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", f"m{i}" if i != 4 else " ") for i in range(9)], "conv_id long, turn long, role string, text string")
     r = chat.prior_questions(turns).first()
