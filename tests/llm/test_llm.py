@@ -732,3 +732,53 @@ def test_a_join_leaves_only_what_its_result_reads(spark):
     assert left == {"join-classed", "edges"} and len(common._scratch) - mark == 2
     got = {r["doc_id"]: r["component_id"] for r in found.collect()}
     assert all(got[i] == i // 40 * 40 for i in range(120)) and all(got[500 + i] == 500 + i for i in range(10))
+
+
+def test_unrelated_long_texts_are_told_apart_before_they_move(spark, monkeypatch):
+    """Long texts that share a passage are alike by size and profile; only the near copies among them link."""
+    r, rows = random.Random(8), []
+    for k in range(0, 12, 2):
+        passage = [f"p{r.randrange(10**6)}" for _ in range(300)]
+        rows += [(k + x, " ".join([*passage, *(f"w{r.randrange(10**6)}" for _ in range(5700))]), "en", "a", 1) for x in (0, 1)]
+    rows.append((20, rows[0][1].rsplit(" ", 40)[0], "en", "a", 1))
+    moved = []
+    texts = jaccard_join._Join.texts
+
+    def counted(self, ids):
+        moved.extend(x["doc_id"] for x in ids.collect())
+        return texts(self, ids)
+
+    monkeypatch.setattr(jaccard_join._Join, "texts", counted)
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_join.classes(docs(spark, rows), 3, 90).collect()}
+    assert got == {**{k: k for k in range(12)}, 20: 0}
+    assert set(moved) == {0, 20}
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_parities_never_exceed_the_difference(spark, percent):
+    r, rows = np.random.default_rng(1), []
+    for n in (1, 2, 40, 700, 5000):
+        for m in (n, n + 1, int(n / 0.9), 2 * n, 5 * n):
+            for share in (0.0, 0.7, 0.95, 1.0):
+                pool = r.integers(0, 2**64 - 1, n + m, np.uint64)
+                a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[: int(share * n)], pool[n : n + m - int(share * n)]]))
+                both = len(np.intersect1d(a, b))
+                link = 100 * both >= percent * (len(a) + len(b) - both)
+                rows.append((len(a), len(b), jaccard_join.parities(a, percent).tolist(), jaccard_join.parities(b, percent).tolist(), bool(link), share == 0 and m <= 2 * n and n >= 700))
+    d = spark.createDataFrame(rows, "n_a long, n_b long, bits_a array<long>, bits_b array<long>, link boolean, apart boolean").withColumn("fits", jaccard_join._parities_fit("a", "b", percent))
+    got = d.select("link", "apart", "fits").collect()
+    assert all(x["fits"] for x in got if x["link"]) and not any(x["fits"] for x in got if x["apart"])
+
+
+def test_members_without_one_of_their_size_leave_a_region(spark):
+    rows = [(1, 10, 100), (1, 11, 95), (1, 12, 40), (2, 13, 50), (2, 14, 46), (2, 15, 44), (2, 16, 44), (3, 17, 9)]
+    got = jaccard_join.sized(spark.createDataFrame(rows, "region long, doc_id long, n long"), 90).collect()
+    assert sorted(x["doc_id"] for x in got) == [10, 11, 13, 14, 15, 16]
+
+
+def test_counts_of_the_sketch_take_as_few_bytes_as_they_need():
+    for top, size in ((0, 1), (255, 1), (256, 2), (70_000, 4), (1 << 40, 8)):
+        counts = np.zeros(jaccard_join.SKETCH_ROW, np.int64)
+        counts[7] = top
+        row = jaccard_join._packed(counts)
+        assert len(row) == size * jaccard_join.SKETCH_ROW and (jaccard_join._unpacked(row) == counts).all()
